@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, urls
+from . import bpe, langid, packing, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -22,6 +22,18 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def fold(n: int):
+    """crc32 of the id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.train(docs.where(fold(3) != 1))
+    found = langid.identify(docs, prototypes)
+    return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -38,6 +50,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), listed).drop("url")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(4) != 2))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 OP8_SQL = """
 WITH rules(host, path, verdict) AS (VALUES {values}),
 parts AS (
@@ -55,7 +74,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op6_bpe": op6_bpe, "op8_urls": op8_urls}
+    return {"op1_pack": op1_pack, "op3_langid": op3_langid, "op6_bpe": op6_bpe, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
