@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, toxicity, urls
+from . import bpe, html_text, langid, packing, pq_dedup, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -34,6 +34,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -45,6 +49,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq_dedup.link(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf_dir, "pages"), listed).drop("url")
@@ -74,7 +83,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_langid": op3_langid, "op6_bpe": op6_bpe, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity}
+    return {"op1_pack": op1_pack, "op3_langid": op3_langid, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
