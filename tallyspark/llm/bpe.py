@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: Bytes that end no white-space character are those outside this set.
@@ -40,60 +42,88 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(moved)}
 
 
+class Ranks(dict):
+    """Ranks of merges; a pair that has none ranks last and isn't stored."""
+
+    def __missing__(self, pair: tuple[bytes, bytes]) -> int:
+        return 1 << 60
+
+
 class Vocabulary:
     """What a byte-level BPE file says, ready for encoding and decoding."""
 
     def __init__(self, tokenizer_json: str):
         spec = json.loads(tokenizer_json)
         to_byte = {letter: byte for byte, letter in byte_letters().items()}
-        self.ids: dict[str, int] = spec["model"]["vocab"]
-        self.rank = {tuple(pair): n for n, pair in enumerate(spec["model"]["merges"])}
+        self.raw = lambda letters: bytes(map(to_byte.__getitem__, letters))
+        ids = {self.raw(token): n for token, n in spec["model"]["vocab"].items()}
+        self.id_bytes = {token: n.to_bytes(4, "little") for token, n in ids.items()}
+        self.rank = Ranks({(self.raw(a), self.raw(b)): n for n, (a, b) in enumerate(spec["model"]["merges"])})
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {n: bytes(to_byte[c] for c in token) for token, n in self.ids.items()}
-        self.joined = np.zeros((256, 256), bool)
-        for token in self.bytes_of.values():
+        self.bytes_of = {n: token for token, n in ids.items()} | {n: text for text, n in self.special.items()}
+        joined = np.zeros((256, 256), bool)
+        for token in ids:
             row = np.frombuffer(token, np.uint8)
-            self.joined[row[:-1], row[1:]] = True
-        self.bytes_of |= {n: text for text, n in self.special.items()}
-        self.cut = ~self.joined
-        self.cut[MAY_END_SPACE, :] = False
-        self.cut[:, 0x80:0xC0] = False
-        self.cut[:, ord("'")] = False
-
-    def merged(self, word: str) -> list[int]:
+            joined[row[:-1], row[1:]] = True
+        cut = ~joined
+        cut[MAY_END_SPACE, :] = False
+        cut[:, 0x80:0xC0] = False
+        cut[:, ord("'")] = False
+        self.cut = cut.ravel()
+
+    def merged(self, word: bytes) -> bytes:
         """Ids of one pre-token, by its merges in order of rank."""
-        parts: list[str | None] = list(word)
+        if len(word) > 64:
+            return self._merged_long(word)
+        parts, rank = [word[i : i + 1] for i in range(len(word))], self.rank
+        while len(parts) > 1:
+            pairs = list(zip(parts, parts[1:], strict=False))
+            pair = min(pairs, key=rank.__getitem__)
+            if pair not in rank:
+                break
+            i = pairs.index(pair)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return b"".join(map(self.id_bytes.__getitem__, parts))
+
+    def _merged_long(self, word: bytes) -> bytes:
+        """The same with a queue, in n log n steps."""
+        parts: list[bytes] = [word[i : i + 1] for i in range(len(word))]
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
-        queue = [(r, i, p) for i, p in enumerate(zip(word, word[1:], strict=False)) if (r := self.rank.get(p)) is not None]
+        queue = [(self.rank[p], i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.rank]
         heapq.heapify(queue)
         while queue:
             _, i, (left, right) = heapq.heappop(queue)
             j = after[i]
             if parts[i] != left or j >= len(parts) or parts[j] != right:
                 continue
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = left + right, b""
             after[i] = after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(parts) and (r := self.rank.get((parts[a], parts[b]))) is not None:
-                    heapq.heappush(queue, (r, a, (parts[a], parts[b])))
-        return [self.ids[p] for p in parts if p is not None]
+                if a >= 0 and b < len(parts) and (parts[a], parts[b]) in self.rank:
+                    heapq.heappush(queue, (self.rank[parts[a], parts[b]], a, (parts[a], parts[b])))
+        return b"".join(self.id_bytes[p] for p in parts if p)
 
 
 class FragmentEncoder(dict):
     """Ids of fragments as little-endian unsigned 32-bit bytes, remembered for up to ``keep`` short fragments."""
 
-    def __init__(self, vocabulary: Vocabulary, keep: int = 400_000, short: int = 48):
+    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000, short: int = 48):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.vocabulary, self.keep, self.short = vocabulary, keep, short
         self.pre = ByteLevel(add_prefix_space=False, use_regex=True)
+        # surely one pre-token by itself
+        self.plain_word = re.compile(rb" ?[A-Za-z]+").fullmatch
 
     def __missing__(self, fragment: bytes) -> bytes:
-        words = self.pre.pre_tokenize_str(fragment.decode())
-        ids = np.array([n for word, _ in words for n in self.vocabulary.merged(word)], "<u4").tobytes()
+        v = self.vocabulary
+        if self.plain_word(fragment):
+            ids = v.merged(fragment)
+        else:
+            ids = b"".join([v.merged(v.raw(word)) for word, _ in self.pre.pre_tokenize_str(fragment.decode())])
         if len(fragment) <= self.short:
             self[fragment] = ids
         return ids
@@ -101,8 +131,9 @@ class FragmentEncoder(dict):
     def encode(self, text: bytes) -> bytes:
         if len(self) > self.keep:
             self.clear()
-        out = [self._plain(text)] if not any(s in text for s in self.vocabulary.special) else list(self._with_special(text))
-        return b"".join(out)
+        if not any(s in text for s in self.vocabulary.special):
+            return self._plain(text)
+        return b"".join(self._with_special(text))
 
     def _with_special(self, text: bytes) -> Iterator[bytes]:
         while text:
@@ -111,20 +142,28 @@ class FragmentEncoder(dict):
                 break
             at, _, s = min(found)
             yield self._plain(text[:at])
-            yield np.array([self.vocabulary.special[s]], "<u4").tobytes()
+            yield self.vocabulary.special[s].to_bytes(4, "little")
             text = text[at + len(s) :]
         yield self._plain(text)
 
     def _plain(self, text: bytes) -> bytes:
-        if not text:
-            return b""
         row = np.frombuffer(text, np.uint8)
-        cuts = (np.flatnonzero(self.vocabulary.cut[row[:-1], row[1:]]) + 1).tolist()
+        pairs = row[:-1].astype(np.int32)
+        pairs <<= 8
+        pairs |= row[1:]
+        cuts = (np.flatnonzero(self.vocabulary.cut.take(pairs)) + 1).tolist()
         fragments = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        return b"".join(map(self.__getitem__, fragments))
+        return b"".join(map(self.__getitem__, fragments)) if text else b""
+
+
+def encoder_of(file: Broadcast) -> FragmentEncoder:
+    """A worker's encoder, kept with the broadcast file from task to task."""
+    if not hasattr(file, "encoder"):
+        file.encoder = encoder_of(file)
+    return file.encoder
 
 
-def shipped(df: DataFrame, tokenizer_path: str):
+def shipped(df: DataFrame, tokenizer_path: str) -> Broadcast:
     """The vocabulary file for the workers; a fixed file of a few MB, whatever the input's size."""
     with open(tokenizer_path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -141,7 +180,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     file = shipped(docs, tokenizer_path)
 
     def run(batches):
-        encoder = FragmentEncoder(Vocabulary(file.value))
+        encoder = encoder_of(file)
         for batch in batches:
             ids = [encoder.encode(t) for t in texts(batch)]
             ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("i4")
@@ -157,7 +196,7 @@ def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", keep_
     file = shipped(tokens, tokenizer_path)
 
     def run(batches):
-        bytes_of = Vocabulary(file.value).bytes_of
+        bytes_of = encoder_of(file).vocabulary.bytes_of
         table = [bytes_of.get(n, b"") for n in range(max(bytes_of) + 1)]
         for batch in batches:
             column = batch.column(1)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import FragmentEncoder, Vocabulary, shipped, texts
+from .bpe import encoder_of, shipped, texts
 
 
 class Piece(NamedTuple):
@@ -100,7 +100,7 @@ def pack(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = FragmentEncoder(Vocabulary(file.value))
+        encoder = encoder_of(file)
         sequence, order = TaskContext.get().partitionId() << 33, 0
         pending: list[Piece] = []
         rows: list[tuple] = []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, packing, pq_dedup, toxicity, urls
+from . import bpe, html_text, langid, ngram_join, packing, pq_dedup, topk, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -34,6 +34,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -66,6 +70,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 OP8_SQL = """
 WITH rules(host, path, verdict) AS (VALUES {values}),
 parts AS (
@@ -81,10 +89,21 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
 """.format(values=", ".join(map(str, RULES)))
 
+OP10_SQL = """
+WITH whole AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_langid": op3_langid, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity}
+    return {"op1_pack": op1_pack, "op3_langid": op3_langid, "op4_ngram_join": op4_ngram_join, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urls": OP8_SQL}
+    return {"op8_urls": OP8_SQL, "op10_topk": OP10_SQL}
