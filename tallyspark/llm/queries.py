@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, ngram_join, packing, pq_dedup, topk, toxicity, urls
+from . import bpe, html_text, langid, ngram_join, packing, pq_dedup, suffix_dedup, topk, toxicity, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -22,6 +22,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), with_ids=False)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def fold(n: int):
     """crc32 of the id as text, mod n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
@@ -102,7 +108,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pack": op1_pack, "op3_langid": op3_langid, "op4_ngram_join": op4_ngram_join, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity, "op10_topk": op10_topk}
+    return {"op1_pack": op1_pack, "op2_suffix_dedup": op2_suffix_dedup, "op3_langid": op3_langid, "op4_ngram_join": op4_ngram_join, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_embeddings": op7_embeddings, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity, "op10_topk": op10_topk}
 
 
 def oracle_sql() -> dict[str, str]:
