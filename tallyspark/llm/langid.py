@@ -138,6 +138,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, see
     names = sorted(prototypes)
     matrix = np.stack([prototypes[x] for x in names]).astype(np.float32) if names else np.zeros((0, 1), np.float32)
     carried = [id_col, *(c for c in keep or [] if c not in (id_col, text_col))]
+    with_text = [text_col] if text_col in (keep or []) else []
 
     def run(batches):
         profiler = Profiler(matrix.shape[1], n, seed)
@@ -150,8 +151,8 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, see
                     k, score = next(best) if is_known else (-1, 0.0)
                     langs.append(names[k] if k >= 0 else "und")
                     scores.append(min(1.0, max(0.0, float(score))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carried, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1 - len(with_text) :], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*with_text, *carried, "lang_pred", "score"])
 
-    source = docs.select(F.col(text_col).alias("_text"), *carried)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    source = docs.select(text_col, *carried)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*with_text, *carried])
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double")

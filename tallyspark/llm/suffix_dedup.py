@@ -145,8 +145,11 @@ def _blob(columns: dict) -> bytes:
     return packed(pa.table(columns))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_bytes: int = 8_000_000, group_phrases: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, kept columns, n_bytes, spans array<struct<start, end>> that were removed, kept binary that is left) of every row."""
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_bytes: int = 8_000_000, group_phrases: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """(id, ``keep`` columns, n_bytes, spans array<struct<start, end>> that were removed, kept binary that is left) of every row.
+
+    ``as_text``: kept is a string, without what is left of letters that were cut in two.
+    """
     spark = docs.sparkSession
     work = Workspace(spark)
     carried = [c for c in keep or [] if c not in (id_col, text_col)]
@@ -258,10 +261,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
             spans.append([{"start": a, "end": b} for a, b in edge])
             kept.append(np.frombuffer(text, np.uint8)[~covered].tobytes() if edge else text)
         columns = [chunk.table["id"], *(chunk.table[f.name] for f in fields), pa.array([len(t) for t in chunk.texts], pa.int64())]
-        columns += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+        columns += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
         return pa.table(columns, names=["id", *(f.name for f in fields), "n_bytes", "spans", "kept"])
 
-    schema = "id bigint, " + "".join(f"{f.name} {f.dataType.simpleString()}, " for f in fields) + "n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    schema = "id bigint, " + "".join(f"{f.name} {f.dataType.simpleString()}, " for f in fields) + "n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary")
     result = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, schema)
     return result.select(F.col("id").alias(id_col), *(F.col(f"c{n}").alias(c) for n, c in enumerate(carried)), "n_bytes", "spans", "kept")
 
