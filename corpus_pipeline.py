@@ -1,11 +1,71 @@
-"""The corpus pipeline; its stages follow as their operators are done."""
+"""The corpus pipeline: five stages over ``documents``, each an operator of ``tallyspark.llm``.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and all that its predecessor kept.
+Documents that the toxicity model marks go; then those without a recognised
+language; then all but one document of each near-duplicate group; then strings
+of 50 bytes that an earlier document has are cut out; what is left is packed.
+
+All but the last return the columns of ``documents``.  Rows with a null id are
+kept where nothing decides against them; an empty table passes through empty.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.llm import langid, ngram_join, packing, suffix_dedup, toxicity
+from tallyspark.llm.queries import TOKENIZER, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not mark."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=COLUMNS).where("predicted = 0").select(COLUMNS)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; those without a letter have none."""
+    prototypes = langid.train(docs)
+    return langid.identify(docs, prototypes, keep=COLUMNS).where("lang_pred != 'und'").select(COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that whose id names the component."""
+    kept = ngram_join.join(docs).where("component_id is null or component_id = doc_id").select("doc_id").distinct()
+    # rows with one id are one document
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
+    return named.select("doc_id", "row.*").union(docs.where("doc_id is null").select(COLUMNS))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that an earlier document has; a letter cut in two goes with them."""
+    left = suffix_dedup.remove_repeats(docs, keep=COLUMNS[2:], as_text=True)
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long")).select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens in sequences of balanced cost."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_languages),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("packing", pack),
+]
+
+#: Models, the tokenizer and packing are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
