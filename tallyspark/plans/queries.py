@@ -15,7 +15,11 @@ from .fixtures import now, table, telemetry
 
 ENVELOPE = ["eventId", "tenantId", "eventType", "timestamp", "source", "version"]
 PAYLOAD = [f"payload.{f}" for f in ("deviceId", "deviceType", "metric", "value", "unit", "location")]
-START, END = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"), F.lit("2024-01-09 00:00:00").cast("timestamp_ntz")
+
+
+def week():
+    """Start and end of the time range that some queries ask for."""
+    return [F.lit(day).cast("timestamp_ntz") for day in ("2024-01-02 00:00:00", "2024-01-09 00:00:00")]
 
 
 def seen(spark, d):
@@ -147,7 +151,7 @@ def replay_loop_guard(spark, d):
 
 def raw_replay_time_range(spark, d):
     e = table(spark, d, "events").select("event_id", "ts").withColumn("offset", F.col("event_id"))
-    return replay.by_offset(replay.by_time(e, START, END), 100, 5000).select("event_id", "ts")
+    return replay.by_offset(replay.by_time(e, *week()), 100, 5000).select("event_id", "ts")
 
 
 def raw_retained(spark, d):
@@ -222,11 +226,12 @@ def assigned_partitions(spark, d):
 def traces_found(spark, d):
     tag = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
     spans = table(spark, d, "events").select(F.col("event_id").alias("trace_id"), "ts", F.lit("ingestion-service").alias("service"), F.array(tag("kind", F.col("event_type"))).alias("tags"))
-    return metrics.traces(spans, "ingestion-service", START, END, 50, kind="click").select("trace_id", "ts")
+    return metrics.traces(spans, "ingestion-service", *week(), 50, kind="click").select("trace_id", "ts")
 
 
 def telemetry_by_tenant_recent(spark, d):
-    return query.recent(stored(spark, d), 100, tenant="tenant-1", since=START, until=END).select("event_id", "device_id", "timestamp", "value")
+    start, end = week()
+    return query.recent(stored(spark, d), 100, tenant="tenant-1", since=start, until=end).select("event_id", "device_id", "timestamp", "value")
 
 
 def device_latest(spark, d):
