@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import langid, ngram_join, packing, suffix_dedup, toxicity
 from tallyspark.llm.queries import TOKENIZER, table
+from tallyspark.llm.shared import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs, work = table(spark, sf_dir, "documents"), Workspace(spark)
+    for _, stage in STAGES[:-1]:
+        docs = work.saved(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
