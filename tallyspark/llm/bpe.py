@@ -1,10 +1,11 @@
 """Byte-level BPE by forced-boundary splitting, as Spark map stages.
 
 Two neighbouring bytes that stand side by side in no vocabulary entry can never
-be merged, so every such place is a certain cut.  A text is cut there (one
-vectorised table lookup over its bytes), each fragment is encoded by itself,
-and the ids are concatenated.  Fragments repeat a lot, so a worker remembers the
-ids of short ones in a table of bounded size.
+be merged, so every such place is a certain cut.  Texts are cut there (one
+vectorised table lookup over their bytes), the distinct fragments of a block of
+texts are encoded by themselves, and the ids are concatenated in the fragments'
+order.  Fragments repeat a lot, so a worker remembers the ids of short ones in a
+table of bounded size; only new fragments reach the merging encoder.
 
 The cuts must also not change what the pre-tokeniser sees.  Its pattern looks
 ahead only after white space and starts a contraction only at an apostrophe, so
@@ -19,16 +20,17 @@ found in a text become their single id, as the tokenizers library does.
 
 from __future__ import annotations
 
-import heapq
 import json
-import re
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from .shingles import BASE, mixed
+
 #: Bytes that end no white-space character are those outside this set.
 #: ASCII white space and separators, and the last bytes of U+0085, U+00A0, U+1680,
 #: U+2000-U+200A, U+2028, U+2029, U+202F, U+205F and U+3000.
@@ -42,124 +44,130 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(moved)}
 
 
-class Ranks(dict):
-    """Ranks of merges; a pair that has none ranks last and isn't stored."""
-
-    def __missing__(self, pair: tuple[bytes, bytes]) -> int:
-        return 1 << 60
-
-
 class Vocabulary:
-    """What a byte-level BPE file says, ready for encoding and decoding."""
+    """What a byte-level BPE file says, ready for cutting and decoding."""
 
     def __init__(self, tokenizer_json: str):
         spec = json.loads(tokenizer_json)
         to_byte = {letter: byte for byte, letter in byte_letters().items()}
-        self.raw = lambda letters: bytes(map(to_byte.__getitem__, letters))
-        ids = {self.raw(token): n for token, n in spec["model"]["vocab"].items()}
-        self.id_bytes = {token: n.to_bytes(4, "little") for token, n in ids.items()}
-        self.rank = Ranks({(self.raw(a), self.raw(b)): n for n, (a, b) in enumerate(spec["model"]["merges"])})
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {n: token for token, n in ids.items()} | {n: text for text, n in self.special.items()}
+        token = {n: bytes(map(to_byte.__getitem__, letters)) for letters, n in spec["model"]["vocab"].items()}
         joined = np.zeros((256, 256), bool)
-        for token in ids:
-            row = np.frombuffer(token, np.uint8)
+        for text in token.values():
+            row = np.frombuffer(text, np.uint8)
             joined[row[:-1], row[1:]] = True
         cut = ~joined
         cut[MAY_END_SPACE, :] = False
         cut[:, 0x80:0xC0] = False
         cut[:, ord("'")] = False
         self.cut = cut.ravel()
-
-    def merged(self, word: bytes) -> bytes:
-        """Ids of one pre-token, by its merges in order of rank."""
-        if len(word) > 64:
-            return self._merged_long(word)
-        parts, rank = [word[i : i + 1] for i in range(len(word))], self.rank
-        while len(parts) > 1:
-            pairs = list(zip(parts, parts[1:], strict=False))
-            pair = min(pairs, key=rank.__getitem__)
-            if pair not in rank:
-                break
-            i = pairs.index(pair)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return b"".join(map(self.id_bytes.__getitem__, parts))
-
-    def _merged_long(self, word: bytes) -> bytes:
-        """The same with a queue, in n log n steps."""
-        parts: list[bytes] = [word[i : i + 1] for i in range(len(word))]
-        after = list(range(1, len(parts) + 1))
-        before = list(range(-1, len(parts) - 1))
-        queue = [(self.rank[p], i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in self.rank]
-        heapq.heapify(queue)
-        while queue:
-            _, i, (left, right) = heapq.heappop(queue)
-            j = after[i]
-            if parts[i] != left or j >= len(parts) or parts[j] != right:
-                continue
-            parts[i], parts[j] = left + right, b""
-            after[i] = after[j]
-            if after[i] < len(parts):
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < len(parts) and (parts[a], parts[b]) in self.rank:
-                    heapq.heappush(queue, (self.rank[parts[a], parts[b]], a, (parts[a], parts[b])))
-        return b"".join(self.id_bytes[p] for p in parts if p)
-
-
-class FragmentEncoder(dict):
-    """Ids of fragments as little-endian unsigned 32-bit bytes, remembered for up to ``keep`` short fragments."""
-
-    def __init__(self, vocabulary: Vocabulary, keep: int = 300_000, short: int = 48):
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.vocabulary, self.keep, self.short = vocabulary, keep, short
-        self.pre = ByteLevel(add_prefix_space=False, use_regex=True)
-        # surely one pre-token by itself
-        self.plain_word = re.compile(rb" ?[A-Za-z]+").fullmatch
-
-    def __missing__(self, fragment: bytes) -> bytes:
-        v = self.vocabulary
-        if self.plain_word(fragment):
-            ids = v.merged(fragment)
-        else:
-            ids = b"".join([v.merged(v.raw(word)) for word, _ in self.pre.pre_tokenize_str(fragment.decode())])
-        if len(fragment) <= self.short:
-            self[fragment] = ids
-        return ids
-
-    def encode(self, text: bytes) -> bytes:
-        if len(self) > self.keep:
-            self.clear()
-        if not any(s in text for s in self.vocabulary.special):
-            return self._plain(text)
-        return b"".join(self._with_special(text))
-
-    def _with_special(self, text: bytes) -> Iterator[bytes]:
-        while text:
-            found = [(at, -len(s), s) for s in self.vocabulary.special if (at := text.find(s)) >= 0]
-            if not found:
-                break
-            at, _, s = min(found)
-            yield self._plain(text[:at])
-            yield self.vocabulary.special[s].to_bytes(4, "little")
-            text = text[at + len(s) :]
-        yield self._plain(text)
-
-    def _plain(self, text: bytes) -> bytes:
-        row = np.frombuffer(text, np.uint8)
+        token |= {n: text for text, n in self.special.items()}
+        table = [token.get(n, b"") for n in range(max(token) + 1)]
+        self.sizes = np.array([len(t) for t in table])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(table), np.uint8)
+
+    def text(self, ids: np.ndarray) -> bytes:
+        return gathered(self.letters, self.starts[ids], self.sizes[ids]).tobytes()
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """pool[starts[0] : starts[0] + sizes[0]], and so on, one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class FragmentEncoder:
+    """Encodes blocks of texts; remembers the ids of up to ``keep`` fragments of at most ``short`` bytes."""
+
+    def __init__(self, tokenizer_json: str, keep: int = 1_000_000, short: int = 48, block_bytes: int = 1 << 20):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this core to the task
+        from tokenizers import Tokenizer
+
+        self.vocabulary, self.keep, self.short, self.block_bytes = Vocabulary(tokenizer_json), keep, short, block_bytes
+        self.merger = Tokenizer.from_str(tokenizer_json)
+        self.merger.no_padding()
+        self.merger.no_truncation()
+        self.known: dict[bytes, bytes] = {}
+        rng = np.random.Generator(np.random.PCG64(3))
+        self.letter = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.full(4 * block_bytes, BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(4 * block_bytes, pow(BASE, -1, 1 << 64), np.uint64))
+
+    def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= self.block_bytes:
+                yield from self._block(held)
+                held, size = [], 0
+        yield from self._block(held)
+
+    def _block(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        data = b"".join(texts)
+        row = np.frombuffer(data, np.uint8)
         pairs = row[:-1].astype(np.int32)
         pairs <<= 8
         pairs |= row[1:]
-        cuts = (np.flatnonzero(self.vocabulary.cut.take(pairs)) + 1).tolist()
-        fragments = [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        return b"".join(map(self.__getitem__, fragments)) if text else b""
+        is_cut = np.ones(len(data) + 1, bool)
+        is_cut[1:-1] = self.vocabulary.cut.take(pairs)
+        bounds = np.cumsum([0, *map(len, texts)])
+        is_cut[bounds] = True
+        for special in self.vocabulary.special:
+            at = data.find(special)
+            while at >= 0:
+                end = at + len(special)
+                # not across two texts
+                if np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, end, "left"):
+                    is_cut[at:end] = False
+                    is_cut[[at, end]] = True
+                at = data.find(special, end)
+        cuts = np.flatnonzero(is_cut)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        first = 0
+        while first < len(cuts) - 1:
+            # a part ends at a cut, and is longer than a block only if it is one fragment
+            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + self.block_bytes, "right")) - 1)
+            part = self._part(data, row, cuts[first : last + 1])
+            ids.append(part[0])
+            sizes.append(part[1])
+            first = last
+        ids, ends = np.concatenate(ids), np.cumsum(np.concatenate([[0], *sizes]))
+        of_text = ends[np.searchsorted(cuts, bounds)]
+        for a, b in zip(of_text, of_text[1:], strict=False):
+            yield ids[a:b]
+
+    def _part(self, data: bytes, row: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and their number for each fragment."""
+        lo, start, size = int(cuts[0]), cuts[:-1], np.diff(cuts)
+        if int(cuts[-1]) - lo >= len(self.powers):  # one very long fragment
+            kind, place = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        else:
+            with np.errstate(over="ignore"):
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letter[row[lo : int(cuts[-1])]] * self.powers[: int(cuts[-1]) - lo])])
+                _, kind, place = np.unique(mixed((total[cuts[1:] - lo] - total[start - lo]) * self.inverse[start - lo] + size.astype(np.uint64)), return_index=True, return_inverse=True)
+        fragments = [data[a : a + n] for a, n in zip(start[kind].tolist(), size[kind].tolist(), strict=True)]
+        if len(self.known) > self.keep:
+            self.known.clear()
+        known = self.known
+        new = [f for f in fragments if f not in known]
+        extra = {}
+        for f, found in zip(new, self.merger.encode_batch_fast([f.decode() for f in new], add_special_tokens=False), strict=True):
+            (known if len(f) <= self.short else extra)[f] = np.array(found.ids, "<u4").tobytes()
+        ids = [known[f] if f in known else extra[f] for f in fragments] if extra else list(map(known.__getitem__, fragments))
+        sizes = np.array([len(x) >> 2 for x in ids])
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        return gathered(pool, starts[place], sizes[place]), sizes[place]
 
 
 def encoder_of(file: Broadcast) -> FragmentEncoder:
     """A worker's encoder, kept with the broadcast file from task to task."""
     if not hasattr(file, "encoder"):
-        file.encoder = encoder_of(file)
+        file.encoder = FragmentEncoder(file.value)
     return file.encoder
 
 
@@ -182,10 +190,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def run(batches):
         encoder = encoder_of(file)
         for batch in batches:
-            ids = [encoder.encode(t) for t in texts(batch)]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("i4")
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, values)], [id_col, "token_ids"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                ids = list(encoder.encode(texts(part)))
+                ends = np.cumsum([0, *map(len, ids)]).astype("i4")
+                values = pa.array(np.concatenate(ids).view("i4"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, values)], [id_col, "token_ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>")
@@ -196,13 +206,13 @@ def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", keep_
     file = shipped(tokens, tokenizer_path)
 
     def run(batches):
-        bytes_of = encoder_of(file).vocabulary.bytes_of
-        table = [bytes_of.get(n, b"") for n in range(max(bytes_of) + 1)]
+        if not hasattr(file, "vocabulary"):
+            file.vocabulary = Vocabulary(file.value)
         for batch in batches:
-            column = batch.column(1)
-            ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            out = [b"".join(map(table.__getitem__, values[i:j].tolist())).decode("utf-8", "replace") for i, j in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + keep_ids], pa.array(out, pa.string())], [id_col, "token_ids", "decoded"] if keep_ids else [id_col, "decoded"])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                out = [file.vocabulary.text(x.values.to_numpy()).decode("utf-8", "replace") if x.is_valid else "" for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: 1 + keep_ids], pa.array(out, pa.string())], [id_col, "token_ids", "decoded"] if keep_ids else [id_col, "decoded"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
     return tokens.select(id_col, "token_ids").mapInArrow(run, f"`{id_col}` {kind}, " + "token_ids array<int>, " * keep_ids + "decoded string")

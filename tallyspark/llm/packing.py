@@ -124,8 +124,8 @@ def pack(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                ids = encoder.encode(text) + end
+            for doc, found in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch)), strict=True):
+                ids = found.astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 for start in range(0, n - n % capacity, capacity):
                     put(sequence, [Piece(capacity, order, doc, start, n, ids[4 * start : 4 * (start + capacity)])])
