@@ -7,12 +7,13 @@ up at ten digits before they meet the threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from .history import with_last
 
-#: Incomplete readings have no history; they are dealt over so many window keys.
+#: Incomplete readings have no history; they are dealt over so many chunks of the null key.
 SALT = 1024
 
 
@@ -20,13 +21,16 @@ def complete() -> Column:
     return has_text(F.col("seen.tenantId")) & has_text(F.col("seen.deviceId")) & has_text(F.col("seen.metric")) & F.col("seen.value").isNotNull()
 
 
-def with_previous(events: DataFrame, order: str = "seq") -> DataFrame:
-    """Adds ``complete`` and ``previous``, the last complete reading of the same key: one shuffle on the key."""
+def with_previous(events: DataFrame, order: str = "seq", span: int = 1 << 22) -> DataFrame:
+    """Adds ``complete`` and ``previous``, the last complete reading of the same key.
+
+    ``order`` is a whole number of arrival; a window holds a key's readings of ``span`` arrivals at most.
+    """
     out = events.withColumn("complete", complete())
-    keys = [F.when(F.col("complete"), F.col(f"seen.{k}")) for k in ("tenantId", "deviceId", "metric")]
-    salt = F.when(~F.col("complete"), F.pmod(F.xxhash64(order), F.lit(SALT)))
-    last = F.lag("seen.value").over(Window.partitionBy(*keys, salt).orderBy(order))
-    return out.withColumn("previous", F.when(F.col("complete"), last))
+    keys = {k: F.when(F.col("complete"), F.col(f"seen.{k}")) for k in ("tenantId", "deviceId", "metric")}
+    chunk = F.when(F.col("complete"), F.floor(F.col(order) / span)).otherwise(F.pmod(F.xxhash64(order), F.lit(SALT)))
+    last = with_last(out.withColumn("_value", F.col("seen.value")), keys, [order], "_value", chunk, "previous")
+    return last.drop("_value").withColumn("previous", F.when(F.col("complete"), F.col("previous")))
 
 
 def change_ratio(value: Column, previous: Column) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .history import with_last
 
-def increases(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """Adds ``increase`` since the series' previous sample; after a reset the counter starts at 0. No extrapolation."""
-    last = F.lag(value).over(Window.partitionBy(*keys).orderBy(ts))
-    now = F.col(value)
-    return samples.withColumn("increase", F.when(last.isNull(), F.lit(0)).when(now >= last, now - last).otherwise(now))
+
+def increases(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", chunk: Column | None = None) -> DataFrame:
+    """Adds ``increase`` since the series' previous sample; after a reset the counter starts at 0. No extrapolation.
+
+    ``chunk``: pieces of time (never falling as time rises) into which a long series is cut.
+    """
+    out = with_last(samples, {k: F.col(k) for k in keys}, [ts], value, F.lit(0) if chunk is None else chunk, "previous")
+    now, last = F.col(value), F.col("previous")
+    return out.withColumn("increase", F.when(last.isNull(), F.lit(0)).when(now >= last, now - last).otherwise(now)).drop("previous")
 
 
 def rate(events: DataFrame, window: str = "1 minute", keys: tuple[str, ...] = (), ts: str = "ts") -> DataFrame:

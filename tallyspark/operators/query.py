@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .history import with_last
+
 
 def recent(rows: DataFrame, limit: int, tenant: str | None = None, device: str | None = None, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """The newest rows that fit; every condition reaches the scan."""
@@ -37,7 +39,8 @@ def summed_by_window(rows: DataFrame, window: str, *keys: str) -> DataFrame:
 
 
 def heartbeat_gaps(rows: DataFrame, seconds: int) -> DataFrame:
-    """Readings that come more than ``seconds`` after the device's one before."""
-    before = F.lag("timestamp").over(Window.partitionBy("tenant_id", "device_id").orderBy("timestamp", "event_id"))
+    """Readings that come more than ``seconds`` after the device's one before; windows hold a device's readings of a day."""
+    keys = {k: F.col(k) for k in ("tenant_id", "device_id")}
+    out = with_last(rows, keys, ["timestamp", "event_id"], "timestamp", F.to_date("timestamp"), "previous_at")
     gap = F.timestamp_diff("SECOND", F.col("previous_at"), F.col("timestamp"))
-    return rows.withColumn("previous_at", before).withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds).select("tenant_id", "device_id", "event_id", "previous_at", "timestamp", "gap_seconds")
+    return out.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > seconds).select("tenant_id", "device_id", "event_id", "previous_at", "timestamp", "gap_seconds")

@@ -22,9 +22,9 @@ def event(seq, value="28.4", event_id=None, tenant="t", device="d", metric="temp
     return (seq, replayed, event_id or f"e{seq}", tenant, "Telemetry.Reading", None, "src", "1.0", p)
 
 
-def judged(spark, rows):
-    out = detect.detected(normalize.detection_view(spark.createDataFrame(rows, SEQ)))
-    return {r["seq"]: r for r in out.collect()}
+def judged(spark, rows, span=7):
+    seen = normalize.detection_view(spark.createDataFrame(rows, SEQ))
+    return {r["seq"]: r for r in detect.judged(detect.with_previous(seen, span=span)).collect()}
 
 
 def test_three_notions_of_blank(spark):
