@@ -80,7 +80,7 @@ def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 class FragmentEncoder:
     """Encodes blocks of texts; remembers the ids of up to ``keep`` fragments of at most ``short`` bytes."""
 
-    def __init__(self, tokenizer_json: str, keep: int = 1_000_000, short: int = 48, block_bytes: int = 1 << 20):
+    def __init__(self, tokenizer_json: str, keep: int = 1_000_000, short: int = 48, block_bytes: int = 4 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this core to the task
         from tokenizers import Tokenizer
 
@@ -92,8 +92,8 @@ class FragmentEncoder:
         rng = np.random.Generator(np.random.PCG64(3))
         self.letter = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.full(4 * block_bytes, BASE, np.uint64))
-            self.inverse = np.cumprod(np.full(4 * block_bytes, pow(BASE, -1, 1 << 64), np.uint64))
+            self.powers = np.cumprod(np.full(block_bytes + 1, BASE, np.uint64))
+            self.inverse = np.cumprod(np.full(block_bytes + 1, pow(BASE, -1, 1 << 64), np.uint64))
 
     def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
