@@ -110,7 +110,7 @@ def link(
     words: int = 64,
     list_rows: int = 128,
     max_lists: int = 4096,
-    sample_rows: int = 32_768,
+    sample_rows: int = 16_384,
     block: int = 4096,
     seed: int = 7,
     id_col: str = "vec_id",
