@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -69,7 +70,7 @@ class Tree(HTMLParser):
     def clear(self) -> None:
         self.reset()
         self.tag, self.parent, self.drop = [""], [-1], [False]
-        self.open = [0]
+        self.open, self.is_open = [0], Counter()
         #: (element, text) in page order; a text of None is a break between blocks
         self.runs: list[tuple[int, str | None]] = []
 
@@ -90,6 +91,7 @@ class Tree(HTMLParser):
         self.drop.append(self.drop[above] or self._no_content(tag, attrs))
         if tag not in v["void"]:
             self.open.append(len(self.tag) - 1)
+            self.is_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -114,10 +116,14 @@ class Tree(HTMLParser):
         self._close(tag, ())
 
     def _close(self, tag: str, stop: tuple) -> None:
+        if not self.is_open[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             name = self.tag[self.open[k]]
             if name == tag:
-                self.runs.append((self.open[k], None))
+                if tag in self.v["block"]:
+                    self.runs.append((self.open[k], None))
+                self.is_open.subtract(self.tag[i] for i in self.open[k:])
                 del self.open[k:]
                 return
             if name in stop:
@@ -162,9 +168,9 @@ def main_text(html: str | None, tree: Tree) -> str:
     for i in range(n):
         if chars[i]:
             c, t, lc, lt = chars[i], max(tags[i], 1), link_chars[i], link_tags[i]
-            # one more inside the outer logarithm than in the published form, which divides by 0 where there are no links
+            # one more inside both logarithms than in the published form, which divides by 0 where there are no links
             base = math.log(1 + math.log(c * lc / max(c - lc, 1) + share * c + math.e))
-            density[i] = c / t * math.log(max(c * t / (max(lc, 1) * max(lt, 1)), 1)) / base
+            density[i] = c / t * math.log(1 + c * t / (max(lc, 1) * max(lt, 1))) / base
     total = [float(own.get(i, 0)) for i in range(n)]
     best = list(range(n))
     for i in range(n - 1, 0, -1):  # a node's own sum is complete before its parent's
