@@ -101,7 +101,9 @@ class Parser:
             place = np.flatnonzero(spread(np.concatenate([edge, least, edge]), width, np.maximum) == hashes)
             place = place[(place >= lo) & (place < hi)]
             first, last = np.maximum(place - (length - gram), 0), np.minimum(place + length, n)
-            phrase = mixed((total[last] - total[first]) * self.inverse[first] + (last - first).astype(np.uint64))
+            # equal bytes around another place in them are another phrase
+            shape = (last - first + (place - first) * (4 * length)).astype(np.uint64)
+            phrase = mixed((total[last] - total[first]) * self.inverse[first] + shape)
         return place, hashes[place], phrase
 
 
@@ -138,7 +140,8 @@ class Chunk:
 
     def spans_of_buckets(self) -> Iterator[tuple[int, int, int]]:
         names, starts = np.unique(self.bucket, return_index=True)
-        yield from zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(self.bucket)], strict=True)
+        ends = [*starts[1:].tolist(), len(self.bucket)] if len(names) else []
+        yield from zip(names.tolist(), starts.tolist(), ends, strict=True)
 
 
 def _blob(columns: dict) -> bytes:
