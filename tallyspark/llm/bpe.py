@@ -80,7 +80,7 @@ def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 class FragmentEncoder:
     """Encodes blocks of texts; remembers the ids of up to ``keep`` fragments of at most ``short`` bytes."""
 
-    def __init__(self, tokenizer_json: str, keep: int = 1_000_000, short: int = 48, block_bytes: int = 4 << 20):
+    def __init__(self, tokenizer_json: str, keep: int = 400_000, short: int = 48, block_bytes: int = 2 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this core to the task
         from tokenizers import Tokenizer
 

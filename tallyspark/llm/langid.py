@@ -90,13 +90,13 @@ class Profiler:
         counts = np.bincount(of * len(seen) + gram, minlength=len(rows) * len(seen)).reshape(len(rows), len(seen)).astype(np.float32)
         letters = np.stack([self.vector(int(c)) for c in alphabet])
         profiles = np.zeros((len(rows), self.dims), np.float32)
-        for lo in range(0, len(seen), 8192):
-            part, bound = seen[lo : lo + 8192], None
+        for lo in range(0, len(seen), 4096):
+            part, bound = seen[lo : lo + 4096], None
             for k in range(n):  # the last letter is not rotated
                 turned = np.roll(letters, k, axis=1)[part % len(alphabet)]
                 bound = turned if bound is None else bound * turned
                 part = part // len(alphabet)
-            profiles += counts[:, lo : lo + 8192] @ bound.astype(np.float32)
+            profiles += counts[:, lo : lo + 4096] @ bound.astype(np.float32)
         norm = np.linalg.norm(profiles, axis=1, keepdims=True)
         return known, profiles / np.where(norm > 0, norm, 1)
 
