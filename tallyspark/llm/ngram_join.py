@@ -11,8 +11,9 @@ with its transpose, on as few columns as can hold a link:
 * The incidence is dealt into blocks of columns (by hash), packed as arrays.  A
   block drops the columns with one row.  Columns known to be frequent are not
   collected in blocks but stay rows that Spark can split.
-* First each column's rows are multiplied with one leading row only, in rounds.
-  Verified links join components, which collapses large groups in linear work.
+* First each column's rows are multiplied with one leading row only, in three
+  turns.  Verified links join components, which collapses large groups in linear
+  work.
 * Then come all products between rows of different components.  Overlap counts
   are accumulated over the columns, and a pair is discarded when its count plus
   all that is left outside the columns stays below the overlap that its sizes
@@ -29,18 +30,18 @@ and an empty table gives an empty table.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace, components
-from .shingles import Shingler, digest
+from .shingles import Shingler, digest, mixed
 
-ENTRY = "gram bigint, id bigint, d1 bigint, n int"
+ENTRY = "gram bigint, node bigint, n int"
 
 
 def at_least(n: np.ndarray, up: int, down: int) -> np.ndarray:
@@ -53,61 +54,57 @@ def join(
     k: int = 5,
     similarity: tuple[int, int] = (75, 100),
     frequent_rows: int = 1 << 18,
-    entries_per_block: int = 1_000_000,
+    entries_per_block: int = 500_000,
     broadcast_ids: int = 1_000_000,
+    lanes: tuple[int, ...] = (1, 32, 32),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; ``similarity`` is a fraction."""
+    """(id, n_shingles, component_id) of every row; ``similarity`` is a fraction.
+
+    ``lanes``: for each led turn, among how many leaders a group's columns are shared out.
+    """
     spark = docs.sparkSession
     work = Workspace(spark)
     up, down = similarity
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = work.saved(source.mapInArrow(_counter(k), "id bigint, n int, d1 bigint, d2 bigint, gram bigint, times bigint"))
-    sizes = counted.where("gram is null").select("id", "n", "d1", "d2")
+    counted = work.saved(source.mapInArrow(_counter(k), "id bigint, n int, node bigint, d2 bigint, gram bigint, times bigint"))
+    sizes = counted.where("gram is null").select("id", "n", "node", "d2")
     real = sizes.where("id is not null and n > 0")
-    classes = real.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
-    member = work.saved(real.join(classes, ["n", "d1", "d2"]).groupBy("id", "n", "d1", "d2").agg(F.min("rep").alias("rep")))
+    # equal sets: one class, named by its smallest id; a node is a set's first digest
+    classes = work.saved(real.groupBy("node", "n", "d2").agg(F.min("id").alias("rep")))
+    member = real.join(classes, ["node", "n", "d2"]).select("id", "rep")
 
     frequent = _frequent(counted.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")), frequent_rows)
     total = real.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, int(total * (down - up) / down) // entries_per_block, spark.sparkContext.defaultParallelism)
     order = spark.sparkContext.broadcast(frequent)  # at most frequent_rows
     packed = source.where("id is not null").mapInArrow(_packer(k, up, down, blocks, order), f"block int, {ENTRY}, packed binary")
-    packed = packed.repartition(blocks, "block")
-    # frequent columns are rows already; the others come out of their blocks
-    entries = work.saved(packed.mapInArrow(_unpack, ENTRY))
-    entries = entries.join(member.groupBy("id", "d1").agg(F.min("rep").alias("rep")), ["id", "d1"]).select("gram", F.col("rep").alias("id"), "n").distinct()
-    columns = entries.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1")
-    entries = work.saved(entries.join(columns.select("gram"), "gram"))
-
-    sets = None
-    links = work.saved(member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    needed = lambda m, n: F.ceil((m + n) * up / (up + down))
-    for turn in range(3):
-        label = components(links, work)
-        held = entries.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # columns within one component have nothing to add
-        open_ = held.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("gram")
-        held = work.saved(held.join(open_, "gram"))
-        pairs = work.saved((_led(held, turn) if turn < 2 else _crossed(held, up, down)).where(F.col("most") >= needed(F.col("n"), F.col("m"))).select("id", "other", "n", "m"))
-        if turn == 0 and pairs.isEmpty() and held.isEmpty():
-            break
-        sets, found = _verified(pairs, source, sets, k, up, down, broadcast_ids, work)
-        links = work.saved(links.union(found))
+    held = work.saved(packed.repartition(blocks, "block").mapInArrow(_unpack, ENTRY))
+
+    links = work.saved(member.groupBy("id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst")).where("src != dst").select("src", "dst"))
+    sets: list[DataFrame] = []
+    for turn in range(len(lanes) + 1):
+        label = components(links, work).withColumnRenamed("node", "rep")
+        nodes = work.saved(classes.join(label, "rep", "left").select("node", "n", "rep", F.coalesce("component", "rep").alias("component")))
+        if turn:
+            before, held = held, _still_open(held, nodes, work)
+            work.drop(before)
+        pairs = work.saved(_led(held, nodes, turn, lanes[turn], up, down) if turn < len(lanes) else _crossed(held, nodes, up, down))
+        links = work.saved(links.union(_verified(pairs, source, sets, k, up, down, broadcast_ids, work)))
     label = components(links, work).withColumnRenamed("node", "rep")
-    known = member.join(label, "rep", "left").select("id", "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    # the whole document's component is that of any of its rows
-    result = sizes.join(known, ["id", "n", "d1", "d2"], "left")
+    known = real.join(classes, ["node", "n", "d2"]).join(label, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    result = sizes.join(known, "id", "left")
+    # an empty set of a document whose other rows are linked is still that document
     return result.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _counter(k: int, chunk: int = 4_000_000):
+def _counter(k: int, chunk: int = 2_000_000):
     """Sizes and digests of all sets, and the n-grams met more than once in a stretch of about ``chunk``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(k), [], 0
-        names = ["id", "n", "d1", "d2", "gram", "times"]
+        names = ["id", "n", "node", "d2", "gram", "times"]
 
         def repeated():
             grams, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -157,41 +154,34 @@ def _packer(k: int, up: int, down: int, blocks: int, order, chunk: int = 500_000
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         grams, times = order.value
-        names = ["gram", "id", "d1", "n"]
-        held, ids, size = [], [], 0
+        names = ["gram", "node", "n"]
+        held, size = [], 0
 
         def out():
-            sizes = np.array([n for n, *_ in held], np.int32)
-            d1 = np.array([d for _, d, *_ in held], np.int64)
-            lengths = [len(g) for *_, g, _ in held]
+            node, sizes = np.array([d for d, *_ in held], np.int64), np.array([n for _, n, *_ in held], np.int32)
             gram, often = np.concatenate([g for *_, g, _ in held]), np.concatenate([t for *_, t in held])
-            row = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
-            doc = np.array(ids, np.int64)
-            plain = lambda x, kind: pa.array(x, kind)
-            block = (gram % np.uint64(blocks)).astype(np.int32)
+            row = np.repeat(np.arange(len(held), dtype=np.int32), [len(g) for *_, g, _ in held])
             hot = np.flatnonzero(often)
             if len(hot):
                 # spread by row as well, so that a frequent column is in many partitions
-                spread = ((gram[hot] ^ doc[row[hot]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [plain(spread, pa.int32()), plain(gram[hot].view(np.int64), pa.int64()), plain(doc[row[hot]], pa.int64()), plain(d1[row[hot]], pa.int64()), plain(sizes[row[hot]], pa.int32()), pa.nulls(len(hot), pa.binary())],
-                    ["block", *names, "packed"],
-                )
+                spread = (mixed(gram[hot] ^ node[row[hot]].view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(gram[hot].view(np.int64)), pa.array(node[row[hot]]), pa.array(sizes[row[hot]]), pa.nulls(len(hot), pa.binary())], ["block", *names, "packed"])
+            block = (gram % np.uint64(blocks)).astype(np.int32)
             cold = np.flatnonzero(often == 0)
             cold = cold[np.argsort(block[cold], kind="stable")]
             found, starts = np.unique(block[cold], return_index=True)
             blobs = []
             for lo, hi in zip(starts, [*starts[1:], len(cold)], strict=True):
                 at = cold[lo:hi]
-                used, local = np.unique(row[at], return_inverse=True)
-                parts = [np.array([len(at), len(used)], np.int64), gram[at], doc[used], d1[used], sizes[used], local.astype(np.int32)]
-                blobs.append(zlib.compress(b"".join(p.tobytes() for p in parts), 1))
+                used, runs = np.unique(row[at], return_counts=True)
+                parts = [np.array([len(at), len(used)], np.int64), gram[at], node[used], sizes[used], runs.astype(np.int32)]
+                blobs.append(b"".join(p.tobytes() for p in parts))
             none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([plain(found, pa.int32()), none, none, none, none.cast(pa.int32()), pa.array(blobs, pa.binary())], ["block", *names, "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), none, none, none.cast(pa.int32()), pa.array(blobs, pa.binary())], ["block", *names, "packed"])
 
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for doc, s in zip(batch.column(0).to_pylist(), shingler.sets(batch.column(1)), strict=True):
+            for s in shingler.sets(batch.column(1)):
                 n = len(s)
                 if not n or (mark := digest(s)) in seen:
                     continue
@@ -204,12 +194,11 @@ def _packer(k: int, up: int, down: int, blocks: int, order, chunk: int = 500_000
                 else:
                     often = np.zeros(n, np.int64)
                 keep = n - int(at_least(np.int64(n), up, down)) + 1
-                held.append((n, mark[0], s[:keep], often[:keep]))
-                ids.append(doc)
+                held.append((mark[0], n, s[:keep], often[:keep]))
                 size += keep
                 if size >= chunk:
                     yield from out()
-                    held, ids, size, seen = [], [], 0, set()
+                    held, size, seen = [], 0, set()
         if held:
             yield from out()
 
@@ -217,83 +206,116 @@ def _packer(k: int, up: int, down: int, blocks: int, order, chunk: int = 500_000
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns of a partition's blocks that have more than one row, and the frequent columns as they came."""
-    names = ["gram", "id", "d1", "n"]
-    held: list[list[np.ndarray]] = []
+    """A partition's distinct (column, row): of blocks those columns that have more than one row, and the frequent ones."""
+    names = ["gram", "node", "n"]
+    cold: list[list[np.ndarray]] = []
+    hot: list[list[np.ndarray]] = []
     for batch in batches:
-        packed = batch.column(5)
+        packed = batch.column(4)
         plain = packed.is_null()
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(plain) for i in range(1, 5)], names)
+        hot.append([batch.column(i).filter(plain).to_numpy() for i in range(1, 4)])
         for blob in packed.drop_null():
-            raw = zlib.decompress(blob.as_py())
+            raw = blob.as_py()
             n, m = np.frombuffer(raw, np.int64, 2)
             at, parts = 16, []
-            for count, kind in ((n, np.uint64), (m, np.int64), (m, np.int64), (m, np.int32), (n, np.int32)):
+            for count, kind in ((n, np.int64), (m, np.int64), (m, np.int32), (m, np.int32)):
                 parts.append(np.frombuffer(raw, kind, count, at))
                 at += parts[-1].nbytes
-            gram, doc, d1, size, local = parts
-            held.append([gram, doc[local], d1[local], size[local]])
-    if held:
-        gram, doc, d1, size = (np.concatenate(c) for c in zip(*held, strict=True))
+            gram, node, size, runs = parts
+            cold.append([gram, np.repeat(node, runs), np.repeat(size, runs)])
+    for held, alone in ((hot, True), (cold, False)):
+        if not held:
+            continue
+        gram, node, size = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
-        order = np.argsort(gram, kind="stable")
-        gram = gram[order]
-        same = gram[1:] == gram[:-1]
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        gram, order = gram[twice].view(np.int64), order[twice]
-        for lo in range(0, len(order), 100_000):
-            at = order[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(gram[lo : lo + 100_000]), *(pa.array(c[at]) for c in (doc, d1, size))], names)
-
-
-def _led(held: DataFrame, turn: int) -> DataFrame:
-    """Each row with the leading row of another component that it meets in most columns."""
-    lead = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-    leader = held.groupBy("gram").agg(F.min(F.struct(lead.alias("first"), "id", "n", "component")).alias("lead"))
-    met = held.join(leader, "gram").where("component != lead.component")
-    met = met.groupBy("id", "n", F.col("lead.id").alias("other"), F.col("lead.n").alias("m")).agg(F.count("*").alias("columns"))
-    best = met.groupBy("id", "n").agg(F.max_by(F.struct("other", "m"), F.struct("columns", -F.col("other"))).alias("best"))
-    return best.select("id", F.col("best.other").alias("other"), "n", F.col("best.m").alias("m")).withColumn("most", F.least("n", "m"))
-
-
-def _crossed(held: DataFrame, up: int, down: int) -> DataFrame:
-    """All pairs of rows from different components with the most overlap that they can have."""
+        if not alone:  # few columns have a second row, so these go before the larger sort
+            order = np.argsort(gram, kind="stable")
+            same = gram[order][1:] == gram[order][:-1]
+            order = order[np.append(same, False) | np.append(False, same)] if len(gram) else order
+            gram, node, size = gram[order], node[order], size[order]
+        order = np.lexsort((size, node, gram))
+        gram, node, size = gram[order], node[order], size[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]) | (size[1:] != size[:-1])) if len(gram) else np.zeros(0, bool)
+        gram, node, size = gram[new], node[new], size[new]
+        if not alone and len(gram):
+            same = gram[1:] == gram[:-1]
+            twice = np.append(same, False) | np.append(False, same)
+            gram, node, size = gram[twice], node[twice], size[twice]
+        for lo in range(0, len(gram), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in (gram, node, size)], names)
+
+
+def _needed(n: str, m: str, up: int, down: int) -> Column:
+    """The least overlap of sets of these sizes that are linked."""
+    return F.ceil((F.col(n) + F.col(m)) * up / (up + down))
+
+
+def _outside(n: str, m: str, up: int, down: int) -> Column:
+    """The most overlap outside the columns: the row whose columns end first has all of it there."""
+    return F.ceil(F.greatest(n, m) * up / down) - 1
+
+
+def _still_open(held: DataFrame, nodes: DataFrame, work: Workspace) -> DataFrame:
+    """The columns with rows of more than one component; the others have nothing to add, now or later."""
+    labelled = held.join(nodes.select("node", "n", "component"), ["node", "n"])
+    open_ = labelled.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    return work.saved(held.join(open_.select("gram"), "gram", "left_semi"))
+
+
+def _led(held: DataFrame, nodes: DataFrame, turn: int, lanes: int, up: int, down: int) -> DataFrame:
+    """Each row with the leading rows that it meets in enough columns; another turn has other leaders.
+
+    A group of like rows has a leader for each lane, which has its share of the columns: so a
+    row that is not linked with one leader meets others in the same turn.  What a lane counts is
+    scaled up, with a margin, before it meets the bound.
+    """
+    share = 3 * lanes if lanes > 1 else 1
+    mask = F.xxhash64(F.lit(turn), F.pmod("gram", F.lit(lanes)))
+    leader = held.groupBy("gram").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("first")).select("gram", F.col("first").bitwiseXOR(mask).alias("other"))
+    met = held.join(leader, "gram").where("node != other").groupBy("node", "n", "other").agg(F.count("*").alias("columns"))
+    one = nodes.select("node", "n", F.col("rep").alias("id"), "component")
+    two = nodes.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("rep").alias("other_id"), F.col("component").alias("other_component"))
+    met = met.join(one, ["node", "n"]).join(two, "other").where("component != other_component")
+    met = met.where(F.col("columns") * share + _outside("n", "m", up, down) >= _needed("n", "m", up, down)).where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
+    return met.select("id", F.col("other_id").alias("other"), "n", "m")
+
+
+def _crossed(held: DataFrame, nodes: DataFrame, up: int, down: int) -> DataFrame:
+    """All pairs of rows from different components whose overlap may suffice."""
+    held = held.join(nodes.select("node", "n", F.col("rep").alias("id"), "component"), ["node", "n"]).select("gram", "id", "n", "component")
     size = held.groupBy("gram", "component").agg(F.count("*").alias("rows"))
     largest = size.groupBy("gram").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
     held = held.join(largest, "gram").withColumn("inner", F.col("component") == F.col("largest"))
     few = held.where("not inner").select("gram", "id", "n", "component")
     other = held.select("gram", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"), "inner")
-    met = few.join(other, "gram").where("component != other_component and (inner or id < other)")
-    met = met.where((F.least("n", "m") * down >= F.greatest("n", "m") * up))
-    pair = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
-    met = met.select(*pair, F.when(F.col("id") < F.col("other"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("id") < F.col("other"), F.col("m")).otherwise(F.col("n")).alias("m"))
-    met = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("columns"))
-    # what a row has outside its columns; the row whose columns end first has all uncounted overlap there
-    rest = lambda n: F.ceil(F.col(n) * up / down) - 1
-    return met.select(F.col("a").alias("id"), F.col("b").alias("other"), "n", "m", (F.col("columns") + F.greatest(rest("n"), rest("m"))).alias("most"))
-
-
-def _verified(pairs: DataFrame, source: DataFrame, sets: DataFrame | None, k: int, up: int, down: int, broadcast_ids: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Whole sets of the pairs' documents (kept for later turns), and the pairs that are linked."""
-    ids = pairs.select("id").union(pairs.select("other")).distinct()
-    if sets is not None:
-        ids = ids.join(sets.select("id").distinct(), "id", "left_anti")
-    ids = work.saved(ids)
-    if ids.count() <= broadcast_ids:
-        ids = F.broadcast(ids)
+    met = few.join(other, "gram").where("component != other_component and (inner or id < other)").where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
+    swap = F.col("id") > F.col("other")
+    met = met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("id", "other"), ("other", "id"), ("n", "m"), ("m", "n"))))
+    met = met.groupBy("id", "other", "n", "m").agg(F.count("*").alias("columns"))
+    return met.where(F.col("columns") + _outside("n", "m", up, down) >= _needed("n", "m", up, down)).drop("columns")
+
+
+def _verified(pairs: DataFrame, source: DataFrame, sets: list[DataFrame], k: int, up: int, down: int, broadcast_ids: int, work: Workspace) -> DataFrame:
+    """The pairs that are linked, by their documents' whole sets; sets that are new are added to ``sets`` for later turns."""
+    ids = work.saved(pairs.select("id").union(pairs.select("other")).distinct())
+    near = F.broadcast if ids.count() <= broadcast_ids else (lambda df: df)
+    new = ids
+    for known in sets:
+        new = new.join(known.select("id").distinct(), "id", "left_anti")
 
     def whole(batches):
         shingler = Shingler(k)
         for batch in batches:
-            out = list(shingler.sets(batch.column(1)))
-            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            values = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values))], ["id", "grams"])
-
-    new = work.saved(source.join(ids, "id", "left_semi").mapInArrow(whole, "id bigint, grams array<bigint>"))
-    sets = new if sets is None else work.saved(sets.union(new))
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                out = list(shingler.sets(part.column(1)))
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out).view(np.int64)))], ["id", "grams"])
+
+    sets.append(work.saved(source.join(near(work.saved(new)), "id", "left_semi").mapInArrow(whole, "id bigint, grams array<bigint>")))
+    wanted = reduce(DataFrame.union, sets).join(near(ids), "id", "left_semi")
     # of a document with several rows, the row of the pair's size
-    one, two = sets.select("id", F.col("grams").alias("x")), sets.select(F.col("id").alias("other"), F.col("grams").alias("y"))
+    one, two = wanted.select("id", F.col("grams").alias("x")), wanted.select(F.col("id").alias("other"), F.col("grams").alias("y"))
     both = pairs.join(one, "id").where("size(x) = n").join(two, "other").where("size(y) = m")
     overlap = F.size(F.array_intersect("x", "y"))
-    return sets, both.where(overlap * down >= (F.col("n") + F.col("m") - overlap) * up).select(F.col("id").alias("src"), F.col("other").alias("dst")).distinct()
+    return both.where(overlap * down >= (F.col("n") + F.col("m") - overlap) * up).select(F.col("id").alias("src"), F.col("other").alias("dst")).distinct()

@@ -49,7 +49,7 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     mark = None
     while True:
         stats = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == tuple(stats):
+        if not stats["n"] or mark == tuple(stats):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         mark = tuple(stats)
         sides = now.union(now.select("v", "u"))

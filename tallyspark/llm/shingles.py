@@ -21,7 +21,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Words are runs without ASCII white space, A-Z lower-cased; shingles are ``k`` words."""
 
-    def __init__(self, k: int, block_bytes: int = 2_000_000):
+    def __init__(self, k: int, block_bytes: int = 1_000_000):
         self.k, self.block_bytes = k, block_bytes
         rng = np.random.Generator(np.random.PCG64(5))
         self.letter = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
