@@ -11,13 +11,14 @@ with its transpose, on as few columns as can hold a link:
 * The incidence is dealt into blocks of columns (by hash), packed as arrays.  A
   block drops the columns with one row.  Columns known to be frequent are not
   collected in blocks but stay rows that Spark can split.
-* First each column's rows are multiplied with one leading row only, in three
+* First each column's rows are multiplied with one leading row only, in two
   turns.  Verified links join components, which collapses large groups in linear
   work.
-* Then come all products between rows of different components.  Overlap counts
-  are accumulated over the columns, and a pair is discarded when its count plus
-  all that is left outside the columns stays below the overlap that its sizes
-  require.  What remains is verified on the whole sets.
+  Overlap counts are accumulated over the columns, and a pair is discarded when
+  its count plus all that can be outside the columns is below what its sizes require.
+* Then come all products between rows of different components, but for those whose
+  places in their rows leave too little room for that overlap.  What remains is
+  verified on the whole sets.
 
 A pair in one component needs no product, so no link between components is lost.
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .shared import Workspace, components
 from .shingles import Shingler, digest, mixed
 
-ENTRY = "gram bigint, node bigint, n int"
+ENTRY = "gram bigint, node bigint, n int, place int"
 
 
 def at_least(n: np.ndarray, up: int, down: int) -> np.ndarray:
@@ -56,7 +57,7 @@ def join(
     frequent_rows: int = 1 << 18,
     entries_per_block: int = 500_000,
     broadcast_ids: int = 1_000_000,
-    lanes: tuple[int, ...] = (1, 32, 32),
+    lanes: tuple[int, ...] = (1, 4),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -154,18 +155,19 @@ def _packer(k: int, up: int, down: int, blocks: int, order, chunk: int = 500_000
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         grams, times = order.value
-        names = ["gram", "node", "n"]
+        names = ["gram", "node", "n", "place"]
         held, size = [], 0
 
         def out():
             node, sizes = np.array([d for d, *_ in held], np.int64), np.array([n for _, n, *_ in held], np.int32)
             gram, often = np.concatenate([g for *_, g, _ in held]), np.concatenate([t for *_, t in held])
             row = np.repeat(np.arange(len(held), dtype=np.int32), [len(g) for *_, g, _ in held])
+            place = np.concatenate([np.arange(len(g), dtype=np.int32) for *_, g, _ in held])
             hot = np.flatnonzero(often)
             if len(hot):
                 # spread by row as well, so that a frequent column is in many partitions
                 spread = (mixed(gram[hot] ^ node[row[hot]].view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(gram[hot].view(np.int64)), pa.array(node[row[hot]]), pa.array(sizes[row[hot]]), pa.nulls(len(hot), pa.binary())], ["block", *names, "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(gram[hot].view(np.int64)), pa.array(node[row[hot]]), pa.array(sizes[row[hot]]), pa.array(place[hot]), pa.nulls(len(hot), pa.binary())], ["block", *names, "packed"])
             block = (gram % np.uint64(blocks)).astype(np.int32)
             cold = np.flatnonzero(often == 0)
             cold = cold[np.argsort(block[cold], kind="stable")]
@@ -174,10 +176,10 @@ def _packer(k: int, up: int, down: int, blocks: int, order, chunk: int = 500_000
             for lo, hi in zip(starts, [*starts[1:], len(cold)], strict=True):
                 at = cold[lo:hi]
                 used, runs = np.unique(row[at], return_counts=True)
-                parts = [np.array([len(at), len(used)], np.int64), gram[at], node[used], sizes[used], runs.astype(np.int32)]
+                parts = [np.array([len(at), len(used)], np.int64), gram[at], node[used], sizes[used], runs.astype(np.int32), place[at]]
                 blobs.append(b"".join(p.tobytes() for p in parts))
             none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), none, none, none.cast(pa.int32()), pa.array(blobs, pa.binary())], ["block", *names, "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), none, none, none.cast(pa.int32()), none.cast(pa.int32()), pa.array(blobs, pa.binary())], ["block", *names, "packed"])
 
         seen: set[tuple[int, int]] = set()
         for batch in batches:
@@ -207,42 +209,42 @@ def _packer(k: int, up: int, down: int, blocks: int, order, chunk: int = 500_000
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's distinct (column, row): of blocks those columns that have more than one row, and the frequent ones."""
-    names = ["gram", "node", "n"]
+    names = ["gram", "node", "n", "place"]
     cold: list[list[np.ndarray]] = []
     hot: list[list[np.ndarray]] = []
     for batch in batches:
-        packed = batch.column(4)
+        packed = batch.column(5)
         plain = packed.is_null()
-        hot.append([batch.column(i).filter(plain).to_numpy() for i in range(1, 4)])
+        hot.append([batch.column(i).filter(plain).to_numpy() for i in range(1, 5)])
         for blob in packed.drop_null():
             raw = blob.as_py()
             n, m = np.frombuffer(raw, np.int64, 2)
             at, parts = 16, []
-            for count, kind in ((n, np.int64), (m, np.int64), (m, np.int32), (m, np.int32)):
+            for count, kind in ((n, np.int64), (m, np.int64), (m, np.int32), (m, np.int32), (n, np.int32)):
                 parts.append(np.frombuffer(raw, kind, count, at))
                 at += parts[-1].nbytes
-            gram, node, size, runs = parts
-            cold.append([gram, np.repeat(node, runs), np.repeat(size, runs)])
+            gram, node, size, runs, place = parts
+            cold.append([gram, np.repeat(node, runs), np.repeat(size, runs), place])
     for held, alone in ((hot, True), (cold, False)):
         if not held:
             continue
-        gram, node, size = (np.concatenate(c) for c in zip(*held, strict=True))
+        gram, node, size, place = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         if not alone:  # few columns have a second row, so these go before the larger sort
             order = np.argsort(gram, kind="stable")
             same = gram[order][1:] == gram[order][:-1]
             order = order[np.append(same, False) | np.append(False, same)] if len(gram) else order
-            gram, node, size = gram[order], node[order], size[order]
+            gram, node, size, place = gram[order], node[order], size[order], place[order]
         order = np.lexsort((size, node, gram))
-        gram, node, size = gram[order], node[order], size[order]
+        gram, node, size, place = gram[order], node[order], size[order], place[order]
         new = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]) | (size[1:] != size[:-1])) if len(gram) else np.zeros(0, bool)
-        gram, node, size = gram[new], node[new], size[new]
+        gram, node, size, place = gram[new], node[new], size[new], place[new]
         if not alone and len(gram):
             same = gram[1:] == gram[:-1]
             twice = np.append(same, False) | np.append(False, same)
-            gram, node, size = gram[twice], node[twice], size[twice]
+            gram, node, size, place = gram[twice], node[twice], size[twice], place[twice]
         for lo in range(0, len(gram), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in (gram, node, size)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in (gram, node, size, place)], names)
 
 
 def _needed(n: str, m: str, up: int, down: int) -> Column:
@@ -282,17 +284,19 @@ def _led(held: DataFrame, nodes: DataFrame, turn: int, lanes: int, up: int, down
 
 def _crossed(held: DataFrame, nodes: DataFrame, up: int, down: int) -> DataFrame:
     """All pairs of rows from different components whose overlap may suffice."""
-    held = held.join(nodes.select("node", "n", F.col("rep").alias("id"), "component"), ["node", "n"]).select("gram", "id", "n", "component")
+    held = held.join(nodes.select("node", "n", F.col("rep").alias("id"), "component"), ["node", "n"]).select("gram", "id", "n", "place", "component")
     size = held.groupBy("gram", "component").agg(F.count("*").alias("rows"))
     largest = size.groupBy("gram").agg(F.max_by("component", F.struct("rows", "component")).alias("largest"))
     held = held.join(largest, "gram").withColumn("inner", F.col("component") == F.col("largest"))
-    few = held.where("not inner").select("gram", "id", "n", "component")
-    other = held.select("gram", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"), "inner")
-    met = few.join(other, "gram").where("component != other_component and (inner or id < other)").where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
+    few = held.where("not inner").select("gram", "id", "n", "place", "component")
+    other = held.select("gram", F.col("id").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("component").alias("other_component"), "inner")
+    # a linked pair's first common column leaves room for all the overlap that it needs
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) >= _needed("n", "m", up, down)
+    sizes = F.least("n", "m") * down >= F.greatest("n", "m") * up
+    apart = F.col("component") != F.col("other_component")
+    met = few.join(other, (few["gram"] == other["gram"]) & room & sizes & apart & (F.col("inner") | (F.col("id") < F.col("other"))))
     swap = F.col("id") > F.col("other")
-    met = met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("id", "other"), ("other", "id"), ("n", "m"), ("m", "n"))))
-    met = met.groupBy("id", "other", "n", "m").agg(F.count("*").alias("columns"))
-    return met.where(F.col("columns") + _outside("n", "m", up, down) >= _needed("n", "m", up, down)).drop("columns")
+    return met.select(*(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("id", "other"), ("other", "id"), ("n", "m"), ("m", "n")))).distinct()
 
 
 def _verified(pairs: DataFrame, source: DataFrame, sets: list[DataFrame], k: int, up: int, down: int, broadcast_ids: int, work: Workspace) -> DataFrame:
