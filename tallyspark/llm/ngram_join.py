@@ -17,8 +17,10 @@ with its transpose, on as few columns as can hold a link:
   Overlap counts are accumulated over the columns, and a pair is discarded when
   its count plus all that can be outside the columns is below what its sizes require.
 * Then come all products between rows of different components, but for those whose
-  places in their rows leave too little room for that overlap.  What remains is
-  verified on the whole sets.
+  places in their rows leave too little room for that overlap.
+* Rows folded to one bit a hash, the parity of what falls on it, differ in no more
+  places than the sets do.  That bounds a pair's overlap from above, by a fiftieth of
+  the bytes; only pairs within the bound are verified, on the whole sets.
 
 A pair in one component needs no product, so no link between components is lost.
 
@@ -69,9 +71,10 @@ def join(
     work = Workspace(spark)
     up, down = similarity
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = work.saved(source.mapInArrow(_counter(k), "id bigint, n int, node bigint, d2 bigint, gram bigint, times bigint"))
+    counted = work.saved(source.mapInArrow(_counter(k), "id bigint, n int, node bigint, d2 bigint, folded binary, gram bigint, times bigint"))
     sizes = counted.where("gram is null").select("id", "n", "node", "d2")
     real = sizes.where("id is not null and n > 0")
+    folded = counted.where("gram is null").select("id", "n", "folded")
     # equal sets: one class, named by its smallest id; a node is a set's first digest
     classes = work.saved(real.groupBy("node", "n", "d2").agg(F.min("id").alias("rep")))
     member = real.join(classes, ["node", "n", "d2"]).select("id", "rep")
@@ -92,7 +95,7 @@ def join(
             before, held = held, _still_open(held, nodes, work)
             work.drop(before)
         pairs = work.saved(_led(held, nodes, turn, lanes[turn], up, down) if turn < len(lanes) else _crossed(held, nodes, up, down))
-        links = work.saved(links.union(_verified(pairs, source, sets, k, up, down, broadcast_ids, work)))
+        links = work.saved(links.union(_verified(_bounded(pairs, folded, up, down, broadcast_ids, work), source, sets, k, up, down, broadcast_ids, work)))
     label = components(links, work).withColumnRenamed("node", "rep")
     known = real.join(classes, ["node", "n", "d2"]).join(label, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     result = sizes.join(known, "id", "left")
@@ -101,30 +104,31 @@ def join(
 
 
 def _counter(k: int, chunk: int = 2_000_000):
-    """Sizes and digests of all sets, and the n-grams met more than once in a stretch of about ``chunk``."""
+    """Sizes, digests and folded rows of all sets, and the n-grams met more than once in a stretch of about ``chunk``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(k), [], 0
-        names = ["id", "n", "node", "d2", "gram", "times"]
+        names = ["id", "n", "node", "d2", "folded", "gram", "times"]
 
         def repeated():
             grams, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             grams, times = grams[times > 1].view(np.int64), times[times > 1]
             none = pa.nulls(len(grams), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none, pa.array(grams), pa.array(times, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, none, pa.nulls(len(grams), pa.binary()), pa.array(grams), pa.array(times, pa.int64())], names)
 
         for batch in batches:
-            rows = []
+            rows, bits = [], []
             seen = set()
             for s in shingler.sets(batch.column(1)):
                 rows.append((len(s), *digest(s)))
+                bits.append(_fold(s))
                 if rows[-1] not in seen:  # copies are one row of the matrix
                     seen.add(rows[-1])
                     held.append(s)
                     size += len(s)
             n, d1, d2 = zip(*rows, strict=True) if rows else ([], [], [])
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, pa.binary()), none, none], names)
             if size >= chunk:
                 yield repeated()
                 held, size = [], 0
@@ -133,6 +137,39 @@ def _counter(k: int, chunk: int = 2_000_000):
     return run
 
 
+def _fold(hashes: np.ndarray) -> bytes:
+    """The parity of the hashes on each of about as many places, a power of two, as there are hashes."""
+    places = max(64, 1 << (len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(places - 1)).view(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many places two folded rows differ; the longer is folded further."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _bounded(pairs: DataFrame, folded: DataFrame, up: int, down: int, broadcast_ids: int, work: Workspace) -> DataFrame:
+    """The pairs whose folded rows allow the overlap that their sizes require."""
+    ids = work.saved(pairs.select("id").union(pairs.select("other")).distinct())
+    wanted = folded.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "id", "left_semi")
+    one = wanted.select("id", "n", F.col("folded").alias("x"))
+    two = wanted.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("folded").alias("y"))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            apart = [_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            # two sets have as much in common as is left of both without what only one has, halved
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(both - np.array(apart, np.int64) >= 2 * at_least(both, up, up + down)))
+
+    columns = pairs.join(one, ["id", "n"]).join(two, ["other", "m"]).select("id", "other", "n", "m", "x", "y")
+    # a document with several rows of one size brings its pair more than once
+    return work.saved(columns.mapInArrow(within, "id bigint, other bigint, n int, m int").distinct())
+
+
 def _frequent(times: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams, at most ``most``, and their counts; from a power of two on."""
     steps = times.where("times >= 16").groupBy(F.floor(F.log2("times")).alias("step")).agg(F.count("*").alias("grams")).orderBy(F.desc("step")).collect()
