@@ -11,7 +11,7 @@ with its transpose, on as few columns as can hold a link:
 * The incidence is dealt into blocks of columns (by hash), packed as arrays.  A
   block drops the columns with one row.  Columns known to be frequent are not
   collected in blocks but stay rows that Spark can split.
-* First each column's rows are multiplied with one leading row only, in two
+* First each column's rows are multiplied with one leading row only, in a few
   turns.  Verified links join components, which collapses large groups in linear
   work.
   Overlap counts are accumulated over the columns, and a pair is discarded when
@@ -59,7 +59,7 @@ def join(
     frequent_rows: int = 1 << 18,
     entries_per_block: int = 500_000,
     broadcast_ids: int = 1_000_000,
-    lanes: tuple[int, ...] = (1, 4),
+    lanes: tuple[int, ...] = (1, 4, 16),
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
