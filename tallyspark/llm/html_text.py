@@ -7,9 +7,12 @@ density: characters per tag, weighted down by the share of its characters and
 tags that belong to links, measured against the same share in the whole body.
 A node's density sum adds up its children's densities, a run of text of its own
 counting as a child of one tag.  The node with the largest sum gives the
-threshold, the smallest density on its path to the body; below the body, every
-node whose density reaches the threshold gives its subtree's node of the largest
-sum; their nearest common ancestor, or the article around it, is the text.
+threshold, the smallest density on its path to the body.  The walk goes down from
+the body into every node whose density reaches the threshold and marks its
+subtree's node of the largest sum.  The text is all that is marked and, where
+several of the body's children are marked or the body itself has the largest sum,
+all others of its children but lists of links (several, with most of the child's
+characters; a body with text of its own is whole).  A marked node stands for the whole article or main around it.
 
 Text is cut into blocks at block elements, white space inside a block becomes
 one space, and blocks are joined by a line feed.
@@ -187,21 +190,31 @@ def main_text(html: str | None, tree: Tree) -> str:
     while i > body:
         i = parent[i]
         threshold = min(threshold, density[i])
-    root = -1
+    marked, reached, inside = [], [False] * n, [False] * n
+    reached[body] = True
     for i in range(body + 1, n):
-        if parent[i] == body and not drop[i] and chars[i] and density[i] >= threshold:
-            root = best[i] if root < 0 else _common(root, best[i], parent)
-    if root < 0 or own.get(body, 0) and density[body] >= threshold:
-        root = top if root < 0 else _common(root, top, parent)
-    i = root
-    while i > body:
-        if tag[i] in ("article", "main"):
-            root = i
-        i = parent[i]
-    inside = [False] * n
-    inside[root] = True
-    for i in range(root + 1, n):
-        inside[i] = inside[parent[i]]
+        if drop[i] or not chars[i] or not reached[parent[i]]:
+            continue
+        if density[i] >= threshold:
+            reached[i] = inside[best[i]] = True
+            if parent[i] == body:
+                marked.append(i)
+    if not marked:
+        inside[top] = True
+    elif top == body or len(marked) > 1:
+        inside[body] = body in own  # then its own text and all else
+        for i in range(body + 1, n):
+            if parent[i] == body and (link_tags[i] < 2 or 2 * link_chars[i] <= chars[i]):
+                inside[i] = True
+    around = [-1] * n  # the outermost article or main below the body
+    for i in range(body + 1, n):
+        around[i] = around[parent[i]]
+        if around[i] < 0 and tag[i] in ("article", "main"):
+            around[i] = i
+        if inside[i] and around[i] >= 0:
+            inside[around[i]] = True
+    for i in range(1, n):
+        inside[i] = inside[i] or inside[parent[i]]
     blocks, held = [], []
     for i, text in tree.runs:
         if text is None:
@@ -213,15 +226,6 @@ def main_text(html: str | None, tree: Tree) -> str:
     return "\n".join(b for x in blocks if (b := " ".join(x.split())))
 
 
-def _common(a: int, b: int, parent: list[int]) -> int:
-    while a != b:
-        if a > b:
-            a = parent[a]
-        else:
-            b = parent[b]
-    return a
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
 

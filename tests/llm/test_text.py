@@ -189,6 +189,30 @@ def test_main_text(spark):
     assert sorted((r["page_id"], r["text"]) for r in got) == sorted([*enumerate(PAGES.values()), (99, ""), (99, "")])
 
 
+def paragraphs(n, letter):
+    return "".join(f"<p>{letter * 9} {k} {'word ' * 40}</p>" for k in range(n))
+
+
+def test_every_dense_section_is_text():
+    links = "<ul>" + "".join(f"<li><a href=x>entry {k}</a></li>" for k in range(40)) + "</ul>"
+    tree = html_text.Tree(html_text.fixed())
+
+    def blocks(page):
+        return html_text.main_text(page, tree).split("\n")
+
+    def starts(page):
+        return [b[0] for b in blocks(page)]
+
+    # sections in one wrapper, without article or main; the list of links is left out
+    assert starts(f"<body><div id=page>{links}<div>{paragraphs(10, 'a')}</div><div>{paragraphs(3, 'b')}</div></div>") == ["a"] * 10 + ["b"] * 3
+    # and one wrapper further down
+    assert starts(f"<body><div><div id=page>{links}<div>{paragraphs(3, 'a')}</div><section><div>{paragraphs(10, 'b')}</div></section></div></div>") == ["a"] * 3 + ["b"] * 10
+    # blocks of unlike length straight in the body
+    assert starts(f"<body><h2><a href=x>title</a></h2>{paragraphs(1, 'a')}<p>{'c' * 5000}</p>{links}") == ["t", "a", "c"]
+    # an article is whole
+    assert starts(f"<body><div><article>{links}<div>{paragraphs(4, 'a')}</div><p>z</p></article></div>") == ["e"] * 40 + ["a"] * 4 + ["z"]
+
+
 def test_page_query_equals_the_articles(spark, sf_dir):
     import html
     import re
