@@ -2,7 +2,11 @@
 
 A page becomes a tree of elements.  Elements that are no content by their tag,
 role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-comments and the like) are taken out.  Every node gets its composite text
+comments and the like) are taken out.  A class or id counts by its whole name: a
+listed word, or listed words joined with words of place and shape (site-header,
+sidebar-left).  By such a name nothing is taken out that holds an article or main
+when no other stands elsewhere, nor, unless the name is one of other people's text
+(adverts, comments, consent), what holds most of the page's unlinked text.  Every node gets its composite text
 density: characters per tag, weighted down by the share of its characters and
 tags that belong to links, measured against the same share in the whole body.
 A node's density sum adds up its children's densities, a run of text of its own
@@ -35,7 +39,9 @@ from pyspark.sql import DataFrame
 
 
 def fixed():
-    """Element names by their part in a page, and words of a class or id that mark no content."""
+    """Element names by their part in a page, and words of a class or id that mark no content.
+
+    ``others``: those of the words that name other people's text; ``joined``: what may stand beside a word in a class or id."""
     return {
         "void": frozenset("area base br col embed hr img input link meta param source track wbr".split()),
         "block": frozenset(
@@ -53,6 +59,14 @@ def fixed():
             "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing "
             "sidebar skyscraper social sponsor sponsored subscribe toolbar".split()
         ),
+        "others": frozenset(
+            "ad ads adv advert adverts advertisement advertising adsense comment comments consent cookie cookies disqus gdpr promo promoted promotion replies respond skyscraper "
+            "sponsor sponsored".split()
+        ),
+        "joined": frozenset(
+            "area bar block bottom box button buttons col column container desktop fixed global group holder icon icons inner item items left link links list main mobile outer "
+            "panel posts primary right secondary section site slot sticky top unit widget widgets wrap wrapper zone".split()
+        ),
         "kept": frozenset("html body article main".split()),
         "closes_p": frozenset(
             "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main "
@@ -73,6 +87,8 @@ class Tree(HTMLParser):
     def clear(self) -> None:
         self.reset()
         self.tag, self.parent, self.drop = [""], [-1], [False]
+        #: by class or id no content: 1, or 2 if other people's text
+        self.named: dict[int, int] = {}
         self.open, self.is_open = [0], Counter()
         #: (element, text) in page order; a text of None is a break between blocks
         self.runs: list[tuple[int, str | None]] = []
@@ -92,6 +108,8 @@ class Tree(HTMLParser):
         self.tag.append(tag)
         self.parent.append(above)
         self.drop.append(self.drop[above] or self._no_content(tag, attrs))
+        if not self.drop[-1] and tag not in v["kept"] and (kind := self._named(attrs)):
+            self.named[len(self.tag) - 1] = kind
         if tag not in v["void"]:
             self.open.append(len(self.tag) - 1)
             self.is_open[tag] += 1
@@ -111,10 +129,19 @@ class Tree(HTMLParser):
                 return True
             if name == "style" and "display:none" in value.replace(" ", ""):
                 return True
-            if name in ("class", "id") and not v["words"].isdisjoint(re.findall("[a-z]+", value)):
-                return True
         return False
 
+    def _named(self, attrs) -> int:
+        v, kind = self.v, 0
+        for name, value in attrs:
+            if name in ("class", "id"):
+                for whole in (value or "").lower().split():
+                    parts = set(re.findall(r"[^\W\d_]+", whole))
+                    words = parts & v["words"]
+                    if words and parts - words <= v["joined"]:
+                        kind = max(kind, 1 if words.isdisjoint(v["others"]) else 2)
+        return kind
+
     def handle_endtag(self, tag):
         self._close(tag, ())
 
@@ -143,6 +170,7 @@ def main_text(html: str | None, tree: Tree) -> str:
     tree.clear()
     tree.feed(html)
     tree.close()
+    _drop_named(tree)
     tag, parent, drop = tree.tag, tree.parent, tree.drop
     n = len(tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -226,6 +254,31 @@ def main_text(html: str | None, tree: Tree) -> str:
     return "\n".join(b for x in blocks if (b := " ".join(x.split())))
 
 
+def _drop_named(tree: Tree) -> None:
+    """Drop what its class or id names as no content, but not the article or most of the unlinked text."""
+    if not tree.named:
+        return
+    tag, parent, drop, named = tree.tag, tree.parent, tree.drop, tree.named
+    n = len(tag)
+    linked, within = [False] * n, [False] * n
+    for i in range(1, n):
+        linked[i] = tag[i] == "a" or linked[parent[i]]
+        within[i] = i in named or within[parent[i]]
+    held = [0] * n
+    for i, text in tree.runs:
+        if text and not drop[i] and not linked[i]:
+            held[i] += len("".join(text.split()))
+    article = [tag[i] in ("article", "main") and not drop[i] for i in range(n)]
+    elsewhere = any(article[i] and not within[i] for i in range(n))
+    for i in range(n - 1, 0, -1):
+        held[parent[i]] += held[i]
+        article[parent[i]] = article[parent[i]] or article[i]
+    for i in range(1, n):
+        if i in named and not (article[i] and not elsewhere or named[i] == 1 and 2 * held[i] > held[0]):
+            drop[i] = True
+        drop[i] = drop[i] or drop[parent[i]]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
 

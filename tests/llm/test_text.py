@@ -213,6 +213,24 @@ def test_every_dense_section_is_text():
     assert starts(f"<body><div><article>{links}<div>{paragraphs(4, 'a')}</div><p>z</p></article></div>") == ["e"] * 40 + ["a"] * 4 + ["z"]
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["div class='content has-sidebar'", "div class='post comments-open'", "div id='page' class='no-sidebar'", "section id='related-work'", "div class='ad-free'", "div class='sidebar-left'", "div class=menu"],
+)
+def test_a_wrapper_with_a_listed_word_keeps_its_text(wrapper):
+    tree, name = html_text.Tree(html_text.fixed()), wrapper.split()[0]
+    page = "<body><div class='site-header'>top</div><{}><p>{}</p><p>of it</p></{}><div class='sidebar left'><p>aside</p></div><div class='comments-area'>c</div>"
+    assert html_text.main_text(page.format(wrapper, "the text " * 20, name), tree) == ("the text " * 20).strip() + "\nof it"
+
+
+def test_names_with_an_article_inside():
+    tree = html_text.Tree(html_text.fixed())
+    page = "<body><div class=promo><article><p>one</p></article></div><div class=promo><main><p>two</p></main></div><div class=ad>buy</div>"
+    assert html_text.main_text(page, tree) == "one\ntwo"
+    page = "<body><main><p>the text of it</p></main><div class='related-posts'><article><p>other</p></article></div>"
+    assert html_text.main_text(page, tree) == "the text of it"
+
+
 def test_page_query_equals_the_articles(spark, sf_dir):
     import html
     import re
