@@ -167,6 +167,18 @@ def test_toxicity_odd_rows(spark):
     assert {r["predicted"] for r in toxicity.score(docs, empty).collect()} == {0}
 
 
+def test_repeating_a_text_leaves_its_evidence():
+    counts = [defaultdict(int), defaultdict(int)]
+    for k, words in enumerate(("a nice day for a walk in the park with a dog", "a bad day for you utter zorgon go away with a dog")):
+        for w in words.split():
+            for g in toxicity.grams(w, 4):
+                counts[k][g] += 3
+    reader = toxicity.Reader(toxicity.kneser_ney(counts, 4, 0.75), 4, 12, 2)
+    for text in ("nice", "a nice walk ", "a bad day for a walk ", "you utter zorgon ", "the park with a dog "):
+        assert np.isclose(reader.evidence((text + " ") * 1000), reader.evidence(text))
+    assert reader.evidence("a nice walk with you utter zorgon") > reader.evidence("a nice walk with a dog " * 1000)
+
+
 def test_toxicity_reads_every_letter(spark):
     rng = random.Random(3)
 
