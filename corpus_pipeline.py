@@ -29,8 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; those without a letter have none."""
+    """Documents with a recognised language; those without a letter have none. Without a labelled text all others stay."""
     prototypes = langid.train(docs)
+    if not prototypes:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
     return langid.identify(docs, prototypes, keep=COLUMNS).where("lang_pred != 'und'").select(COLUMNS)
 
 

@@ -57,3 +57,10 @@ def test_an_empty_corpus_passes_through(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_languages_without_a_label_keep_all_texts_with_letters(spark, sf_dir):
+    rows = [(1, "the dog", None, "s", 7), (2, "12 !", None, "s", 4), (3, None, None, "s", 0), (4, "漢字", None, "s", 2), (None, "é", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.keep_languages(spark, docs, sf_dir).collect()
+    assert {tuple(r) for r in got} == {tuple(rows[k]) for k in (0, 3, 4)}
