@@ -10,9 +10,12 @@ has room for it.  When it fits nowhere, it is cut: the lowest-cost sequence with
 any room takes what it can hold, and the rest is taken again in its turn.
 
 The work is done where the texts are read, so there is no shuffle.  A task packs
-its rows in batches of ``batch_docs``; sequences with room left are dissolved and
-their pieces packed with the next batch, so the room left in all sequences of a
-task is less than one capacity.  Sequence ids count up from task number * 2**33.
+its remainders in batches of ``batch_docs``, into as many sequences as they fill to
+the last token.  What is left over, less than one capacity in all, goes into the next
+batch; only the sequences of a task's last batch have room left, less than one
+capacity in all.  So each batch takes in at
+least ``batch_docs - capacity`` new remainders, however short they are.  Sequence ids
+count up from task number * 2**33.
 
 Defined results: null or empty texts are one piece of one token (the end id);
 equal rows are packed one by one; columns other than id and text are dropped; an
@@ -43,17 +46,18 @@ class Piece(NamedTuple):
     ids: bytes
 
 
-def balanced(pieces: Iterable[Piece], capacity: int, linear: float, quadratic: float) -> list[list[Piece]]:
-    """Sequences of pieces, as few as can hold them; longest piece first, to the cheapest sequence with room."""
+def balanced(pieces: Iterable[Piece], n_sequences: int, capacity: int, linear: float, quadratic: float) -> tuple[list[list[Piece]], list[Piece]]:
+    """``n_sequences`` sequences of pieces, and the pieces for which no room was left.
+
+    Longest piece first, to the cheapest sequence with room; pieces are cut only when they fit nowhere whole."""
     queue = [(-p.length, p.order, p.start, p) for p in pieces]
-    n_sequences = -(-sum(p.length for *_, p in queue) // capacity)
     heapq.heapify(queue)
     sequences: list[list[Piece]] = [[] for _ in range(n_sequences)]
     cost, room = [0.0] * n_sequences, [capacity] * n_sequences
     by_cost = [(0.0, s) for s in range(n_sequences)]
     # lengths only go down, so a sequence too full for one piece waits, most room first, until a piece fits
     waiting: list[tuple[int, float, int]] = []
-    while queue:
+    while queue and (by_cost or waiting):
         *_, p = heapq.heappop(queue)
         while waiting and -waiting[0][0] >= p.length:
             _, c, s = heapq.heappop(waiting)
@@ -74,7 +78,7 @@ def balanced(pieces: Iterable[Piece], capacity: int, linear: float, quadratic: f
         cost[s] += linear * p.length + quadratic * p.length * p.length
         if room[s]:
             heapq.heappush(by_cost, (cost[s], s))
-    return sequences
+    return sequences, [p for *_, p in queue]
 
 
 def pack(
@@ -92,8 +96,9 @@ def pack(
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, token_ids.
 
     ``start`` is the piece's place in its document, ``offset`` its place in its sequence.
-    ``batch_docs`` bounds the remainders (under ``capacity`` ids each) held at once by a task.
+    ``batch_docs`` bounds the remainders (under ``capacity`` ids each) held at once by a task; it is at least twice ``capacity``.
     """
+    batch_docs = max(batch_docs, 2 * capacity)
     file = shipped(docs, tokenizer_path)
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = docs.schema[id_col].dataType
@@ -136,16 +141,12 @@ def pack(
                 if len(rows) >= 4096:
                     yield out()
                 if len(pending) >= batch_docs:
-                    packed = balanced(pending, capacity, linear, quadratic)
-                    pending = []
+                    packed, pending = balanced(pending, sum(p.length for p in pending) // capacity, capacity, linear, quadratic)
                     for pieces in packed:
-                        if sum(p.length for p in pieces) < capacity:
-                            pending += pieces
-                        else:
-                            put(sequence, pieces)
-                            sequence += 1
+                        put(sequence, pieces)
+                        sequence += 1
                     yield out()
-        for pieces in balanced(pending, capacity, linear, quadratic):
+        for pieces in balanced(pending, -(-sum(p.length for p in pending) // capacity), capacity, linear, quadratic)[0]:
             put(sequence, pieces)
             sequence += 1
         if rows:
