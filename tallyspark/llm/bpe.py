@@ -2,10 +2,10 @@
 
 Two neighbouring bytes that stand side by side in no vocabulary entry can never
 be merged, so every such place is a certain cut.  Texts are cut there (one
-vectorised table lookup over their bytes), the distinct fragments of a block of
-texts are encoded by themselves, and the ids are concatenated in the fragments'
-order.  Fragments repeat a lot, so a worker remembers the ids of short ones in a
-table of bounded size; only new fragments reach the merging encoder.
+vectorised table lookup over their bytes), distinct fragments are encoded by
+themselves, and the ids are concatenated in the fragments' order.  Fragments repeat
+a lot, so a worker remembers the ids of short ones, by their bytes, in a table of
+bounded memory; only new fragments reach the merging encoder.
 
 The cuts must also not change what the pre-tokeniser sees.  Its pattern looks
 ahead only after white space and starts a contraction only at an apostrophe, so
@@ -20,8 +20,10 @@ found in a text become their single id, as the tokenizers library does.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,8 +31,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .shingles import BASE, mixed
+from .shared import by_bytes
+from .shingles import hashed, same
 
+#: About how much memory a remembered fragment takes beside its bytes.
+ENTRY_BYTES = 200
 #: Bytes that end no white-space character are those outside this set.
 #: ASCII white space and separators, and the last bytes of U+0085, U+00A0, U+1680,
 #: U+2000-U+200A, U+2028, U+2029, U+202F, U+205F and U+3000.
@@ -78,33 +83,26 @@ def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 class FragmentEncoder:
-    """Encodes blocks of texts; remembers the ids of up to ``keep`` fragments of at most ``short`` bytes."""
+    """Encodes blocks of texts; remembers the ids of short fragments, ``keep_bytes`` of memory at most.
 
-    def __init__(self, tokenizer_json: str, keep: int = 400_000, short: int = 48, block_bytes: int = 2 << 20):
+    A block's equal fragments are found by hash and then compared by their bytes."""
+
+    def __init__(self, tokenizer_json: str, keep_bytes: int = 80 << 20, short: int = 48, block_bytes: int = 2 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this core to the task
         from tokenizers import Tokenizer
 
-        self.vocabulary, self.keep, self.short, self.block_bytes = Vocabulary(tokenizer_json), keep, short, block_bytes
+        self.vocabulary, self.keep_bytes, self.short, self.block_bytes = Vocabulary(tokenizer_json), keep_bytes, short, block_bytes
         self.merger = Tokenizer.from_str(tokenizer_json)
         self.merger.no_padding()
         self.merger.no_truncation()
         self.known: dict[bytes, bytes] = {}
-        rng = np.random.Generator(np.random.PCG64(3))
-        self.letter = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.full(block_bytes + 1, BASE, np.uint64))
-            self.inverse = np.cumprod(np.full(block_bytes + 1, pow(BASE, -1, 1 << 64), np.uint64))
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= self.block_bytes:
-                yield from self._block(held)
-                held, size = [], 0
-        yield from self._block(held)
+        for block in by_bytes(texts, self.block_bytes):
+            yield from self._block(block)
 
     def _block(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         data = b"".join(texts)
@@ -126,12 +124,12 @@ class FragmentEncoder:
                     is_cut[[at, end]] = True
                 at = data.find(special, end)
         cuts = np.flatnonzero(is_cut)
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         first = 0
         while first < len(cuts) - 1:
             # a part ends at a cut, and is longer than a block only if it is one fragment
             last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + self.block_bytes, "right")) - 1)
-            part = self._part(data, row, cuts[first : last + 1])
+            part = self._part(data, cuts[first:last], np.diff(cuts[first : last + 1]))
             ids.append(part[0])
             sizes.append(part[1])
             first = last
@@ -140,28 +138,39 @@ class FragmentEncoder:
         for a, b in zip(of_text, of_text[1:], strict=False):
             yield ids[a:b]
 
-    def _part(self, data: bytes, row: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _part(self, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and their number for each fragment."""
-        lo, start, size = int(cuts[0]), cuts[:-1], np.diff(cuts)
-        if int(cuts[-1]) - lo >= len(self.powers):  # one very long fragment
-            kind, place = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        else:
-            with np.errstate(over="ignore"):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letter[row[lo : int(cuts[-1])]] * self.powers[: int(cuts[-1]) - lo])])
-                _, kind, place = np.unique(mixed((total[cuts[1:] - lo] - total[start - lo]) * self.inverse[start - lo] + size.astype(np.uint64)), return_index=True, return_inverse=True)
+        _, kind, place = np.unique(hashed(data, start, size), return_index=True, return_inverse=True)
+        if not same(data, start, start[kind][place], size, size[kind][place]):  # equal hashes of unlike fragments
+            kind = place = np.arange(len(start))
         fragments = [data[a : a + n] for a, n in zip(start[kind].tolist(), size[kind].tolist(), strict=True)]
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        new = [f for f in fragments if f not in known]
-        extra = {}
-        for f, found in zip(new, self.merger.encode_batch_fast([f.decode() for f in new], add_special_tokens=False), strict=True):
-            (known if len(f) <= self.short else extra)[f] = np.array(found.ids, "<u4").tobytes()
-        ids = [known[f] if f in known else extra[f] for f in fragments] if extra else list(map(known.__getitem__, fragments))
+        ids = self._looked_up(fragments)
         sizes = np.array([len(x) >> 2 for x in ids])
-        pool = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
-        return gathered(pool, starts[place], sizes[place]), sizes[place]
+        return gathered(np.frombuffer(b"".join(ids), "<u4"), starts[place], sizes[place]), sizes[place]
+
+    def _looked_up(self, fragments: list[bytes]) -> list[bytes]:
+        if self.held > self.keep_bytes // 2:  # the younger half stays
+            self.older, self.known, self.held = self.known, {}, 0
+        known, older = self.known, self.older
+        extra, unseen = {}, []
+        for f in fragments:
+            if f not in known:
+                if f in older:
+                    self._keep(f, older[f])
+                else:
+                    unseen.append(f)
+        for f, found in zip(unseen, self.merger.encode_batch_fast([f.decode() for f in unseen], add_special_tokens=False), strict=True):
+            ids = array("I", found.ids).tobytes()
+            if len(f) <= self.short:
+                self._keep(f, ids)
+            else:
+                extra[f] = ids
+        return [known[f] if f in known else extra[f] for f in fragments] if extra else list(map(known.__getitem__, fragments))
+
+    def _keep(self, fragment: bytes, ids: bytes) -> None:
+        self.known[fragment] = ids
+        self.held += ENTRY_BYTES + len(fragment) + len(ids)
 
 
 def encoder_of(file: Broadcast) -> FragmentEncoder:
@@ -171,10 +180,20 @@ def encoder_of(file: Broadcast) -> FragmentEncoder:
     return file.encoder
 
 
+_shipped: dict[tuple[str, str], Broadcast] = {}
+
+
 def shipped(df: DataFrame, tokenizer_path: str) -> Broadcast:
-    """The vocabulary file for the workers; a fixed file of a few MB, whatever the input's size."""
+    """The vocabulary file for the workers, a fixed file of a few MB, whatever the input's size.
+
+    All queries of an application share it, and so a worker's encoder."""
     with open(tokenizer_path, encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        spec = f.read()
+    context = df.sparkSession.sparkContext
+    key = context.applicationId, hashlib.sha256(spec.encode()).hexdigest()
+    if key not in _shipped:
+        _shipped[key] = context.broadcast(spec)
+    return _shipped[key]
 
 
 def texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:
@@ -183,36 +202,51 @@ def texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, token_ids array<int>) of every whole text."""
+def id_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, rows)]).astype("i4"), pa.array(np.concatenate(rows).view("i4")))
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, most_ids: int = 500_000) -> DataFrame:
+    """(id, token_ids array<int>) of every whole text, and with ``decoded`` the text that the ids decode to, by the same worker.
+
+    About ``most_ids`` ids are held at once, or one text's."""
     file = shipped(docs, tokenizer_path)
+    names = [id_col, "token_ids", "decoded"][: 2 + decoded]
 
     def run(batches):
         encoder = encoder_of(file)
+
+        def out(part, rows):
+            back = [pa.array([encoder.vocabulary.text(ids).decode("utf-8", "replace") for ids in rows], pa.string())] * decoded
+            return pa.RecordBatch.from_arrays([part.column(0), id_lists(rows), *back], names)
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = list(encoder.encode(texts(part)))
-                ends = np.cumsum([0, *map(len, ids)]).astype("i4")
-                values = pa.array(np.concatenate(ids).view("i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, values)], [id_col, "token_ids"])
+            at, rows, size = 0, [], 0
+            for ids in encoder.encode(texts(batch)):
+                rows.append(ids)
+                size += len(ids)
+                if size >= most_ids:
+                    yield out(batch.slice(at, len(rows)), rows)
+                    at, rows, size = at + len(rows), [], 0
+            if rows:
+                yield out(batch.slice(at, len(rows)), rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>" + ", decoded string" * decoded)
 
 
-def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", keep_ids: bool = True) -> DataFrame:
+def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", keep_ids: bool = True, rows_at_once: int = 200) -> DataFrame:
     """Adds ``decoded``: the text of each id list; bytes that are no UTF-8 become U+FFFD. Null lists give ''."""
     file = shipped(tokens, tokenizer_path)
+    names = [id_col, *["token_ids"] * keep_ids, "decoded"]
 
     def run(batches):
-        if not hasattr(file, "vocabulary"):
-            file.vocabulary = Vocabulary(file.value)
+        vocabulary = encoder_of(file).vocabulary
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                out = [file.vocabulary.text(x.values.to_numpy()).decode("utf-8", "replace") if x.is_valid else "" for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: 1 + keep_ids], pa.array(out, pa.string())], [id_col, "token_ids", "decoded"] if keep_ids else [id_col, "decoded"])
+            for lo in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(lo, rows_at_once)
+                out = [vocabulary.text(x.values.to_numpy()).decode("utf-8", "replace") if x.is_valid else "" for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: 1 + keep_ids], pa.array(out, pa.string())], names)
 
     kind = tokens.schema[id_col].dataType.simpleString()
     return tokens.select(id_col, "token_ids").mapInArrow(run, f"`{id_col}` {kind}, " + "token_ids array<int>, " * keep_ids + "decoded string")

@@ -3,11 +3,12 @@
 The join is a blocked sparse matrix product of the document by n-gram incidence
 with its transpose, on as few columns as can hold a link:
 
-* Equal sets are one row of the matrix (128-bit digests).
+* Equal sets are one row of the matrix (128-bit digests; for a set of a few
+  shingles half of it is of the very words).
 * N-grams have one global order, rare ones first.  A row of size n that is
   linked with another shares an n-gram among its first n - ceil(t n) + 1, so
-  only these columns enter.  Which n-grams are frequent is counted over all
-  documents; the order decides only how much work there is, never the result.
+  only these columns enter.  Which n-grams are frequent is counted
+  in stretches of all documents; the order decides only how much work there is, never the result.
 * The incidence is dealt into blocks of columns (by hash), packed as arrays.  A
   block drops the columns with one row.  Columns known to be frequent are not
   collected in blocks but stay rows that Spark can split.
@@ -20,7 +21,8 @@ with its transpose, on as few columns as can hold a link:
   places in their rows leave too little room for that overlap.
 * Rows folded to one bit a hash, the parity of what falls on it, differ in no more
   places than the sets do.  That bounds a pair's overlap from above, by a fiftieth of
-  the bytes; only pairs within the bound are verified, on the whole sets.
+  the bytes; only pairs within the bound are verified, on the whole sets and by
+  other hashes than those that found them.
 
 A pair in one component needs no product, so no link between components is lost.
 
@@ -89,13 +91,15 @@ def join(
     links = work.saved(member.groupBy("id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst")).where("src != dst").select("src", "dst"))
     sets: list[DataFrame] = []
     for turn in range(len(lanes) + 1):
-        label = components(links, work).withColumnRenamed("node", "rep")
+        stars = work.saved(components(links, work))
+        label = stars.withColumnRenamed("node", "rep")
         nodes = work.saved(classes.join(label, "rep", "left").select("node", "n", "rep", F.coalesce("component", "rep").alias("component")))
         if turn:
             before, held = held, _still_open(held, nodes, work)
             work.drop(before)
         pairs = work.saved(_led(held, nodes, turn, lanes[turn], up, down) if turn < len(lanes) else _crossed(held, nodes, up, down))
-        links = work.saved(links.union(_verified(_bounded(pairs, folded, up, down, broadcast_ids, work), source, sets, k, up, down, broadcast_ids, work)))
+        # the components so far stand for all links so far
+        links = work.saved(stars.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(_verified(_bounded(pairs, folded, up, down, broadcast_ids, work), source, sets, k, up, down, broadcast_ids, work)))
     label = components(links, work).withColumnRenamed("node", "rep")
     known = real.join(classes, ["node", "n", "d2"]).join(label, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     result = sizes.join(known, "id", "left")
@@ -104,7 +108,9 @@ def join(
 
 
 def _counter(k: int, chunk: int = 2_000_000):
-    """Sizes, digests and folded rows of all sets, and the n-grams met more than once in a stretch of about ``chunk``."""
+    """Sizes, digests and folded rows of all sets, and the n-grams met more than once in a stretch of about ``chunk``.
+
+    An n-gram that no stretch holds twice is not counted: its place in the order is among the rare ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(k), [], 0
@@ -119,8 +125,8 @@ def _counter(k: int, chunk: int = 2_000_000):
         for batch in batches:
             rows, bits = [], []
             seen = set()
-            for s in shingler.sets(batch.column(1)):
-                rows.append((len(s), *digest(s)))
+            for text, s in shingler.with_texts(batch.column(1)):
+                rows.append((len(s), *digest(text, s, k)))
                 bits.append(_fold(s))
                 if rows[-1] not in seen:  # copies are one row of the matrix
                     seen.add(rows[-1])
@@ -220,9 +226,9 @@ def _packer(k: int, up: int, down: int, blocks: int, order, chunk: int = 500_000
 
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for s in shingler.sets(batch.column(1)):
+            for text, s in shingler.with_texts(batch.column(1)):
                 n = len(s)
-                if not n or (mark := digest(s)) in seen:
+                if not n or (mark := digest(text, s, k)) in seen:
                     continue
                 seen.add(mark)
                 if len(grams):
@@ -345,10 +351,10 @@ def _verified(pairs: DataFrame, source: DataFrame, sets: list[DataFrame], k: int
         new = new.join(known.select("id").distinct(), "id", "left_anti")
 
     def whole(batches):
-        shingler = Shingler(k)
+        shingler = Shingler(k, seed=1)  # other hashes than those that found the pair
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
                 out = list(shingler.sets(part.column(1)))
                 ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out).view(np.int64)))], ["id", "grams"])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components
+from .shared import Workspace, components, forest
 
 
 class Quantiser(NamedTuple):
@@ -84,19 +84,6 @@ def codes_of(rest: np.ndarray, q: Quantiser) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint8), np.sqrt((missed * missed).sum((1, 2)))
 
 
-def forest(u: np.ndarray, v: np.ndarray, label: np.ndarray) -> None:
-    """Joins the labels of edges' ends, in place; a label is the smallest place in its component."""
-    while True:
-        a, b = label[u], label[v]
-        if (a == b).all():
-            return
-        low = np.minimum(a, b)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def finite(vector: Column) -> Column:
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.coalesce(whole & F.exists(vector, lambda x: x != 0), F.lit(False))

@@ -49,8 +49,7 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    tokens = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), decoded=True)
     return tokens.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

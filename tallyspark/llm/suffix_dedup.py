@@ -40,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
-from .shingles import BASE, mixed
+from .shingles import mixed
 
+BASE = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20
 
 
