@@ -264,5 +264,6 @@ def test_components(spark):
     for a, b in edges:
         if a is not None and a != b:
             groups.join(a, b)
-    got = components(spark.createDataFrame(edges, "src bigint, dst bigint"), Workspace(spark)).collect()
-    assert dict(map(tuple, got)) == {x: groups.find(x) for x in list(groups)} and len(got) == len(groups)
+    for task_edges in (1 << 20, 0):  # in one task, and by rounds
+        got = components(spark.createDataFrame(edges, "src bigint, dst bigint"), Workspace(spark), task_edges).collect()
+        assert dict(map(tuple, got)) == {x: groups.find(x) for x in list(groups)} and len(got) == len(groups)

@@ -2,15 +2,17 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm import bpe, html_text, langid, packing, queries, toxicity
+from tallyspark.llm import bpe, html_text, langid, ngram_join, packing, queries, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -34,7 +36,7 @@ def odd_texts():
 
 def test_fragments_encode_as_the_library_does(library):
     texts = odd_texts()
-    encoder = bpe.FragmentEncoder(open(PATH, encoding="utf-8").read(), keep=1000)
+    encoder = bpe.FragmentEncoder(open(PATH, encoding="utf-8").read(), keep_bytes=200_000)
     for text, ids in zip(texts, encoder.encode(t.encode() for t in texts), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == want, text[:80]
@@ -80,6 +82,26 @@ def check_packing(pieces, ids, capacity):
     return by_sequence
 
 
+def thue_morse(first, second, doublings):
+    """Two words of which polynomial hashes modulo a power of two are equal."""
+    for _ in range(doublings):
+        first, second = first + second, second + first
+    return first, second
+
+
+def test_fragments_are_told_apart_by_their_bytes(library):
+    encoder = bpe.FragmentEncoder(open(PATH, encoding="utf-8").read())
+    words = [w for k in (11, 12) for w in thue_morse("a", "b", k)]
+    assert [list(x) for x in encoder.encode([w.encode() for w in words])] == [library.encode(w).ids for w in words]
+
+
+def test_words_with_equal_polynomials_do_not_link(spark):
+    one, two = thue_morse("a", "b", 12)
+    rows = [(1, one), (2, two), (3, f"{one} " * 7), (4, f"{two} " * 7), (5, one)]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]
+
+
 def test_packing_query(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in docs}
@@ -93,13 +115,25 @@ def test_packing_query(spark, sf_dir, library):
 def test_packing_balances_cost():
     rng = random.Random(5)
     pieces = [packing.Piece(rng.randint(1, 1000), n, n, 0, 0, b"") for n in range(4000)]
-    sequences = packing.balanced(pieces, 1024, 1.0, 1 / 1024)
+    sequences, left = packing.balanced(pieces, -(-sum(p.length for p in pieces) // 1024), 1024, 1.0, 1 / 1024)
+    assert not left
     sizes = [sum(p.length for p in s) for s in sequences]
     assert sum(sizes) == sum(p.length for p in pieces) and max(sizes) <= 1024 and len(sizes) == -(-sum(sizes) // 1024)
     cost = [sum(p.length + p.length**2 / 1024 for p in s) for s in sequences]
     assert np.std(cost) < 0.25 * np.mean(cost)
 
 
+def test_packing_many_short_documents(spark):
+    """Work and what a task holds stay in proportion, however short the documents are."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(n, "a b " * rng.randint(0, 3)) for n in range(200_000)], "doc_id bigint, text string").coalesce(4)
+    began = time.time()
+    rows = packing.pack(docs, PATH, with_ids=False).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.collect_list("doc_id").alias("ids")).collect()
+    assert time.time() - began < 60
+    assert {i for r in rows for i in r["ids"]} == set(range(200_000))
+    assert sum(1024 - r["n"] for r in rows) < 4 * 1024 and max(r["n"] for r in rows) == 1024
+
+
 def test_packing_odd_rows(spark, library):
     rows = [(1, None), (2, ""), (3, "word " * 5000), (3, "word " * 5000), (None, "x"), (4, "y")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as start", "2 as sequence_id", "3 as token_ids")
