@@ -37,11 +37,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that whose id names the component."""
-    kept = ngram_join.join(docs).where("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    # rows with one id are one document
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return named.select("doc_id", "row.*").union(docs.where("doc_id is null").select(COLUMNS))
+    """One document of each group: that whose id names the component. Of rows with its id all unlike ones stay."""
+    kept = ngram_join.join(docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    found = docs.join(kept, "doc_id")
+    # rows with one id are one document; only where an id has several are repeated rows looked for
+    once = found.where("rows = 1").select(COLUMNS)
+    several = found.where("rows > 1").select(COLUMNS).distinct()
+    return once.union(several).union(docs.where("doc_id is null").select(COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,14 +279,21 @@ def _drop_named(tree: Tree) -> None:
         drop[i] = drop[i] or drop[parent[i]]
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) of every page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block_chars: int = 4_000_000) -> DataFrame:
+    """(id, url, text) of every page; a task holds the texts of about ``block_chars`` characters of pages."""
 
     def run(batches):
         tree = Tree(fixed())
         for batch in batches:
-            out = [main_text(x.as_py(), tree) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], [id_col, url_col, "text"])
+            at, out, size = 0, [], 0
+            for row in range(batch.num_rows):
+                html = batch.column(2)[row].as_py()
+                out.append(main_text(html, tree))
+                size += len(html or "")
+                if size >= block_chars or row == batch.num_rows - 1:
+                    part = batch.slice(at, len(out))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(out, pa.string())], [id_col, url_col, "text"])
+                    at, out, size = row + 1, [], 0
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")

@@ -21,23 +21,25 @@ and (in training) language are ignored; empty tables give empty tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .letters import Letters, blocks, code_points
+
 GAP = 32
 SCALE = 1 << 20
 
 
 class Profiler:
-    """Profiles of texts; ``block_chars`` bounds the text that is counted at once."""
+    """Profiles of texts; ``block_chars`` bounds the text that is counted at once, ``cells`` the table of its counts."""
 
-    def __init__(self, dims: int, n: int, seed: int, block_chars: int = 1_000_000):
-        self.dims, self.n, self.seed, self.block_chars = dims, n, seed, block_chars
-        self.letter = np.array([chr(c).isalpha() for c in range(0x110000)])
+    def __init__(self, dims: int, n: int, seed: int, block_chars: int = 300_000, cells: int = 2_000_000):
+        self.dims, self.n, self.seed, self.block_chars, self.cells = dims, n, seed, block_chars, cells
+        self.letter = Letters()
         self.vectors: dict[int, np.ndarray] = {}
 
     def vector(self, code: int) -> np.ndarray:
@@ -46,26 +48,19 @@ class Profiler:
             self.vectors[code] = (2 * bits - 1).astype(np.int8)
         return self.vectors[code]
 
-    def codes(self, text: str | None) -> np.ndarray:
+    def codes(self, text: str) -> np.ndarray:
         """Code points of the letters, gaps between them and at both ends; empty if there is no letter."""
-        raw = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-        known = self.letter[raw]
+        raw = code_points(text.lower())
+        known = self.letter(raw)
         if not known.any():
             return raw[:0]
         raw = np.concatenate([[GAP], np.where(known, raw, GAP), [GAP]])
         return raw[np.concatenate([[True], (raw[1:] != GAP) | (raw[:-1] != GAP)])]
 
-    def blocks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def blocks(self, column: Iterable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(which texts have a letter, their unit profiles), block by block."""
-        held, size = [], 0
-        for text in texts:
-            held.append(self.codes(text))
-            size += len(held[-1])
-            if size >= self.block_chars or len(held) >= 512:
-                yield self._block(held)
-                held, size = [], 0
-        if held:
-            yield self._block(held)
+        for texts in blocks(column, self.block_chars):
+            yield self._block([self.codes(t) for t in texts])
 
     def _block(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         n, known = self.n, np.array([len(r) > 0 for r in rows])
@@ -87,16 +82,22 @@ class Profiler:
             gram = place[gram]
         else:
             seen, gram = np.unique(gram, return_inverse=True)
-        counts = np.bincount(of * len(seen) + gram, minlength=len(rows) * len(seen)).reshape(len(rows), len(seen)).astype(np.float32)
         letters = np.stack([self.vector(int(c)) for c in alphabet])
         profiles = np.zeros((len(rows), self.dims), np.float32)
-        for lo in range(0, len(seen), 4096):
-            part, bound = seen[lo : lo + 4096], None
-            for k in range(n):  # the last letter is not rotated
-                turned = np.roll(letters, k, axis=1)[part % len(alphabet)]
-                bound = turned if bound is None else bound * turned
-                part = part // len(alphabet)
-            profiles += counts[:, lo : lo + 4096] @ bound.astype(np.float32)
+        # rows of texts and columns of n-grams, as many at once as the table holds
+        step = max(1, self.cells // len(rows))
+        order = np.argsort(gram, kind="stable") if step < len(seen) else None
+        for lo in range(0, len(seen), step):
+            part = seen[lo : lo + step]
+            some = slice(None) if order is None else order[np.searchsorted(gram, lo, sorter=order) : np.searchsorted(gram, lo + step, sorter=order)]
+            counts = np.bincount(of[some] * len(part) + gram[some] - lo, minlength=len(rows) * len(part)).reshape(len(rows), len(part)).astype(np.float32)
+            for at in range(0, len(part), 4096):
+                these, bound = part[at : at + 4096], None
+                for k in range(n):  # the last letter is not rotated
+                    turned = np.roll(letters, k, axis=1)[these % len(alphabet)]
+                    bound = turned if bound is None else bound * turned
+                    these = these // len(alphabet)
+                profiles += counts[:, at : at + 4096] @ bound.astype(np.float32)
         norm = np.linalg.norm(profiles, axis=1, keepdims=True)
         return known, profiles / np.where(norm > 0, norm, 1)
 
@@ -118,7 +119,7 @@ def train(labelled: DataFrame, dims: int = 1024, n: int = 3, seed: int = 17, tex
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), object)
             at = 0
-            for known, profiles in profiler.blocks(batch.column(0).to_pylist()):
+            for known, profiles in profiler.blocks(batch.column(0)):
                 own = langs[at : at + len(known)][known]
                 at += len(known)
                 for lang in set(own):
@@ -144,7 +145,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, see
         profiler = Profiler(matrix.shape[1], n, seed)
         for batch in batches:
             langs, scores = [], []
-            for known, profiles in profiler.blocks(batch.column(0).to_pylist() if names else [None] * batch.num_rows):
+            for known, profiles in profiler.blocks(batch.column(0) if names else [None] * batch.num_rows):
                 cosine = profiles @ matrix.T if names else np.zeros((0, 1))
                 best = iter(zip(cosine.argmax(1), cosine.max(1), strict=True))
                 for is_known in known:

@@ -4,7 +4,7 @@ import hashlib
 import random
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -175,6 +175,44 @@ def test_profiles_bind_rotated_letters():
     assert np.allclose(got[0], want / np.linalg.norm(want), atol=1e-6)
 
 
+def profile_by_hand(text, dims, n, seed):
+    """The sum of the bound vectors of a text's n-grams, one after another; None without a letter."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not letters.strip():
+        return None
+    letters = " " + " ".join(letters.split()) + " "
+    letters = letters.ljust(n)
+    vector = lambda c: 2 * np.random.Generator(np.random.PCG64([seed, ord(c)])).integers(0, 2, dims) - 1
+    total = np.zeros(dims)
+    for i in range(len(letters) - n + 1):
+        bound = np.ones(dims)
+        for k, c in enumerate(letters[i : i + n]):
+            bound *= np.roll(vector(c), n - 1 - k)
+        total += bound
+    return total / np.linalg.norm(total)
+
+
+def test_language_profiles_by_hand(spark):
+    rng = random.Random(9)
+    rows = [(n, "".join(rng.choice(("abcdef g", "éßxyz .", "漢字かな、")[n % 3]) for _ in range(rng.randint(1, 60))), ("a", "b", "c")[n % 3]) for n in range(60)]
+    rows += [(60, None, "a"), (61, "12 .", "b"), (62, "a", None), (62, "zz9é", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    profiles = [profile_by_hand(t, 128, 3, 17) for _, t, _ in rows]
+    sums = {x: np.sum([p for p, (*_, lang) in zip(profiles, rows, strict=True) if lang == x and p is not None], 0) for x in "abc"}
+    prototypes = langid.train(frame, dims=128)
+    want = []
+    for (i, *_), p in zip(rows, profiles, strict=True):
+        cosine = {x: float(p @ v / np.linalg.norm(v)) for x, v in sums.items()} if p is not None else {"und": 0.0}
+        best = max(sorted(cosine), key=cosine.get)
+        want.append((i, best, cosine[best]))
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(frame, prototypes).collect()]
+    assert [r[:2] for r in sorted(got)] == [r[:2] for r in sorted(want)]
+    assert np.allclose([r[2] for r in sorted(got)], [max(0.0, r[2]) for r in sorted(want)], atol=1e-5)
+    # a small table of counts, columns in parts
+    parts = [q for _, some in langid.Profiler(128, 3, 17, block_chars=200, cells=50).blocks([t for _, t, _ in rows]) for q in some]
+    assert np.allclose(parts, [p for p in profiles if p is not None], atol=1e-5)
+
+
 def test_toxicity_query_on_held_out_texts(spark):
     sf_dir = "/root/testdata/sf0.1"
     truth = dict(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").collect())
@@ -207,12 +245,64 @@ def test_repeating_a_text_leaves_its_evidence():
         for w in words.split():
             for g in toxicity.grams(w, 4):
                 counts[k][g] += 3
-    reader = toxicity.Reader(toxicity.kneser_ney(counts, 4, 0.75), 4, 12, 2)
+    reader = toxicity.Reader(toxicity.table(toxicity.kneser_ney(counts, 4, 0.75)), 4, 12, 2)
     for text in ("nice", "a nice walk ", "a bad day for a walk ", "you utter zorgon ", "the park with a dog "):
         assert np.isclose(reader.evidence((text + " ") * 1000), reader.evidence(text))
     assert reader.evidence("a nice walk with you utter zorgon") > reader.evidence("a nice walk with a dog " * 1000)
 
 
+def evidence_by_hand(text, ratios, order, piece, window, most=1.0):
+    """Every expression looked up in the model by itself, every window summed by itself."""
+    values = []
+    for run in toxicity.runs(text):
+        each = [next((ratios[g[k:]] for k in range(order) if g[k:] in ratios), 0.0) for g in toxicity.grams(run, order)]
+        each = [*each[:-2], each[-2] + each[-1]]
+        values += [sum(each[i : i + piece]) for i in range(0, len(each), piece)]
+    if not values:
+        return 0.0
+    level = min(float(np.median(values)), most)
+    ring = [values[(i + k) % len(values)] - level for i in range(len(values)) for k in range(window)]
+    return max(sum(ring[i : i + window]) / window for i in range(0, len(ring), window))
+
+
+def backoff_by_hand(gram, shared, discount):
+    """Kneser-Ney of a letter after others in both classes, by its definition; ``shared``: counts, longest expressions first."""
+    both = [n for g, n in shared[0].items() if g[:-1] == gram[:-1]]
+    lower = backoff_by_hand(gram[1:], shared[1:], discount) if len(gram) > 1 else 1 / (len(shared[0]) + 1)
+    return max(shared[0].get(gram, 0) - discount, 0) / sum(both) + discount * len(both) / sum(both) * lower
+
+
+def probability_by_hand(gram, own, shared, discount):
+    """The same in one class, which backs off to what both share."""
+    context, back = [n for g, n in own.items() if g[:-1] == gram[:-1]], backoff_by_hand(gram, shared, discount)
+    if not context:
+        return back
+    return max(own.get(gram, 0) - discount, 0) / sum(context) + discount * len(context) / sum(context) * back
+
+
+def test_toxicity_model_and_evidence_by_hand():
+    rng = random.Random(12)
+    order, counts = 4, [defaultdict(int), defaultdict(int)]
+    for k in range(2):
+        for _ in range(80):
+            for g in toxicity.grams("".join(rng.choice("abcé") for _ in range(rng.randint(1, 30))), order):
+                counts[k][g] += 1
+    ratios = toxicity.kneser_ney(counts, order, 0.75)
+    levels = [[dict(c)] for c in counts]
+    for _ in range(order - 1):
+        for own in levels:
+            own.append(dict(Counter(g[1:] for g in own[-1])))
+    shared = [dict(Counter(a) + Counter(b)) for a, b in zip(*levels, strict=True)]
+    for g in rng.sample(sorted(ratios), 200):
+        depth = order - len(g)
+        p = [probability_by_hand(g, own[depth], shared[depth:], 0.75) for own in levels]
+        assert np.isclose(ratios[g], np.log(p[1] / p[0])), g
+    texts = ["".join(rng.choice("abcéÉ x9 .") for _ in range(rng.randint(0, 300))) for _ in range(300)] + [None, "", "9.", "a" * 5000]
+    for block_chars in (100, 500_000):
+        got = list(toxicity.Reader(toxicity.table(ratios), order, 12, 2, block_chars=block_chars).all(texts))
+        assert np.allclose(got, [evidence_by_hand(t, ratios, order, 12, 2) for t in texts])
+
+
 def test_toxicity_reads_every_letter(spark):
     rng = random.Random(3)
 
