@@ -245,12 +245,18 @@ def test_repeating_a_text_leaves_its_evidence():
         for w in words.split():
             for g in toxicity.grams(w, 4):
                 counts[k][g] += 3
-    reader = toxicity.Reader(toxicity.table(toxicity.kneser_ney(counts, 4, 0.75)), 4, 12, 2)
+    reader = toxicity.Reader(model_of(counts, 4), 4, 12, 2)
     for text in ("nice", "a nice walk ", "a bad day for a walk ", "you utter zorgon ", "the park with a dog "):
         assert np.isclose(reader.evidence((text + " ") * 1000), reader.evidence(text))
     assert reader.evidence("a nice walk with you utter zorgon") > reader.evidence("a nice walk with a dog " * 1000)
 
 
+def model_of(counts, order, discount=0.75):
+    """The operator's model from two counts of expressions."""
+    names = sorted({*counts[0], *counts[1]})
+    return toxicity.kneser_ney(names, np.array([[c.get(g, 0) for c in counts] for g in names]), order, discount)
+
+
 def evidence_by_hand(text, ratios, order, piece, window, most=1.0):
     """Every expression looked up in the model by itself, every window summed by itself."""
     values = []
@@ -287,7 +293,10 @@ def test_toxicity_model_and_evidence_by_hand():
         for _ in range(80):
             for g in toxicity.grams("".join(rng.choice("abcé") for _ in range(rng.randint(1, 30))), order):
                 counts[k][g] += 1
-    ratios = toxicity.kneser_ney(counts, order, 0.75)
+    model = model_of(counts, order)
+    names = {g[k:] for c in counts for g in c for k in range(order)}
+    ratios = {g: model[1][np.searchsorted(model[0], np.uint64(toxicity.key(g)))] for g in names}
+    assert set(model[0].tolist()) == set(map(toxicity.key, names))
     levels = [[dict(c)] for c in counts]
     for _ in range(order - 1):
         for own in levels:
@@ -299,7 +308,7 @@ def test_toxicity_model_and_evidence_by_hand():
         assert np.isclose(ratios[g], np.log(p[1] / p[0])), g
     texts = ["".join(rng.choice("abcéÉ x9 .") for _ in range(rng.randint(0, 300))) for _ in range(300)] + [None, "", "9.", "a" * 5000]
     for block_chars in (100, 500_000):
-        got = list(toxicity.Reader(toxicity.table(ratios), order, 12, 2, block_chars=block_chars).all(texts))
+        got = list(toxicity.Reader(model, order, 12, 2, block_chars=block_chars).all(texts))
         assert np.allclose(got, [evidence_by_hand(t, ratios, order, 12, 2) for t in texts])
 
 
