@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 #: Fixed value: a character that is no white space in the sense of ``has_text``.
 NON_SPACE = r"[^\x09-\x0D\x1C-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+#: The white space itself, and the characters up to U+0020.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000]))
+CONTROL = "".join(map(chr, range(0x21)))
 
 
 def trimmed(c: Column) -> Column:
     """Without characters up to U+0020 at either end."""
-    return F.regexp_replace(F.regexp_replace(c, r"\A[\x00-\x20]+", ""), r"[\x00-\x20]+\z", "")
+    return F.btrim(c, F.lit(CONTROL))
 
 
 def lowered(c: Column) -> Column:
@@ -20,7 +23,7 @@ def lowered(c: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     """Not null, and some character is no white space; never null."""
-    return F.coalesce(c.rlike(NON_SPACE), F.lit(False))
+    return F.coalesce(F.btrim(c, F.lit(SPACE)) != "", F.lit(False))
 
 
 def not_blank(c: Column) -> Column:

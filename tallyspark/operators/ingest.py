@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text, not_blank, trimmed
+from ..schema import INGESTION
+
+NO_KEY = "IllegalArgumentException: no usable message key"
 
 #: Required fields in the order in which violations are told.
 TEXTS = ["eventId", "tenantId", "eventType", "source", "version"]
@@ -32,3 +35,19 @@ def validated(events: DataFrame) -> DataFrame:
 def message_key(event_id: Column, tenant_id: Column) -> Column:
     """The trimmed event id, else the trimmed tenant, else null: such a record can't be published."""
     return F.coalesce(F.when(has_text(event_id), trimmed(event_id)), F.when(has_text(tenant_id), trimmed(tenant_id)))
+
+
+def described(error: Column, message: Column, unknown: str = "Unknown processing failure") -> Column:
+    """``Error: message``, the error alone without a message, or that nothing is known."""
+    return F.when(error.isNull(), F.lit(unknown)).when(has_text(message), F.concat_ws(": ", error, message)).otherwise(error)
+
+
+def dead_letters(decoded: DataFrame, now: Column, *more: str) -> DataFrame:
+    """What the ingestion side can't publish: lines that are no events, and valid events without a usable key.
+
+    ``decoded`` has value, event and malformed. Events that validation rejects are the sender's to mend and stay out.
+    """
+    key = message_key(F.col("event.eventId"), F.col("event.tenantId"))
+    checked = validated(decoded.select(*more, "value", "malformed", "event", F.when(~F.col("malformed"), key).alias("key"), "event.*"))
+    error = F.when(F.col("malformed"), described(F.lit("MalformedEvent"), F.lit("the line is no event"))).when((F.col("status") == 202) & F.col("key").isNull(), F.lit(NO_KEY))
+    return checked.select(*more, "key", "event", error.alias("errorMessage"), F.lit(INGESTION).alias("sourceService"), now.alias("failedAt")).where("errorMessage is not null")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .history import with_last
 
 
-def increases(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", chunk: Column | None = None) -> DataFrame:
+def increases(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "value", chunk: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``increase`` since the series' previous sample; after a reset the counter starts at 0. No extrapolation.
 
-    ``chunk``: pieces of time (never falling as time rises) into which a long series is cut.
+    ``chunk``: pieces of time (never falling as time rises) into which a long series is cut; ``ties``: the order of samples of one time.
     """
-    out = with_last(samples, {k: F.col(k) for k in keys}, [ts], value, F.lit(0) if chunk is None else chunk, "previous")
+    out = with_last(samples, {k: F.col(k) for k in keys}, [ts, *ties], value, F.lit(0) if chunk is None else chunk, "previous")
     now, last = F.col(value), F.col("previous")
     return out.withColumn("increase", F.when(last.isNull(), F.lit(0)).when(now >= last, now - last).otherwise(now)).drop("previous")
 
@@ -25,6 +25,19 @@ def rate(events: DataFrame, window: str = "1 minute", keys: tuple[str, ...] = ()
     return counted.select(F.col("w.start").alias("window_start"), *keys, "n", (F.col("n") / seconds).alias("per_second"))
 
 
+def counter_rate(samples: DataFrame, keys: list[str], window: str, slide: str, ts: str = "ts", value: str = "value", ties: tuple[str, ...] = ()) -> DataFrame:
+    """A counter's increase a second in each sliding window, resets and all, by keys."""
+    grown = increases(samples, keys, ts, value, F.to_date(ts), ties)
+    summed = grown.groupBy(F.window(ts, window, slide).alias("w"), *keys).agg(F.sum("increase").alias("increase"))
+    seconds = (F.unix_micros(F.col("w.end").cast("timestamp")) - F.unix_micros(F.col("w.start").cast("timestamp"))) / 1e6
+    return summed.select(F.col("w.start").alias("window_start"), *keys, "increase", (F.col("increase") / seconds).alias("per_second"))
+
+
+def all_match(rows: DataFrame, condition: Column, *keys: str) -> DataFrame:
+    """Whether a condition holds for every row of a key; unknown counts as not."""
+    return rows.groupBy(*keys).agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("all_match"))
+
+
 def outcomes(events: DataFrame, outcome: str) -> DataFrame:
     return events.groupBy(outcome).agg(F.count("*").alias("n"))
 

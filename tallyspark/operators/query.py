@@ -24,6 +24,17 @@ def by_event_id(rows: DataFrame, event_id: str) -> DataFrame:
     return rows.where(F.col("event_id") == event_id)
 
 
+def by_key(records: DataFrame, key: str) -> DataFrame:
+    """A log's records of one key."""
+    return records.where(F.col("key") == key)
+
+
+def first_by(records: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first record of each key, by a mergeable minimum; null keys have none."""
+    others = [c for c in records.columns if c != key]
+    return records.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
 def device_latest(rows: DataFrame) -> DataFrame:
     """Each device's last reading of each metric, ties to the larger event id."""
     keys = ["tenant_id", "device_id", "metric"]

@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import has_text
 from ..schema import SERVICE, WIDTHS
-from .ingest import message_key
+from .ingest import NO_KEY, message_key
 from .normalize import processed
 
 NULL_PAYLOAD = "IllegalArgumentException: telemetry payload must not be null"
-NO_KEY = "IllegalArgumentException: no usable message key"
-
-
-def described(error: Column, message: Column, unknown: str = "Unknown processing failure") -> Column:
-    """``Error: message``, the error alone without a message, or that nothing is known."""
-    return F.when(error.isNull(), F.lit(unknown)).when(has_text(message), F.concat_ws(": ", error, message)).otherwise(error)
 
 
 def table_row(envelope: DataFrame, now: Column, *more: str) -> DataFrame:

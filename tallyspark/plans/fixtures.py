@@ -51,8 +51,12 @@ def now():
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events (seq, replayed, eventId ... version, payload) in order of arrival ``seq``."""
-    text = TELEMETRY.format(q="`").replace("FROM events", "FROM {events}")
-    flat = spark.sql(text, events=table(spark, sf_dir, "events"))
+    """Events (seq, replayed, eventId ... version, payload) in order of arrival ``seq``; the base's three parts are one scan here."""
+    _, fields = TELEMETRY.split("\n)\nSELECT")
+    value = F.col("value").cast("decimal(18,4)")
+    part = lambda seq, v, replayed: F.struct((F.col("event_id") + seq).alias("seq"), v.cast("decimal(19,4)").alias("v"), F.lit(replayed).alias("replayed"))
+    parts = F.array(part(0, value, False), F.when(F.col("event_id") % 83 == 0, part(1_000_000_000, value + 1, False)), F.when(F.col("event_id") % 89 == 0, part(2_000_000_000, value + 2, True)))
+    base = table(spark, sf_dir, "events").select(F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p"), F.col("event_id").alias("k"), "user_id", "event_type", "ts").select("p.*", "k", "user_id", "event_type", "ts")
+    flat = spark.sql("SELECT" + fields.format(q="`").replace("FROM base", "FROM {base}"), base=base)
     payload = F.when(F.col("has_payload"), F.struct(*PAYLOAD))
     return flat.withColumn("payload", payload).drop("has_payload", *PAYLOAD)

@@ -69,6 +69,12 @@ def over(*parts: str) -> str:
     return "WITH " + ",\n".join([TEL, *parts]) + "\n"
 
 
+CHOSEN = """ranges AS (SELECT "partition", min("offset") AS s, (min("offset") + max("offset") + 1) // 2 AS e FROM letters GROUP BY "partition"),
+chosen AS (SELECT l.* FROM letters l JOIN ranges r USING ("partition")
+WHERE l."offset" >= r.s AND l."offset" < r.e AND l."eventId" IN (SELECT "eventId" FROM letters WHERE "tenantId" IN ('tenant-1', 'tenant-2')))"""
+ANOMALIES = f"""found AS (SELECT seq, replayed, {OUT.replace('{type}', 'telemetry.anomaly')}, severity, array_to_string(reasons, '; ') AS reasons FROM routed WHERE route = 'anomaly'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY "eventId" ORDER BY replayed DESC, CASE WHEN replayed THEN -seq ELSE seq END) AS place FROM found),
+anomalies AS (SELECT "eventId" AS event_id, "tenantId" AS tenant_id, "deviceId" AS device_id, "timestamp", severity, reasons FROM placed WHERE place = 1)"""
 BASE = over()
 JUDGED = over(SEEN)
 ROUTES = over(SEEN, ROUTED)
@@ -150,4 +156,20 @@ SELECT tenant_id, device_id, metric, "timestamp", "value", unit, event_id FROM l
         "heartbeat_gaps": TABLE
         + """, steps AS (SELECT tenant_id, device_id, event_id, lag("timestamp") OVER (PARTITION BY tenant_id, device_id ORDER BY "timestamp", event_id) AS previous_at, "timestamp" FROM stored)
 SELECT *, date_sub('second', previous_at, "timestamp") AS gap_seconds FROM steps WHERE date_sub('second', previous_at, "timestamp") > 3600""",
+        "ingest_dead_letters": f"""SELECT event_id, NULL::VARCHAR AS key, CASE WHEN event_id % 97 = 0 THEN 'MalformedEvent: the line is no event' ELSE 'IllegalArgumentException: no usable message key' END AS "errorMessage",
+  'ingestion-service' AS "sourceService", {NOW_SQL} AS "failedAt" FROM events WHERE event_id % 97 = 0 OR event_id % 83 = 0""",
+        "replay_audit": over(SEEN, ROUTED, LETTERS, CHOSEN)
+        + f"""SELECT 'run-1' AS run_id, 'dlq' AS source, {NOW_SQL} AS replayed_at, count(*) AS records, count(DISTINCT "eventId") AS events, min("offset") AS first_offset, max("offset") AS last_offset FROM chosen""",
+        "counter_rate_2m": """WITH s AS (SELECT event_type AS job, ts, event_id % 1000 AS v, lag(event_id % 1000) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
+grown AS (SELECT job, unnest([date_trunc('minute', ts)::TIMESTAMP, date_trunc('minute', ts)::TIMESTAMP - INTERVAL 1 MINUTE]) AS window_start, CASE WHEN p IS NULL THEN 0 WHEN v >= p THEN v - p ELSE v END AS i FROM s)
+SELECT window_start, job, sum(i)::BIGINT AS increase, sum(i)::DOUBLE / 120 AS per_second FROM grown GROUP BY window_start, job""",
+        "anomaly_table": over(SEEN, ROUTED, ANOMALIES) + "SELECT * FROM anomalies",
+        "anomalies_recent": over(SEEN, ROUTED, ANOMALIES)
+        + """SELECT event_id, device_id, "timestamp", severity, reasons FROM anomalies WHERE tenant_id = 'tenant-1' AND "timestamp" >= TIMESTAMP '2024-01-02' AND "timestamp" < TIMESTAMP '2024-01-09'
+ORDER BY "timestamp" DESC, event_id LIMIT 100""",
+        "first_dead_letter": DEAD + """SELECT "eventId", min(seq) AS seq, arg_min("partition", seq) AS "partition", arg_min("offset", seq) AS "offset", arg_min(error, seq) AS "errorMessage" FROM letters WHERE "eventId" IS NOT NULL GROUP BY "eventId\"""",
+        "first_raw_record": BASE + f"SELECT {KEY} AS key, min(seq) AS seq, arg_min(replayed, seq) AS replayed FROM tel WHERE {KEY} IS NOT NULL GROUP BY 1",
+        "dead_letters_by_key": DEAD + """SELECT key, seq, error AS "errorMessage" FROM letters WHERE key = 'tenant-1'""",
+        "topics_caught_up": """WITH e AS (SELECT event_type AS topic, event_id % 3 AS p, max(event_id) + 1 AS e, max(event_id) FILTER (event_id % 5 <> 0) + 1 AS c FROM events GROUP BY 1, 2)
+SELECT topic, bool_and(c >= e) AS all_match FROM e WHERE c IS NOT NULL GROUP BY topic""",
     }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import detect, ingest, metrics, normalize, query, replay, route, store
 from ..schema import EVENT
 from ..sources import events as sources
+from ..sources.shared import saved
 from ..streaming import process
 from .fixtures import now, table, telemetry
 
@@ -130,7 +131,7 @@ def dlq_offset_ranges(spark, d):
 
 def _chosen(spark, d):
     """All dead letters of tenants 1 and 2, in the lower half of each partition."""
-    log = letters(spark, d)
+    log = saved(letters(spark, d))  # read three times
     ids = log.where(F.col("event.tenantId").isin("tenant-1", "tenant-2")).select("event.eventId")
     ranges = [(p, start, (start + end) // 2) for p, start, end in replay.snapshot(log)]
     return replay.selected(log, ids, ranges)
@@ -258,12 +259,70 @@ def stream_equals_batch(spark, d):
     return batch.join(process.replayed_as_stream(telemetry(spark, d), now()), "seq", "full")
 
 
+def ingest_dead_letters(spark, d):
+    """Event lines as JSON: some cut short, some rejected, and some whose ids are white space that only a key's rule knows."""
+    e = table(spark, d, "events")
+    name = F.when(F.col("event_id") % 83 == 0, F.lit("\u2003")).when(F.col("event_id") % 89 == 0, F.lit(" ")).otherwise(F.concat(F.lit("evt-"), "event_id"))
+    tenant = F.when(F.col("event_id") % 83 == 0, F.lit("\u2003")).otherwise(F.lit("tenant-1"))
+    payload = F.struct(*(F.lit("x").alias(f) for f in ("deviceId", "deviceType", "metric", "unit", "location")), F.lit(1).alias("value"))
+    event = F.struct(name.alias("eventId"), tenant.alias("tenantId"), *(F.lit("x").alias(f) for f in ("eventType", "source", "version")), F.lit("2026-03-31T12:00:00Z").alias("timestamp"), payload.alias("payload"))
+    lines = e.select("event_id", F.when(F.col("event_id") % 97 == 0, F.lit('{"eventId": ')).otherwise(F.to_json(event)).alias("value"))
+    out = ingest.dead_letters(sources.decoded(lines, EVENT), now(), "event_id")
+    return out.select("event_id", "key", "errorMessage", "sourceService", "failedAt")
+
+
+def replay_audit(spark, d):
+    return replay.audit(_chosen(spark, d), "run-1", " dlq ", now())
+
+
+def counter_rate_2m(spark, d):
+    """Counters that go back to zero every 1,000 events, over two minutes, each minute."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("job"), "ts", "event_id", (F.col("event_id") % 1000).alias("value"))
+    return metrics.counter_rate(e, ["job"], "2 minutes", "1 minute", ties=("event_id",))
+
+
+def _anomaly_table(spark, d):
+    """Anomalies with one row for each event: the first delivery, or the last replay."""
+    good = routed(spark, d).where("route = 'anomaly'")
+    out = normalize.anomaly(good, now(), "seq", "replayed")
+    return store.folded(out.select("seq", "replayed", F.col("eventId").alias("event_id"), F.col("tenantId").alias("tenant_id"), F.col("payload.deviceId").alias("device_id"), "timestamp", "severity", F.array_join("reasons", "; ").alias("reasons")))
+
+
+def anomaly_table(spark, d):
+    return _anomaly_table(spark, d).drop("seq", "replayed")
+
+
+def anomalies_recent(spark, d):
+    start, end = week()
+    return query.recent(_anomaly_table(spark, d), 100, tenant="tenant-1", since=start, until=end).select("event_id", "device_id", "timestamp", "severity", "reasons")
+
+
+def first_dead_letter(spark, d):
+    found = letters(spark, d).select(F.col("event.eventId").alias("eventId"), "seq", "partition", "offset", "errorMessage")
+    return query.first_by(found, "eventId", ["seq"])
+
+
+def first_raw_record(spark, d):
+    raw = telemetry(spark, d).select(ingest.message_key(F.col("eventId"), F.col("tenantId")).alias("key"), "seq", "replayed")
+    return query.first_by(raw, "key", ["seq"])
+
+
+def dead_letters_by_key(spark, d):
+    return query.by_key(letters(spark, d), "tenant-1").select("key", "seq", "errorMessage")
+
+
+def topics_caught_up(spark, d):
+    ends, done = _committed(spark, d)
+    return metrics.all_match(done.join(ends, ["topic", "partition"]), F.col("committed") >= F.col("end_offset"), "topic")
+
+
 NAMES = [
     telemetry_normalized, telemetry_outbound_processed, ingest_violations, ingest_accepted, ingest_malformed, message_key, anomaly_missing_fields, anomaly_temperature_bounds,
     anomaly_spike, anomaly_events, route_counts, severity_reasons, dead_letters, processed_table, processed_topic_with_duplicates, dlq_offset_ranges, dlq_replay_selected,
     replay_loop_guard, raw_replay_time_range, raw_retained, find_by_event_id, dlq_count_by_event, produced_not_consumed, request_rate_1m, request_rate_by_job, outcome_counts,
     mean_latency, counter_increase, gauge_by_job, gauge_latest, lag_by_topic, assigned_partitions, traces_found, telemetry_by_tenant_recent, device_latest, metric_hourly,
-    anomalies_by_tenant, heartbeat_gaps, stream_equals_batch,
+    anomalies_by_tenant, heartbeat_gaps, stream_equals_batch, ingest_dead_letters, replay_audit, counter_rate_2m, anomaly_table, anomalies_recent, first_dead_letter, first_raw_record,
+    dead_letters_by_key, topics_caught_up,
 ]
 
 

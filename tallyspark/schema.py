@@ -50,3 +50,4 @@ WIDTHS = {"event_id": 50, "tenant_id": 100, "event_type": 50, "source": 100, "de
 #: Log: (partitions, hours kept).
 LOGS = {"raw": (3, 24), "processed": (3, 168), "anomalies": (3, 168), "dlq": (1, 168)}
 SERVICE = "telemetry-processor"
+INGESTION = "ingestion-service"

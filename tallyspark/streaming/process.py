@@ -8,7 +8,6 @@ are overwritten when it runs again, so a restart repeats nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import detect, normalize, route, store
+from ..sources.shared import folder
 
 FIELDS = ["deviceId", "deviceType", "metric", "value", "unit", "location"]
 # no leading underscores: the stateful operator would rename such columns
@@ -88,18 +88,12 @@ def start(events: DataFrame, base: str, now: Column, **trigger):
 
 def replayed_as_stream(events: DataFrame, now: Column, batches: int = 3) -> DataFrame:
     """(seq, stream_route, stream_reasons): the events written to a log in parts and read as a stream."""
-    spark = events.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # a session without a cluster, as in tests
-        import tempfile
-
-        root = f"file://{tempfile.gettempdir()}/tallyspark-{spark.sparkContext.applicationId}"
-    base = f"{root}/{uuid.uuid4().hex}"
+    spark, base = events.sparkSession, folder(events.sparkSession)
     cuts = events.select(F.percentile_approx("seq", F.array(*(F.lit(n / batches) for n in range(1, batches))), 1000).alias("c")).first()["c"] or []
     bounds = [None, *cuts, None]
+    # each part is what has arrived when the query runs again, in as many files as it was written in
     for lo, hi in zip(bounds, bounds[1:], strict=False):
         part = events if lo is None else events.where(F.col("seq") > lo)
-        (part if hi is None else part.where(F.col("seq") <= hi)).coalesce(1).write.mode("append").parquet(f"{base}/log")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
-    start(stream, f"{base}/out", now).awaitTermination()
+        (part if hi is None else part.where(F.col("seq") <= hi)).write.mode("append").parquet(f"{base}/log")
+        start(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{base}/log"), f"{base}/out", now).awaitTermination()
     return spark.read.parquet(f"{base}/out/routes").drop("batch")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.operators import detect, ingest, metrics, normalize, replay, route, store
+from tallyspark import schema
 from tallyspark.schema import EVENT, WIDTHS
 from tallyspark.sources import events as sources
 
@@ -121,9 +122,17 @@ def test_replay_takes_what_is_selected_and_in_range(spark, tmp_path):
     log = spark.createDataFrame(rows, "tenant string, partition int, offset bigint, eventId string")
     log = log.select("partition", "offset", F.struct("eventId", F.col("tenant").alias("tenantId")).alias("event"))
     assert sorted(replay.snapshot(log)) == [(0, 0, 3), (1, 0, 2)]
-    assert replay.replay(spark, log, ["a", None, " ", "a ", "c"], str(tmp_path / "raw"), now()) == 3
+    assert replay.replay(spark, log, ["a", None, " ", "a ", "c"], str(tmp_path / "raw"), now(), "run-1", str(tmp_path / "audit")) == 3
+    assert replay.replay(spark, log, ["c", "b"], str(tmp_path / "raw"), now(), "run-2", str(tmp_path / "audit")) == 2
+    raw = spark.read.parquet(str(tmp_path / "raw")).select("partition", "offset", F.element_at("headers", 4)["value"].cast("string").alias("run")).collect()
+    # offsets of both runs: from 0, without gaps or repetitions
+    for p in {r["partition"] for r in raw}:
+        of_p = sorted((r["offset"], r["run"]) for r in raw if r["partition"] == p)
+        assert [o for o, _ in of_p] == list(range(len(of_p))) and [r for _, r in of_p] == sorted(r for _, r in of_p)
+    rows = {r["run_id"]: (r["records"], r["events"]) for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
+    assert set(rows) == {"run-1", "run-2"} and rows["run-1"][0] == 3
     back = spark.read.parquet(str(tmp_path / "raw"))
-    assert [r[0] for r in back.select(sources.is_replay(F.col("headers"))).collect()] == [True] * 3
+    assert [r[0] for r in back.select(sources.is_replay(F.col("headers"))).collect()] == [True] * 5
     with pytest.raises(ValueError):
         replay.selection([" ", None])
 
@@ -151,3 +160,34 @@ def test_last_header_decides(spark):
     rows = [(h("true"),), (h("false", "TRUE"),), (h("true", "no"),), ([],), (None,)]
     got = spark.createDataFrame(rows, "headers array<struct<key:string,value:binary>>").select(sources.is_replay(F.col("headers"))).collect()
     assert [r[0] for r in got] == [True, True, False, False, False]
+
+
+def test_files_to_logs_to_dead_letters(spark, tmp_path):
+    """A drop of JSON lines becomes a log; the log's dead letters become a log; both are read back as records."""
+    good = '{"eventId":"e1","tenantId":"t","eventType":"x","timestamp":"2026-03-31T12:00:00Z","source":"s","version":"1","payload":null}'
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.json").write_text(good + "\n{broken\n")
+    lines = sources.json_drop(spark, str(drop)).withColumns({"key": F.lit("k"), "_from": F.lit(0), "_at": F.monotonically_increasing_id()})
+    placed = replay.appended(lines, None, ["_from", "_at"], 3, span=2).withColumn("ts", F.current_timestamp())
+    placed.select("key", "value", "headers", "partition", "offset", "ts").write.parquet(str(tmp_path / "raw"))
+    log = sources.log(spark, str(tmp_path / "raw"))
+    assert sorted(r["offset"] for r in log.collect()) == [0, 1]
+    letters = ingest.dead_letters(sources.decoded(log), now(), "offset")
+    rendered = route.rendered(letters).withColumns({"headers": F.lit(None).cast("array<struct<key:string,value:binary>>"), "partition": F.lit(0), "offset": F.lit(0).cast("long"), "ts": now().cast("timestamp")})
+    rendered.write.parquet(str(tmp_path / "dlq"))
+    back = sources.decoded(sources.log(spark, str(tmp_path / "dlq")), schema.DEAD_LETTER)
+    assert [(r["event"]["errorMessage"], r["event"]["sourceService"], r["event"]["event"]) for r in back.collect()] == [("MalformedEvent: the line is no event", "ingestion-service", None)]
+
+
+def test_described_errors(spark):
+    got = spark.createDataFrame([("E", "m"), ("E", " "), (None, "m")], "e string, m string").select(ingest.described(F.col("e"), F.col("m"))).collect()
+    assert [r[0] for r in got] == ["E: m", "E", "Unknown processing failure"]
+
+
+def test_white_space_and_control_characters(spark):
+    odd = ["", " ", "\u2003", "\u00a0", "\u2007", "\u202f", "\x00", "\x1c", "\x1b", " \u2003a ", "\x00 a\x1f", "\u3000\u1680\u2028", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string").select("t", text.has_text(F.col("t")).alias("has"), text.trimmed(F.col("t")).alias("trim"), F.coalesce(F.col("t").rlike(text.NON_SPACE), F.lit(False)).alias("by_pattern")).collect()
+    for r in rows:
+        assert r["has"] == r["by_pattern"], r
+        assert r["trim"] == (None if r["t"] is None else r["t"].strip("".join(map(chr, range(33)))))
