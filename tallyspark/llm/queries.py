@@ -94,6 +94,21 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
 """.format(values=", ".join(map(str, RULES)))
 
+#: Of distinct vectors, then of all rows that have them.
+OP7_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+classes AS (SELECT v, min(vec_id) AS rep, count(*) AS copies FROM good GROUP BY v),
+scaled AS (SELECT rep, copies, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM classes),
+links AS (SELECT a.rep AS a, b.rep AS b, b.copies AS n FROM scaled a JOIN scaled b ON a.rep <> b.rep AND len(a.u) = len(b.u) AND list_sum(list_transform(range(1, len(a.u) + 1), lambda i: a.u[i] * b.u[i])) >= 0.95),
+reached AS (SELECT rep AS a, rep AS b FROM scaled UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+known AS (
+  SELECT c.v, c.copies - 1 + coalesce((SELECT sum(n) FROM links l WHERE l.a = c.rep), 0) AS n_links, (SELECT min(b) FROM reached r WHERE r.a = c.rep) AS component_id FROM classes c)
+SELECT g.vec_id, k.n_links::BIGINT AS n_links, k.component_id, g.vec_id = k.component_id AS kept FROM good g JOIN known k USING (v)
+UNION ALL SELECT vec_id, 0, vec_id, vec_id IS NOT NULL FROM embeddings WHERE vec_id IS NULL OR vec_id NOT IN (SELECT vec_id FROM good)
+"""
+
 OP10_SQL = """
 WITH whole AS (
   SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
@@ -111,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_urls": OP8_SQL, "op10_topk": OP10_SQL}
+    return {"op7_embeddings": OP7_SQL, "op8_urls": OP8_SQL, "op10_topk": OP10_SQL}

@@ -153,8 +153,10 @@ def test_suffix_dedup_null_and_equal_ids(spark):
 
 def linked_by_hand(rows, threshold=0.95):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    lengths = [len(v) for _, v in good]
-    good = [(i, v) for i, v in good if len(v) == max(set(lengths), key=lengths.count)]
+    return [r for n in {len(v) for _, v in good} for r in linked_of_length([g for g in good if len(g[1]) == n], threshold)]
+
+
+def linked_of_length(good, threshold):
     x = np.stack([v / np.linalg.norm(v) for _, v in good])
     hits = x @ x.T >= threshold
     groups, count = Groups(), defaultdict(int)
@@ -172,12 +174,14 @@ def vector_rows():
     for n in range(300, 500):
         rows.append((n, (np.array(rows[n % 7][1]) + rng.normal(size=16) * 0.13).tolist()))
     rows += [(n, rows[3][1]) for n in range(500, 560)]
+    # other lengths: many vectors, and a few
+    rows += [(n, [1.0, float(n % 9), 3.0]) for n in range(560, 760)] + [(760, [1.0, 2.0, 3.0, 4.0, 5.0]), (761, [2.0, 4.0, 6.0, 8.0, 10.0]), (762, [5.0, 4.0, 3.0, 2.0, 1.0])]
     return rows
 
 
 def test_vectors_link_as_by_brute_force(spark):
     rows = vector_rows()
-    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, [1.0] * 5), (905, []), (906, [float("inf")] + [0.0] * 15), (None, [1.0] * 16)]
+    odd = [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] * 8), (904, [1.0] * 6), (905, []), (906, [float("inf")] + [0.0] * 15), (None, [1.0] * 16)]
     frame = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as rep", "2 as copies", "3 as list")
     got = pq_dedup.link(frame, block=64, list_rows=32).collect()
     assert len(got) == len(rows) + len(odd)
@@ -190,11 +194,20 @@ def test_vectors_link_as_by_brute_force(spark):
     assert pq_dedup.link(frame.limit(0)).collect() == []
 
 
+def test_vectors_of_lengths_that_the_sample_lacks(spark):
+    rows = vector_rows()
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pq_dedup.link(frame, sample_rows=1, most_sample_rows=1, block=100).collect()}
+    single = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    assert got == {i: (n, c) for i, n, c in linked_by_hand(single)}
+
+
 def test_vector_query(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in queries.op7_embeddings(spark, sf_dir).collect())
     assert got == sorted(linked_by_hand(rows))
+    assert_same(queries.op7_embeddings(spark, sf_dir).toPandas(), oracle(sf_dir, queries.OP7_SQL))
 
 
 def test_urls_query(spark, sf_dir):
