@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .shared import by_bytes
+from .shared import by_bytes, tidy
 from .shingles import hashed, same
 
 #: About how much memory a remembered fragment takes beside its bytes.
@@ -232,7 +232,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 yield out(batch.slice(at, len(rows)), rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, token_ids array<int>" + ", decoded string" * decoded)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, token_ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", keep_ids: bool = True, rows_at_once: int = 200) -> DataFrame:
@@ -249,4 +249,4 @@ def decode(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", keep_
                 yield pa.RecordBatch.from_arrays([*part.columns[: 1 + keep_ids], pa.array(out, pa.string())], names)
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(id_col, "token_ids").mapInArrow(run, f"`{id_col}` {kind}, " + "token_ids array<int>, " * keep_ids + "decoded string")
+    return tokens.select(id_col, "token_ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, " + "token_ids array<int>, " * keep_ids + "decoded string")

@@ -37,6 +37,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import tidy
+
 
 def fixed():
     """Element names by their part in a page, and words of a class or id that mark no content.
@@ -296,4 +298,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     at, out, size = row + 1, [], 0
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")
+    return pages.select(id_col, url_col, html_col).mapInArrow(tidy(run), f"`{id_col}` {kinds[0]}, `{url_col}` {kinds[1]}, text string")

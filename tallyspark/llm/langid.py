@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .letters import Letters, blocks, code_points
+from .shared import tidy
 
 GAP = 32
 SCALE = 1 << 20
@@ -128,7 +129,7 @@ def train(labelled: DataFrame, dims: int = 1024, n: int = 3, seed: int = 17, tex
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([total.tolist()], pa.list_(pa.int64()))], ["lang", "total"])
 
-    sums = labelled.where(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, total array<bigint>")
+    sums = labelled.where(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(tidy(run), "lang string, total array<bigint>")
     rows = sums.select("lang", F.posexplode("total")).groupBy("lang", "pos").agg(F.sum("col").alias("total")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "total"))).alias("total")).collect()
     vectors = {r["lang"]: np.array([x["total"] for x in r["total"]], float) for r in rows}
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(vectors.items()) if v.any()}
@@ -156,4 +157,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, see
 
     source = docs.select(text_col, *carried)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*with_text, *carried])
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components
+from .shared import Workspace, components, tidy
 from .shingles import Shingler, digest, mixed
 
 ENTRY = "gram bigint, node bigint, n int, place int"
@@ -73,7 +73,7 @@ def join(
     work = Workspace(spark)
     up, down = similarity
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = work.saved(source.mapInArrow(_counter(k), "id bigint, n int, node bigint, d2 bigint, folded binary, gram bigint, times bigint"))
+    counted = work.saved(source.mapInArrow(tidy(_counter(k)), "id bigint, n int, node bigint, d2 bigint, folded binary, gram bigint, times bigint"))
     sizes = counted.where("gram is null").select("id", "n", "node", "d2")
     real = sizes.where("id is not null and n > 0")
     folded = counted.where("gram is null").select("id", "n", "folded")
@@ -85,8 +85,8 @@ def join(
     total = real.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     blocks = max(1, int(total * (down - up) / down) // entries_per_block, spark.sparkContext.defaultParallelism)
     order = spark.sparkContext.broadcast(frequent)  # at most frequent_rows
-    packed = source.where("id is not null").mapInArrow(_packer(k, up, down, blocks, order), f"block int, {ENTRY}, packed binary")
-    held = work.saved(packed.repartition(blocks, "block").mapInArrow(_unpack, ENTRY))
+    packed = source.where("id is not null").mapInArrow(tidy(_packer(k, up, down, blocks, order)), f"block int, {ENTRY}, packed binary")
+    held = work.saved(packed.repartition(blocks, "block").mapInArrow(tidy(_unpack), ENTRY))
 
     links = work.saved(member.groupBy("id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst")).where("src != dst").select("src", "dst"))
     sets: list[DataFrame] = []
@@ -173,7 +173,7 @@ def _bounded(pairs: DataFrame, folded: DataFrame, up: int, down: int, broadcast_
 
     columns = pairs.join(one, ["id", "n"]).join(two, ["other", "m"]).select("id", "other", "n", "m", "x", "y")
     # a document with several rows of one size brings its pair more than once
-    return work.saved(columns.mapInArrow(within, "id bigint, other bigint, n int, m int").distinct())
+    return work.saved(columns.mapInArrow(tidy(within), "id bigint, other bigint, n int, m int").distinct())
 
 
 def _frequent(times: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +359,7 @@ def _verified(pairs: DataFrame, source: DataFrame, sets: list[DataFrame], k: int
                 ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out).view(np.int64)))], ["id", "grams"])
 
-    sets.append(work.saved(source.join(near(work.saved(new)), "id", "left_semi").mapInArrow(whole, "id bigint, grams array<bigint>")))
+    sets.append(work.saved(source.join(near(work.saved(new)), "id", "left_semi").mapInArrow(tidy(whole), "id bigint, grams array<bigint>")))
     wanted = reduce(DataFrame.union, sets).join(near(ids), "id", "left_semi")
     # of a document with several rows, the row of the pair's size
     one, two = wanted.select("id", F.col("grams").alias("x")), wanted.select(F.col("id").alias("other"), F.col("grams").alias("y"))

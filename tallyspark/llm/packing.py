@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import encoder_of, shipped, texts
+from .shared import tidy
 
 
 class Piece(NamedTuple):
@@ -153,4 +154,4 @@ def pack(
             yield out()
 
     schema = f"`{id_col}` {kind.simpleString()}, " + ", ".join(f"{x} bigint" for x in names[1:]) + ", token_ids array<int>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)

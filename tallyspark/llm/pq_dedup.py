@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, components, forest
+from .shared import Workspace, components, forest, tidy, tidy_group
 
 
 class Quantiser(NamedTuple):
@@ -196,7 +196,7 @@ def _found(classes: DataFrame, quantisers: dict[int, tuple], threshold: float, p
                 yield pa.RecordBatch.from_arrays(columns, ["rep", "copies", "length", "near", "x", "codes", "missed"])
 
     schema = "rep bigint, copies bigint, length int, near array<int>, x binary, codes binary, missed double"
-    indexed = work.saved(classes.select("rep", "vector", "copies").mapInArrow(assign, schema))
+    indexed = work.saved(classes.select("rep", "vector", "copies").mapInArrow(tidy(assign), schema))
     entries = indexed.withColumn("list", F.col("near")[0])
     asked = indexed.withColumn("list", F.explode("near"))
     # at most max_lists rows a length
@@ -253,4 +253,4 @@ def _found(classes: DataFrame, quantisers: dict[int, tuple], threshold: float, p
         root = pa.array([None] * (len(rep) - len(moved)) + nodes[label[moved]].tolist(), pa.int64())
         return pa.table({"rep": pa.array(rep, pa.int64()), "n": pa.array(n, pa.int64()), "root": root})
 
-    return work.saved(entries.union(asked).groupBy("length", "list", "e", "q").applyInArrow(compare, "rep bigint, n bigint, root bigint"))
+    return work.saved(entries.union(asked).groupBy("length", "list", "e", "q").applyInArrow(tidy_group(compare), "rep bigint, n bigint, root bigint"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,46 @@ def by_bytes(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
         yield held
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """A task function over batches that keeps no freed memory: workers live on for tasks of other kinds."""
+
+    def wrapped(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function of a group's table or tables."""
+
+    def of_table(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    def of_two(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            release()
+
+    return of_table if run.__code__.co_argcount == 1 else of_two
+
+
 class Workspace:
     """A folder of intermediate tables under ``spark.checkpoint.dir``; writing one cuts the lineage for good."""
 
@@ -110,7 +151,7 @@ def components(edges: DataFrame, work: Workspace, task_edges: int = 1 << 20) ->
     join that Spark splits, not a group in one task.
     """
     both = edges.where("src != dst and src is not null and dst is not null")
-    stars = lambda df: df.mapInArrow(_stars, "u bigint, v bigint")
+    stars = lambda df: df.mapInArrow(tidy(_stars), "u bigint, v bigint")
     whole = lambda df: df.select(F.col("u").alias("node"), F.col("v").alias("component")).union(df.select("v", "v").distinct())
     now = work.saved(stars(both.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))))
     if now.count() <= task_edges:

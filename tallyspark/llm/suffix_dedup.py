@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, tidy, tidy_group
 from .shingles import mixed
 
 BASE = 0x9E3779B97F4A7C15
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
             rows.append((bucket, me, pa.py_buffer(_parts([chunk.key[lo:hi].astype("u4"), (chunk.phrase[lo:hi] >> np.uint64(24)).astype("u4"), (chunk.phrase[lo:hi] >> np.uint64(56)).astype("u1"), docs_, run.astype("u4")]))))
         return _rows(rows)
 
-    sent = chunked.groupBy("chunk").applyInArrow(parse, "bucket int, chunk int, blob binary")
+    sent = chunked.groupBy("chunk").applyInArrow(tidy_group(parse), "bucket int, chunk int, blob binary")
 
     def group(table: pa.Table) -> pa.Table:
         owners = table["chunk"].to_pylist()
@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
         bucket = table["bucket"][0].as_py()
         return _rows([(bucket, c, pa.py_buffer(_parts([status[a:b]]))) for c, a, b in zip(owners, ends, ends[1:], strict=False)])
 
-    status = work.saved(sent.groupBy("bucket").applyInArrow(group, "bucket int, chunk int, blob binary"))
+    status = work.saved(sent.groupBy("bucket").applyInArrow(tidy_group(group), "bucket int, chunk int, blob binary"))
 
     def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -216,7 +216,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
             rows.append((bucket, me, pa.py_buffer(_blob({"number": at, "doc": chunk.found_in[at], "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())}))))
         return _rows(rows)
 
-    asked = chunked.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(ask, "bucket int, chunk int, blob binary")
+    asked = chunked.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(tidy_group(ask), "bucket int, chunk int, blob binary")
 
     def compare(table: pa.Table) -> pa.Table:
         owners, parts = table["chunk"].to_pylist(), [unpacked(b) for b in table["blob"].to_pylist()]
@@ -230,7 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
             rows.append((-1, c, pa.py_buffer(_parts([p["number"].to_numpy()[hit], mask[a:b][hit]]))))
         return _rows(rows)
 
-    masks = asked.groupBy("bucket").applyInArrow(compare, "bucket int, chunk int, blob binary")
+    masks = asked.groupBy("bucket").applyInArrow(tidy_group(compare), "bucket int, chunk int, blob binary")
     answers = status.union(masks)
     fields = source.schema.fields[2:]
 
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
         return pa.table(columns, names=["id", *(f.name for f in fields), "n_bytes", "spans", "kept"])
 
     schema = "id bigint, " + "".join(f"{f.name} {f.dataType.simpleString()}, " for f in fields) + "n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary")
-    result = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(cut, schema)
+    result = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy_group(cut), schema)
     return result.select(F.col("id").alias(id_col), *(F.col(f"c{n}").alias(c) for n, c in enumerate(carried)), "n_bytes", "spans", "kept")
 
 
@@ -360,6 +360,6 @@ def _clustered(rows: DataFrame, chunks: int, work: Workspace) -> DataFrame:
             yield out()
 
     name = f"tallyspark_{uuid.uuid4().hex}"
-    table = rows.mapInArrow(pack, "chunk int, blob binary").repartition(chunks, "chunk")
+    table = rows.mapInArrow(tidy(pack), "chunk int, blob binary").repartition(chunks, "chunk")
     table.write.bucketBy(chunks, "chunk").option("path", f"{work.root}/{name}").option("compression", "none").saveAsTable(name)
     return rows.sparkSession.table(name)
