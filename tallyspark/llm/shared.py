@@ -27,7 +27,7 @@ def by_bytes(texts: Iterable[bytes], most: int) -> Iterator[list[bytes]]:
 
 
 def release() -> None:
-    """Gives memory that a worker has freed back to the system, where its C library can."""
+    """Gives memory that this process has freed back to the system, where its C library can."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -90,6 +90,7 @@ class Workspace:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
+        release()  # what planning and training left in the driver
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.saved_at = path
         return kept
