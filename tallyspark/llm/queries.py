@@ -94,6 +94,50 @@ fits AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1
 """.format(values=", ".join(map(str, RULES)))
 
+#: Positions count from 0; a text's bytes are its pairs of hexadecimal digits.
+OP2_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+parts AS (
+  SELECT n, doc_id, start, substr(h, 2 * start + 1, 698) AS part FROM (SELECT *, unnest(range(0, length(h) // 2 - 49, 300)) AS start FROM texts)),
+strings AS (
+  SELECT n, doc_id, p, min(doc_id) OVER (PARTITION BY s) AS earliest
+  FROM (SELECT n, doc_id, start + j AS p, substr(part, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(length(part) // 2 - 49)) AS j FROM parts))),
+begun AS (SELECT n, p, coalesce(p - lag(p) OVER (PARTITION BY n ORDER BY p) > 50, true) AS new FROM strings WHERE earliest < doc_id),
+numbered AS (SELECT n, p, sum(new::INT) OVER (PARTITION BY n ORDER BY p) AS run FROM begun),
+spans AS (SELECT n, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY n, run),
+between_ AS (SELECT n, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS before FROM spans),
+cuts AS (
+  SELECT n, sum(b - a)::BIGINT AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM between_ JOIN texts USING (n) GROUP BY n)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM texts LEFT JOIN cuts USING (n)
+"""
+
+#: Of distinct sets, then of all rows that have them.
+OP4_SQL = """
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT k, doc_id, len(w) AS size, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM texts),
+shingles AS (
+  SELECT k, doc_id, size, i, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS g
+  FROM words WINDOW o AS (PARTITION BY k ORDER BY i)),
+sets AS (SELECT k, doc_id, list_sort(list(DISTINCT g)) AS s FROM shingles WHERE i <= greatest(size - 4, 1) GROUP BY k, doc_id),
+classes AS (SELECT s, min(doc_id) AS rep, row_number() OVER () AS c, len(s) AS n FROM sets WHERE doc_id IS NOT NULL GROUP BY s),
+grams AS (SELECT c, n, unnest(s) AS g FROM classes),
+met AS (SELECT a.c AS a, b.c AS b, a.n AS n, b.n AS m, count(*) AS common FROM grams a JOIN grams b ON a.g = b.g AND a.c < b.c GROUP BY ALL),
+close AS (SELECT a, b FROM met WHERE 100 * common >= 75 * (n + m - common)),
+names AS (SELECT DISTINCT doc_id, c FROM sets JOIN classes USING (s) WHERE doc_id IS NOT NULL),
+links AS (
+  SELECT a, b FROM close UNION SELECT b, a FROM close
+  UNION SELECT x.c, y.c FROM names x JOIN names y ON x.doc_id = y.doc_id AND x.c <> y.c),
+reached AS (SELECT c AS a, c AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+least AS (SELECT r.a AS c, min(k.rep) AS component FROM reached r JOIN classes k ON k.c = r.b GROUP BY r.a),
+known AS (SELECT doc_id, min(component) AS component FROM names JOIN least USING (c) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(len(s), 0) AS n_shingles, coalesce(component, t.doc_id) AS component_id
+FROM texts t LEFT JOIN sets USING (k) LEFT JOIN known ON known.doc_id = t.doc_id
+"""
+
 #: Of distinct vectors, then of all rows that have them.
 OP7_SQL = """
 WITH RECURSIVE good AS (
@@ -126,4 +170,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embeddings": OP7_SQL, "op8_urls": OP8_SQL, "op10_topk": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL, "op7_embeddings": OP7_SQL, "op8_urls": OP8_SQL, "op10_topk": OP10_SQL}

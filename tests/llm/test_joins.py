@@ -65,6 +65,12 @@ def test_ngram_join_query(spark, sf_dir):
     assert ngram_rows(queries.op4_ngram_join(spark, sf_dir)) == near_duplicates([(i, t) for i, t in rows])
 
 
+@pytest.mark.parametrize(("query", "sql"), [(queries.op2_suffix_dedup, queries.OP2_SQL), (queries.op4_ngram_join, queries.OP4_SQL)])
+def test_documents_as_by_sql(spark, query, sql):
+    sf_dir = "/root/testdata/sf0.01"
+    assert_same(query(spark, sf_dir).toPandas(), oracle(sf_dir, sql))
+
+
 def test_ngram_join_chains_copies_and_odd_rows(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
