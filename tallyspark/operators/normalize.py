@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lowered, or_default, trimmed, trimmed_or_kept
+from ..functions.time import clock
 from ..schema import SERVICE
 
 
@@ -29,7 +30,7 @@ def detection_view(events: DataFrame) -> DataFrame:
     return events.withColumn("seen", F.struct(*(c.alias(name) for name, c in seen.items())))
 
 
-def outbound(events: DataFrame, event_type: str, now: Column, *more: str) -> DataFrame:
+def outbound(events: DataFrame, event_type: str, now: Column | None = None, *more: str) -> DataFrame:
     """The envelope that is sent on: trimmed, never lower-cased, with this service as its source."""
     p = F.col("payload")
     payload = F.struct(*((p[f] if f == "value" else trimmed_or_kept(p[f])).alias(f) for f in ("deviceId", "deviceType", "metric", "value", "unit", "location")))
@@ -38,17 +39,17 @@ def outbound(events: DataFrame, event_type: str, now: Column, *more: str) -> Dat
         trimmed_or_kept(F.col("eventId")).alias("eventId"),
         trimmed_or_kept(F.col("tenantId")).alias("tenantId"),
         F.lit(event_type).alias("eventType"),
-        F.coalesce(F.col("timestamp"), now).alias("timestamp"),
+        F.coalesce(F.col("timestamp"), clock(now)).alias("timestamp"),
         F.lit(SERVICE).alias("source"),
         or_default(F.col("version"), "1.0").alias("version"),
         payload.alias("payload"),
     )
 
 
-def processed(events: DataFrame, now: Column, *more: str) -> DataFrame:
+def processed(events: DataFrame, now: Column | None = None, *more: str) -> DataFrame:
     return outbound(events, "telemetry.processed", now, *more)
 
 
-def anomaly(detected: DataFrame, now: Column, *more: str) -> DataFrame:
+def anomaly(detected: DataFrame, now: Column | None = None, *more: str) -> DataFrame:
     """Anomalous events only, with severity, reasons and the time of detection."""
-    return outbound(detected.where("anomalous"), "telemetry.anomaly", now, *more, "severity", "reasons").withColumn("detectedAt", now)
+    return outbound(detected.where("anomalous"), "telemetry.anomaly", now, *more, "severity", "reasons").withColumn("detectedAt", clock(now))

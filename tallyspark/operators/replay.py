@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
-from ..schema import LOGS, RECORD
-from ..sources.events import offset_ranges
-from .ingest import message_key
+from ..functions.time import clock
+from ..schema import DEAD_LETTER
+from ..sources.events import decoded, offset_ranges
+from ..sources.log import Log, Ranges, appended, in_range
+from .ingest import MICROS, message_key
+
+__all__ = ["appended"]
 
 
 def selection(ids: list[str | None]) -> list[str]:
@@ -20,80 +23,67 @@ def selection(ids: list[str | None]) -> list[str]:
     return out
 
 
-def snapshot(letters: DataFrame) -> list[tuple[int, int, int]]:
-    """(partition, start, end) now; records that come later are beyond it. As many rows as partitions."""
+def snapshot(letters: DataFrame) -> Ranges:
+    """(partition, start, end) now; records that come later are beyond it. As many rows as partitions; none is an error.
+
+    Of a ``Log`` its own ``ranges`` tell the same without reading rows.
+    """
     ranges = [tuple(r) for r in offset_ranges(letters).collect()]
+    if not ranges:
+        raise ValueError("the log has no partitions")
     if any(start is None or end is None or start < 0 or end < start for _, start, end in ranges):
         raise ValueError("a partition's range is not whole")
     return ranges
 
 
-def in_ranges(ranges: list[tuple[int, int, int]]) -> Column:
+def in_ranges(ranges: Ranges) -> Column:
     """Whether a record lies in the snapshot; the bounds reach the scan."""
-    hits = [(F.col("partition") == p) & (F.col("offset") >= start) & (F.col("offset") < end) for p, start, end in ranges]
     out = F.lit(False)
-    for hit in hits:
-        out = out | hit
+    for bounds in ranges:
+        out = out | in_range(*bounds)
     return out
 
 
-def selected(letters: DataFrame, ids: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFrame:
+def selected(letters: DataFrame, ids: DataFrame, ranges: Ranges) -> DataFrame:
     """Letters (with ``event``) in range whose event id, as it stands, is among ``ids`` (eventId)."""
     return letters.where(in_ranges(ranges)).join(ids.select(F.col("eventId").alias("_id")).distinct(), F.col("event.eventId") == F.col("_id"), "left_semi")
 
 
-def headers(now: Column, source: str = "dlq", prefix: str = "telemetry", run_id: str | None = None) -> Column:
+def headers(now: Column | None = None, source: str = "dlq", prefix: str = "telemetry", run_id: str | None = None) -> Column:
     pair = lambda k, v: F.struct(F.lit(f"{prefix}.{k}").alias("key"), v.cast("string").cast("binary").alias("value"))
-    return F.array(pair("replay", F.lit("true")), pair("replayed-at", now), pair("replay-source", trimmed(F.lit(source))), *([pair("replay-run", F.lit(run_id))] if run_id else []))
+    return F.array(pair("replay", F.lit("true")), pair("replayed-at", clock(now)), pair("replay-source", trimmed(F.lit(source))), *([pair("replay-run", F.lit(run_id))] if run_id else []))
 
 
-def republished(chosen: DataFrame, now: Column, source: str = "dlq", prefix: str = "telemetry", run_id: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+def republished(chosen: DataFrame, now: Column | None = None, source: str = "dlq", prefix: str = "telemetry", run_id: str | None = None, more: tuple[str | Column, ...] = ()) -> DataFrame:
     """(key, value, headers, ``more``): the unchanged events, marked as replayed."""
-    return chosen.select(message_key(F.col("event.eventId"), F.col("event.tenantId")).alias("key"), F.to_json("event").alias("value"), headers(now, source, prefix, run_id).alias("headers"), *more)
+    return chosen.select(message_key(F.col("event.eventId"), F.col("event.tenantId")).alias("key"), F.to_json("event", MICROS).alias("value"), headers(now, source, prefix, run_id).alias("headers"), *more)
 
 
-def appended(records: DataFrame, log: DataFrame | None, order: list[str], partitions: int, span: int = 1 << 20) -> DataFrame:
-    """Adds partition (by key) and offset: each partition goes on where ``log`` ends, in the order of the two columns ``order``.
-
-    Rows are numbered in chunks of ``span`` of the second column, and chunks by a running sum over their counts, so no task has a whole partition.
-    """
-    out = records.withColumns({"partition": F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"), "_chunk": F.struct(order[0], F.floor(F.col(order[1]) / span).alias("n"))})
-    counts = out.groupBy("partition", "_chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("partition").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("partition", "_chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    if log is not None:
-        ends = offset_ranges(log).select("partition", "end_offset")  # as many rows as partitions
-        bases = bases.join(F.broadcast(ends), "partition", "left").withColumn("_base", F.col("_base") + F.coalesce("end_offset", F.lit(0))).drop("end_offset")
-    place = F.row_number().over(Window.partitionBy("partition", "_chunk").orderBy(*order))
-    return out.withColumn("_place", place).join(bases, ["partition", "_chunk"]).withColumn("offset", F.col("_base") + F.col("_place") - 1).drop("_base", "_place", "_chunk")
-
-
-def audit(chosen: DataFrame, run_id: str, source: str, now: Column) -> DataFrame:
+def audit(chosen: DataFrame, run_id: str, source: str, now: Column | None = None) -> DataFrame:
     """One row for a run: its id, source and time, how many records of how many events, and the offsets that they come from."""
     events = F.count_distinct("event.eventId").alias("events")
     sums = chosen.agg(F.count("*").alias("records"), events, F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
-    return sums.select(F.lit(run_id).alias("run_id"), trimmed(F.lit(source)).alias("source"), now.alias("replayed_at"), "*")
+    return sums.select(F.lit(run_id).alias("run_id"), trimmed(F.lit(source)).alias("source"), clock(now).alias("replayed_at"), "*")
 
 
-def replay(spark: SparkSession, letters: DataFrame, ids: list[str], raw_path: str, now: Column, run_id: str, audit_path: str | None = None, partitions: int = LOGS["raw"][0]) -> int:
-    """Appends the selected events to the raw log, after what it holds, and returns how many were written.
+def replay(spark: SparkSession, letters: Log, ids: list[str], raw: Log, now: Column | None, run_id: str, source: str = "dlq") -> int:
+    """Appends the selected dead letters to the raw log, after what it holds, and returns how many the run wrote.
 
-    A failed job appends nothing. An empty range replays nothing. One replay writes to a log at a time.
+    The bounds are those of the dead-letter log when the run begins; a log without partitions is an error, an
+    empty one replays nothing.  Records and audit row are one commit: a run that fails leaves neither, and a run id
+    that has been committed is not replayed again, nor when another writer was faster (``Conflict``).
+    A dead letter without an event cannot be sent and ends the run.
     """
-    ranges = snapshot(letters)
-    chosen = selected(letters, spark.createDataFrame([(i,) for i in selection(ids)], "eventId string"), ranges)
-    try:
-        log = spark.read.schema(RECORD).parquet(raw_path)
-    except AnalysisException:  # the first records of a new log
-        log = None
-    sent = chosen.select("*", message_key(F.col("event.eventId"), F.col("event.tenantId")).alias("_key")).withColumnsRenamed({"partition": "_from", "offset": "_at", "_key": "key"})
-    placed = appended(sent.select("key", "event", "_from", "_at"), log, ["_from", "_at"], partitions)
-    out = republished(placed, now, run_id=run_id, more=("partition", "offset")).withColumn("ts", now)
-    written = Observation()
-    out.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(raw_path)
-    if audit_path:
-        audit(chosen, run_id, "dlq", now).write.mode("append").parquet(audit_path)
-    return written.get["n"]
+    wanted, ranges = selection(ids), letters.ranges()
+    done = raw.commits.state().runs.get(run_id)
+    if done:
+        return done["rows"]
+    whole = decoded(letters.read(ranges).select("value", "partition", "offset"), DEAD_LETTER)
+    opened = whole.select("partition", "offset", F.when(F.col("event.event").isNull(), F.raise_error(F.lit("a dead letter has no event"))).otherwise(F.col("event.event")).alias("event"))
+    chosen = selected(opened, spark.createDataFrame([(i,) for i in wanted], "eventId string"), ranges)
+    sent = republished(chosen, now, source, run_id=run_id, more=(F.col("partition").alias("_from"), F.col("offset").alias("_at"))).withColumn("ts", clock(now).cast("timestamp"))
+    row = {k: str(v) for k, v in audit(chosen, run_id, source, now).first().asDict().items() if k != "run_id"}
+    return raw.append(sent, run_id, ["_from", "_at"], row)
 
 
 def by_offset(records: DataFrame, start: int, end: int) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.time import clock
 from ..schema import SERVICE, WIDTHS
-from .ingest import NO_KEY, message_key
+from .ingest import MICROS, NO_KEY, message_key
 from .normalize import processed
 
 NULL_PAYLOAD = "IllegalArgumentException: telemetry payload must not be null"
 
 
-def table_row(envelope: DataFrame, now: Column, *more: str) -> DataFrame:
+def table_row(envelope: DataFrame, now: Column | None = None, *more: str) -> DataFrame:
     """A processed envelope as a row of the table; the version is not kept."""
     p = F.col("payload")
     return envelope.select(
@@ -29,7 +30,7 @@ def table_row(envelope: DataFrame, now: Column, *more: str) -> DataFrame:
         p["value"].isNotNull().alias("_had_value"),
         p["unit"].alias("unit"),
         p["location"].alias("location"),
-        now.alias("ingested_at"),
+        clock(now).alias("ingested_at"),
     )
 
 
@@ -44,7 +45,7 @@ def constraint_failure() -> Column:
     return F.coalesce(*checks)
 
 
-def routed(detected: DataFrame, now: Column, replayed: str = "replayed") -> DataFrame:
+def routed(detected: DataFrame, now: Column | None = None, replayed: str = "replayed") -> DataFrame:
     """Adds ``error`` and ``route``: normal, anomaly, dlq, or dropped_replay for a replay that fails again."""
     names = [c for c in detected.columns if c != "row"]
     as_row = table_row(processed(detected, now, *(F.col(c).alias(f"in_{c}") for c in names)), now, *(f"in_{c}" for c in names))
@@ -61,7 +62,7 @@ def routed(detected: DataFrame, now: Column, replayed: str = "replayed") -> Data
     return out.withColumn("route", F.when(F.col("error").isNotNull(), failed).when(F.col("anomalous"), "anomaly").otherwise("normal"))
 
 
-def dead_letters(routed_events: DataFrame, now: Column, *more: str) -> DataFrame:
+def dead_letters(routed_events: DataFrame, now: Column | None = None, *more: str) -> DataFrame:
     """Records for the dead-letter log: key (or null), the unchanged event, why and when it failed."""
     fields = ["eventId", "tenantId", "eventType", "timestamp", "source", "version", "payload"]
     out = routed_events.where("route = 'dlq'")
@@ -71,10 +72,10 @@ def dead_letters(routed_events: DataFrame, now: Column, *more: str) -> DataFrame
         F.struct(*fields).alias("event"),
         F.col("error").alias("errorMessage"),
         F.lit(SERVICE).alias("sourceService"),
-        now.alias("failedAt"),
+        clock(now).alias("failedAt"),
     )
 
 
 def rendered(letters: DataFrame) -> DataFrame:
     """(key, value): dead letters as JSON texts."""
-    return letters.select("key", F.to_json(F.struct("event", "errorMessage", "sourceService", "failedAt")).alias("value"))
+    return letters.select("key", F.to_json(F.struct("event", "errorMessage", "sourceService", "failedAt"), MICROS).alias("value"))

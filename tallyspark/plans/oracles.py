@@ -169,7 +169,18 @@ SELECT window_start, job, sum(i)::BIGINT AS increase, sum(i)::DOUBLE / 120 AS pe
 ORDER BY "timestamp" DESC, event_id LIMIT 100""",
         "first_dead_letter": DEAD + """SELECT "eventId", min(seq) AS seq, arg_min("partition", seq) AS "partition", arg_min("offset", seq) AS "offset", arg_min(error, seq) AS "errorMessage" FROM letters WHERE "eventId" IS NOT NULL GROUP BY "eventId\"""",
         "first_raw_record": BASE + f"SELECT {KEY} AS key, min(seq) AS seq, arg_min(replayed, seq) AS replayed FROM tel WHERE {KEY} IS NOT NULL GROUP BY 1",
-        "dead_letters_by_key": DEAD + """SELECT key, seq, error AS "errorMessage" FROM letters WHERE key = 'tenant-1'""",
+        "dead_letters_by_key": DEAD + """SELECT key, seq, error AS "errorMessage" FROM letters WHERE key = 'evt-79'""",
+        "table_after_batches": TABLE + "SELECT * FROM stored",
+        "recent_from_layout": TABLE
+        + """SELECT event_id, device_id, "timestamp", "value" FROM stored WHERE tenant_id = 'tenant-1' AND "timestamp" >= TIMESTAMP '2024-01-02' AND "timestamp" < TIMESTAMP '2024-01-09'
+ORDER BY "timestamp" DESC, event_id LIMIT 100""",
+        "raw_log_published": BASE + f"SELECT {FLAT} FROM tel WHERE NOT ({BAD}) AND {KEY} IS NOT NULL",
+        "raw_log_by_offset": BASE + f"SELECT {FLAT} FROM tel WHERE NOT ({BAD}) AND {KEY} IS NOT NULL",
+        "constraint_failures": """SELECT * FROM (SELECT event_id AS seq, CASE WHEN event_id % 53 > 50 THEN 'constraint: event_id is longer than 50' WHEN event_id % 103 > 100 THEN 'constraint: tenant_id is longer than 100'
+  WHEN event_id % 107 > 100 THEN 'constraint: device_id is longer than 100' WHEN event_id % 109 > 100 THEN 'constraint: metric is longer than 100'
+  WHEN event_id % 13 = 0 THEN 'constraint: unit must not be null' WHEN event_id % 23 > 20 THEN 'constraint: unit is longer than 20' WHEN event_id % 113 > 100 THEN 'constraint: location is longer than 100'
+  WHEN event_id % 17 = 0 THEN 'constraint: value is out of range' END AS error FROM events) WHERE error IS NOT NULL""",
+        "null_records": "SELECT event_type, count(*) AS records, count(*) FILTER (event_id % 103 = 0 OR props IS NULL) AS nulls FROM events GROUP BY event_type",
         "topics_caught_up": """WITH e AS (SELECT event_type AS topic, event_id % 3 AS p, max(event_id) + 1 AS e, max(event_id) FILTER (event_id % 5 <> 0) + 1 AS c FROM events GROUP BY 1, 2)
 SELECT topic, bool_and(c >= e) AS all_match FROM e WHERE c IS NOT NULL GROUP BY topic""",
     }

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import detect, ingest, metrics, normalize, query, replay, route, store
 from ..schema import EVENT
 from ..sources import events as sources
-from ..sources.shared import saved
+from ..sources.log import Log
+from ..sources.offsets import OffsetLog
+from ..sources.shared import folder, saved
 from ..streaming import process
 from .fixtures import now, table, telemetry
 
@@ -308,7 +310,69 @@ def first_raw_record(spark, d):
 
 
 def dead_letters_by_key(spark, d):
-    return query.by_key(letters(spark, d), "tenant-1").select("key", "seq", "errorMessage")
+    return query.by_key(letters(spark, d), "evt-79").select("key", "seq", "errorMessage")
+
+
+def _kept(spark, d):
+    """The processed table written in four batches by order of arrival, with a compaction after the second."""
+    whole, table_ = saved(rows(spark, d)), store.Table(spark, folder(spark))
+    middle = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    for number, (lo, hi) in enumerate([(0, middle), (middle, 10**9), (10**9, 2 * 10**9), (2 * 10**9, 10**10)]):
+        table_.append(whole.where((F.col("seq") >= lo) & (F.col("seq") < hi)), number)
+        if number == 1:
+            table_.compact()
+    return table_
+
+
+def table_after_batches(spark, d):
+    """Base and deltas, merged: equal to the fold over all deliveries."""
+    return _kept(spark, d).read().drop("seq", "replayed")
+
+
+def recent_from_layout(spark, d):
+    """The newest readings of a tenant from the table's days and row groups, its last two batches not yet compacted."""
+    start, end = week()
+    return query.recent(_kept(spark, d).read(tenant="tenant-1", since=start, until=end), 100).select("event_id", "device_id", "timestamp", "value")
+
+
+def _raw(spark, d):
+    """A raw log of the accepted events."""
+    log = Log(spark, folder(spark), 3)
+    ingest.publish(telemetry(spark, d).withColumn("_from", F.lit(0)), log, "run-1", ["_from", "seq"], now())
+    return log
+
+
+def _opened(records):
+    found = sources.decoded(sources.with_value(records)).select("event.*")
+    return found.select(*ENVELOPE[:3], F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), *ENVELOPE[4:], *(F.col(p).cast("decimal(18,4)").alias("value") if p == "payload.value" else p for p in PAYLOAD))
+
+
+def raw_log_published(spark, d):
+    """Accepted events, published to the raw log and read back."""
+    return _opened(_raw(spark, d).read())
+
+
+def raw_log_by_offset(spark, d):
+    """The same log by (partition, offset): the first hundred of each partition, and all that follow."""
+    spark.dataSource.register(OffsetLog)
+    path, hundred = _raw(spark, d).path, '{"0": 100, "1": 100, "2": 100}'
+    reader = lambda **bounds: spark.read.format("offset_log").options(path=path, **bounds).load()
+    return _opened(reader(endingOffsets=hundred).union(reader(startingOffsets=hundred)))
+
+
+def constraint_failures(spark, d):
+    """Rows whose texts grow beyond the table's widths, and values beyond its digits."""
+    e = table(spark, d, "events")
+    long = lambda c, n: F.expr(f"repeat('{c}', cast(event_id % {n} as int))")
+    value = F.when(F.col("event_id") % 17 == 0, F.lit(10).cast("decimal(16,0)") * F.lit("10000000000000").cast("decimal(16,0)")).otherwise(F.col("event_id"))
+    texts = {"event_id": long("e", 53), "tenant_id": long("t", 103), "event_type": F.lit("x"), "source": F.lit("s"), "device_id": long("d", 107), "device_type": F.lit("k"), "metric": long("m", 109), "unit": F.when(F.col("event_id") % 13 != 0, long("u", 23)), "location": long("l", 113)}
+    built = e.select(F.col("event_id").alias("seq"), *(c.alias(k) for k, c in texts.items()), value.cast("string").try_cast("decimal(18,4)").alias("value"), F.lit(True).alias("_had_value"))
+    return built.select("seq", route.constraint_failure().alias("error")).where("error is not null")
+
+
+def null_records(spark, d):
+    e = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 103 != 0, F.col("props")).alias("value"))
+    return sources.null_counts(e, "event_type")
 
 
 def topics_caught_up(spark, d):
@@ -322,7 +386,7 @@ NAMES = [
     replay_loop_guard, raw_replay_time_range, raw_retained, find_by_event_id, dlq_count_by_event, produced_not_consumed, request_rate_1m, request_rate_by_job, outcome_counts,
     mean_latency, counter_increase, gauge_by_job, gauge_latest, lag_by_topic, assigned_partitions, traces_found, telemetry_by_tenant_recent, device_latest, metric_hourly,
     anomalies_by_tenant, heartbeat_gaps, stream_equals_batch, ingest_dead_letters, replay_audit, counter_rate_2m, anomaly_table, anomalies_recent, first_dead_letter, first_raw_record,
-    dead_letters_by_key, topics_caught_up,
+    dead_letters_by_key, topics_caught_up, table_after_batches, recent_from_layout, raw_log_published, raw_log_by_offset, constraint_failures, null_records,
 ]
 
 

@@ -18,6 +18,16 @@ def decoded(records: DataFrame, schema: T.StructType = EVENT, value: str = "valu
     return out.withColumn("event", F.when(~F.col("malformed"), fields)).drop("_parsed")
 
 
+def null_counts(records: DataFrame, *by: str, value: str = "value") -> DataFrame:
+    """(by, records, nulls): how many records have no value at all; ``with_value`` leaves these out."""
+    return records.groupBy(*by).agg(F.count("*").alias("records"), F.count_if(F.col(value).isNull()).alias("nulls"))
+
+
+def with_value(records: DataFrame, value: str = "value") -> DataFrame:
+    """Records with a value: a null record is no event and no dead letter, it is counted and left."""
+    return records.where(F.col(value).isNotNull())
+
+
 def header(headers: Column, key: str) -> Column:
     """The last header of this key, as text; null if there is none."""
     return F.try_element_at(F.filter(headers, lambda h: h["key"] == key), F.lit(-1))["value"].cast("string")

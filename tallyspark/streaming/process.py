@@ -2,8 +2,13 @@
 
 Only the spike rule needs history.  Complete readings pass a stateful operator
 keyed by tenant, device and metric, whose state is the last value; all else is
-the batch code.  A micro-batch's outputs go to folders named by its number and
-are overwritten when it runs again, so a restart repeats nothing.
+the batch code.  A stream that goes on where a batch ended starts with the batch's last
+readings as its state.  A micro-batch's logs go to folders named by its number and
+are overwritten when it runs again, and the two tables take a number once, so a restart
+repeats nothing.
+
+A key's readings of one micro-batch are sorted in one task; the source's bound a
+trigger (``maxOffsetsPerTrigger`` of ``sources.offsets``) bounds them.
 """
 
 from __future__ import annotations
@@ -37,33 +42,49 @@ class LastValue(StatefulProcessor):
         readings["k_previous"] = pd.Series([last, *values[:-1]], index=readings.index, dtype=object)
         yield readings
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.last.update((initialState["k_value"].iloc[-1],))
+
     def close(self) -> None:
         pass
 
 
-def with_previous(events: DataFrame) -> DataFrame:
-    """The stream's counterpart of the batch window: same columns, the history in state."""
+def last_readings(events: DataFrame, order: str = "seq") -> DataFrame:
+    """(keys, k_value): the last complete reading of each key of a batch, by a mergeable maximum."""
+    seen = normalize.detection_view(events).where(detect.complete())
+    flat = seen.select(order, F.col("seen.tenantId").alias("k_tenant"), F.col("seen.deviceId").alias("k_device"), F.col("seen.metric").alias("k_metric"), F.col("seen.value").cast("decimal(22,8)").alias("k_value"))
+    return flat.groupBy(*KEYS).agg(F.max_by("k_value", order).alias("k_value"))
+
+
+def with_previous(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """The stream's counterpart of the batch window: same columns, the history in state; ``history``: ``last_readings`` of what came before it."""
     seen = normalize.detection_view(events).withColumn("complete", detect.complete())
     plain = [c for c in events.columns if c != "payload"]
     flat = seen.select(*plain, "complete", F.col("payload").isNotNull().alias("k_payload"), *(F.col(f"payload.{f}").alias(f"p_{f}") for f in FIELDS), F.col("seen.tenantId").alias("k_tenant"), F.col("seen.deviceId").alias("k_device"), F.col("seen.metric").alias("k_metric"), F.col("seen.value").cast("decimal(22,8)").alias("k_value"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields) + ", k_previous decimal(22,8)"
-    whole = flat.where("complete").groupBy(*KEYS).transformWithStateInPandas(LastValue(), schema, "append", "none")
+    whole = flat.where("complete").groupBy(*KEYS).transformWithStateInPandas(LastValue(), schema, "append", "none", history.groupBy(*KEYS) if history is not None else None)
     out = whole.union(flat.where("not complete").withColumn("k_previous", F.lit(None).cast("decimal(22,8)")))
     payload = F.when(F.col("k_payload"), F.struct(*(F.col(f"p_{f}").alias(f) for f in FIELDS)))
     back = out.select(*plain, payload.alias("payload"), "complete", F.col("k_previous").alias("previous"))
     return normalize.detection_view(back)
 
 
-def write_outputs(base: str, now: Column):
-    """A foreachBatch function: table rows first, then the three logs, then the routes of all events."""
+def write_outputs(base: str, now: Column | None = None, compact_every: int = 16):
+    """A foreachBatch function: table rows first, then the anomalies' table and the three logs, then the routes of all events."""
 
     def write(batch: DataFrame, number: int) -> None:
         events = route.routed(detect.judged(batch), now).persist()
         good = events.where("route = 'normal'")
+        odd = normalize.anomaly(events.where("route = 'anomaly'"), now, "seq", "replayed")
+        tables = {"table": good.select("seq", "replayed", "row.*"), "anomaly_table": anomaly_rows(odd)}
+        for name, rows in tables.items():
+            kept = store.Table(batch.sparkSession, f"{base}/{name}")
+            kept.append(rows, number)
+            if number % compact_every == compact_every - 1:
+                kept.compact()
         parts = {
-            "table": store.folded(good.select("seq", "replayed", "row.*")),
             "processed": normalize.processed(good, now, "seq"),
-            "anomalies": normalize.anomaly(events.where("route = 'anomaly'"), now, "seq"),
+            "anomalies": odd.drop("replayed"),
             "dlq": route.dead_letters(events, now, "seq"),
             "routes": events.select("seq", F.col("route").alias("stream_route"), F.array_join("reasons", "; ").alias("stream_reasons")),
         }
@@ -74,15 +95,20 @@ def write_outputs(base: str, now: Column):
     return write
 
 
-def table(spark, base: str) -> DataFrame:
-    """The processed table as it stands: the fold over what the micro-batches wrote."""
-    return store.folded(spark.read.parquet(f"{base}/table").drop("batch"))
+def anomaly_rows(anomalies: DataFrame) -> DataFrame:
+    """Anomalies as rows of their table; of an event's deliveries it keeps the first, or the last replay."""
+    return anomalies.select("seq", "replayed", F.col("eventId").alias("event_id"), F.col("tenantId").alias("tenant_id"), F.col("payload.deviceId").alias("device_id"), "timestamp", "severity", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def table(spark, base: str, name: str = "table") -> DataFrame:
+    """The processed table (or ``anomaly_table``) as it stands: its base merged with the micro-batches since."""
+    return store.Table(spark, f"{base}/{name}").read()
 
 
-def start(events: DataFrame, base: str, now: Column, **trigger):
-    """Starts the query; ``trigger`` as for ``DataStreamWriter.trigger``."""
+def start(events: DataFrame, base: str, now: Column | None = None, history: DataFrame | None = None, **trigger):
+    """Starts the query; ``history`` as for ``with_previous``, ``trigger`` as for ``DataStreamWriter.trigger``."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    writer = with_previous(events).writeStream.outputMode("append").foreachBatch(write_outputs(base, now)).option("checkpointLocation", f"{base}/checkpoint")
+    writer = with_previous(events, history).writeStream.outputMode("append").foreachBatch(write_outputs(base, now)).option("checkpointLocation", f"{base}/checkpoint")
     return writer.trigger(**trigger or {"availableNow": True}).start()
 
 

@@ -10,6 +10,8 @@ from tallyspark.operators import detect, ingest, metrics, normalize, replay, rou
 from tallyspark import schema
 from tallyspark.schema import EVENT, WIDTHS
 from tallyspark.sources import events as sources
+from tallyspark.sources.commits import Conflict
+from tallyspark.sources.log import Log
 
 def now():
     return F.lit("2026-01-01 00:00:00").cast("timestamp")
@@ -101,7 +103,7 @@ def test_outbound_keeps_case_and_blank_text(spark):
     assert tuple(got["payload"]) == ("Dev", "K", "  ", Decimal(1), None, "z")
 
 
-def test_fold_equals_a_sequential_model(spark):
+def test_fold_equals_a_sequential_model(spark, tmp_path):
     import random
 
     rng = random.Random(3)
@@ -113,30 +115,85 @@ def test_fold_equals_a_sequential_model(spark):
     frame = spark.createDataFrame(rows, "event_id string, seq bigint, replayed boolean, value bigint").repartition(7)
     assert {r["event_id"]: r["value"] for r in store.folded(frame).collect()} == table
     # the same in two batches
-    first, second = store.folded(frame.where("seq < 250")), store.folded(frame.where("seq >= 250"))
-    assert {r["event_id"]: r["value"] for r in store.merged(first, second).collect()} == table
+    kept = store.Table(spark, str(tmp_path / "table"), layout=("event_id",))
+    for n, part in enumerate(("seq < 250", "seq >= 250")):
+        kept.append(frame.where(part).withColumn("timestamp", now()), n)
+    assert {r["event_id"]: r["value"] for r in kept.read().collect()} == table
+
+
+def dead_letter_log(spark, path, letters, partitions=2):
+    """A dead-letter log of (key, event id)."""
+    rows = [(k, e, n) for n, (k, e) in enumerate(letters)]
+    frame = spark.createDataFrame(rows, "key string, eventId string, _at bigint").withColumn("event", F.struct(F.struct("eventId", F.lit("t").alias("tenantId")).alias("event"), F.lit("why").alias("errorMessage")))
+    log = Log(spark, path, partitions)
+    log.append(frame.select("key", F.to_json("event").alias("value"), F.lit(None).cast(schema.HEADERS).alias("headers"), now().alias("ts"), F.lit(0).alias("_from"), "_at"), "fill", ["_from", "_at"])
+    return log
 
 
 def test_replay_takes_what_is_selected_and_in_range(spark, tmp_path):
-    rows = [("p", p, o, e) for p, o, e in [(0, 0, "a"), (0, 1, " a "), (0, 2, "b"), (1, 0, "a"), (1, 1, "c")]]
-    log = spark.createDataFrame(rows, "tenant string, partition int, offset bigint, eventId string")
-    log = log.select("partition", "offset", F.struct("eventId", F.col("tenant").alias("tenantId")).alias("event"))
-    assert sorted(replay.snapshot(log)) == [(0, 0, 3), (1, 0, 2)]
-    assert replay.replay(spark, log, ["a", None, " ", "a ", "c"], str(tmp_path / "raw"), now(), "run-1", str(tmp_path / "audit")) == 3
-    assert replay.replay(spark, log, ["c", "b"], str(tmp_path / "raw"), now(), "run-2", str(tmp_path / "audit")) == 2
-    raw = spark.read.parquet(str(tmp_path / "raw")).select("partition", "offset", F.element_at("headers", 4)["value"].cast("string").alias("run")).collect()
+    letters = dead_letter_log(spark, str(tmp_path / "dlq"), [("x", "a"), ("x", " a "), ("x", "b"), ("y", "a"), ("y", "c")])
+    raw = Log(spark, str(tmp_path / "raw"), 3)
+    assert sum(end - start for _, start, end in letters.ranges()) == 5
+    assert replay.replay(spark, letters, ["a", None, " ", "a ", "c"], raw, now(), "run-1") == 3
+    assert replay.replay(spark, letters, ["c", "b"], raw, now(), "run-2") == 2
+    assert replay.replay(spark, letters, ["a", "b"], raw, now(), "run-2") == 2  # that run is done
+    records = raw.read()
+    found = records.select("partition", "offset", F.element_at("headers", 4)["value"].cast("string").alias("run")).collect()
     # offsets of both runs: from 0, without gaps or repetitions
-    for p in {r["partition"] for r in raw}:
-        of_p = sorted((r["offset"], r["run"]) for r in raw if r["partition"] == p)
+    for p in {r["partition"] for r in found}:
+        of_p = sorted((r["offset"], r["run"]) for r in found if r["partition"] == p)
         assert [o for o, _ in of_p] == list(range(len(of_p))) and [r for _, r in of_p] == sorted(r for _, r in of_p)
-    rows = {r["run_id"]: (r["records"], r["events"]) for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
-    assert set(rows) == {"run-1", "run-2"} and rows["run-1"][0] == 3
-    back = spark.read.parquet(str(tmp_path / "raw"))
-    assert [r[0] for r in back.select(sources.is_replay(F.col("headers"))).collect()] == [True] * 5
+    runs = {r["run_id"]: r["info"] for r in raw.runs().collect()}
+    assert set(runs) == {"run-1", "run-2"} and (runs["run-1"]["records"], runs["run-1"]["events"], runs["run-1"]["source"]) == ("3", "2", "dlq")
+    assert [r[0] for r in records.select(sources.is_replay(F.col("headers"))).collect()] == [True] * 5
     with pytest.raises(ValueError):
         replay.selection([" ", None])
 
 
+def test_replay_that_fails_leaves_nothing(spark, tmp_path, monkeypatch):
+    """A crash between files and commit, another writer's commit in between, a letter without an event, a log without partitions."""
+    letters = dead_letter_log(spark, str(tmp_path / "dlq"), [("x", "a"), ("y", "b")])
+    raw = Log(spark, str(tmp_path / "raw"), 3)
+    plain = raw.commits.commit
+
+    def crash(*_, **__):
+        raise RuntimeError("the driver is gone")
+
+    monkeypatch.setattr(raw.commits, "commit", crash)
+    with pytest.raises(RuntimeError):
+        replay.replay(spark, letters, ["a"], raw, now(), "run-1")
+    again = Log(spark, str(tmp_path / "raw"), 3)
+    assert again.read().count() == 0 and again.commits._names("data")
+
+    def late(*args, **more):
+        replay.replay(spark, letters, ["b"], again, now(), "faster")
+        return plain(*args, **more)
+
+    monkeypatch.setattr(raw.commits, "commit", late)
+    with pytest.raises(Conflict):
+        replay.replay(spark, letters, ["a"], raw, now(), "run-1")
+    assert {r["run_id"] for r in again.runs().collect()} == {"faster"} and again.read().count() == 1
+    assert replay.replay(spark, letters, ["a"], again, now(), "run-1") == 1 and again.read().count() == 2
+    assert len(again.commits.clean(hours=0)) == 2 and again.read().count() == 2  # of the crash and of the loser
+    poison = Log(spark, str(tmp_path / "poison"), 1)
+    poison.append(letters.read().select("key", F.lit('{"errorMessage":"no event"}').alias("value"), "headers", "ts", "partition", "offset").withColumnsRenamed({"partition": "_from", "offset": "_at"}), "fill", ["_from", "_at"])
+    with pytest.raises(Exception, match="a dead letter has no event"):
+        replay.replay(spark, poison, ["a"], again, now(), "run-3")
+    with pytest.raises(ValueError, match="no partitions"):
+        replay.replay(spark, Log(spark, str(tmp_path / "none")), ["a"], again, now(), "run-4")
+    assert again.read().count() == 2
+
+
+def test_records_appended_during_a_run_are_beyond_it(spark, tmp_path, monkeypatch):
+    letters = dead_letter_log(spark, str(tmp_path / "dlq"), [("x", "a")], 1)
+    ranges = letters.ranges()
+    more = letters.read().select("key", "value", "headers", "ts", F.col("partition").alias("_from"), F.col("offset").alias("_at"))
+    letters.append(more, "later", ["_from", "_at"])
+    monkeypatch.setattr(letters, "ranges", lambda: ranges)
+    assert letters.read().count() == 2
+    assert replay.replay(spark, letters, ["a"], Log(spark, str(tmp_path / "raw"), 1), now(), "r") == 1
+
+
 def test_decoding_tells_malformed_from_odd(spark):
     rows = [('{"eventId":"a","extra":1,"payload":{"value":28.4}}',), ('{"eventId"',), ('{"timestamp":"yesterday"}',), (None,)]
     got = sources.decoded(spark.createDataFrame(rows, "value string")).select("malformed", "event.eventId").collect()
