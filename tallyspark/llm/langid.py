@@ -158,3 +158,24 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], n: int = 3, see
     source = docs.select(text_col, *carried)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*with_text, *carried])
     return source.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
+
+
+def least_cosine(scored: DataFrame, share: float = 0.001, least_chars: int = 200, lang_col: str = "lang", text_col: str = "text") -> float:
+    """The cosine that all but ``share`` of the labelled texts of some length reach, in steps of 1/1000; 0 without such texts.
+
+    ``scored``: what ``identify`` returns with the columns of language and text kept.  Texts of other languages than
+    the learned ones stay below it.
+    """
+    known = scored.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) >= least_chars))
+    steps = known.groupBy(F.floor(F.col("score") * 1000).alias("step")).agg(F.count("*").alias("n")).collect()  # 1,001 rows at most
+    below, allowed = 0, share * sum(r["n"] for r in steps)
+    for r in sorted(steps):
+        below += r["n"]
+        if below > allowed:
+            return r["step"] / 1000
+    return 0.0
+
+
+def recognised(scored: DataFrame, least: float, least_chars: int = 200, text_col: str = "text") -> DataFrame:
+    """The rows whose text has letters and, unless it is too short to tell, a language at cosine ``least`` or more."""
+    return scored.where((F.col("lang_pred") != "und") & ((F.col("score") >= least) | (F.char_length(text_col) < least_chars)))

@@ -12,21 +12,26 @@ neither class is read as the longest shorter one that is known.  Rare expression
 get nearly the same probability in both, and frequent ones of one class stand out.
 
 A word counts once a text, so a text that repeats itself teaches no more than others.
-Expressions of any length in fewer than ``least`` such words (or 1 of 150 labelled
-texts, if that is fewer) teach nothing themselves.
+No expression is left out of the counts: what ``own_discount`` takes off a class is all of
+its rarest expressions' mass, which so goes to the shared backoff.
 
 A run's log-likelihood ratio is summed by pieces of ``piece`` letters (a word is
 mostly one piece).  A text's median piece is its own level (it reflects the language
 and the topic, not toxicity, unless it is high) and is taken off.  Its evidence is the
-largest mean, both signs kept, over all windows of ``window`` pieces in a row.  The
+largest mean, both signs kept, over all windows of ``window`` pieces in a row, normalised
+for the text's length: the largest of m windows grows with log m whatever the text
+says, so ``growth`` times the logarithm of the number of different windows, beyond that of a
+short ordinary text (the ``usual``, a quarter have fewer), is taken off.
+``growth`` is twice the slope of ordinary texts (one language's or topic's evidence grows
+faster than the mean of all).  The
 text is read as a ring for this, so windows cover each piece equally often and
 repeating a text changes nothing.  A logistic curve maps this to a score; its place
 and slope are fitted on texts that the counting has not seen: the sample is split in
 two, and each half is scored by the other's model.
 
 Labels are learnt from a bounded sample: the ``sample_rows`` labelled rows with
-the smallest hashes of their id.  Only the ``most_grams`` most frequent expressions of full
-length in that sample come to the driver and to the workers.
+the smallest hashes of their id.  All its expressions of full length are counted by Spark, and
+the counts, some hundred an added text, come to the driver.
 
 Defined results: null and empty texts, and texts without a letter, get the score
 of no evidence; so does everything if a class has no labelled text.  Labels
@@ -62,6 +67,8 @@ class Model(NamedTuple):
     order: int
     piece: int
     window: int
+    growth: float
+    usual: float
     place: float
     slope: float
 
@@ -130,8 +137,9 @@ def spelled(codes: np.ndarray, start: np.ndarray, size: np.ndarray, order: int)
 class Reader:
     """Evidence of texts, a block of about ``block_chars`` at once; a block's equal runs are looked up once."""
 
-    def __init__(self, table: tuple[np.ndarray, np.ndarray], order: int, piece: int, window: int, most: float = 1.0, block_chars: int = 500_000):
+    def __init__(self, table: tuple[np.ndarray, np.ndarray], order: int, piece: int, window: int, growth: float = 0.0, usual: float = 0.0, most: float = 1.0, block_chars: int = 500_000):
         self.order, self.piece, self.window, self.most, self.block_chars = order, piece, window, most, block_chars
+        self.growth, self.usual = growth, usual
         self.letters = Letters()
         # the sorted hashes, each at the place of its first bits or the next free one, in a table at most half full
         keys_, values = table
@@ -161,14 +169,19 @@ class Reader:
         return next(self.all([text]))
 
     def all(self, column: Iterable) -> Iterator[float]:
-        """For each text the largest mean log-likelihood ratio of a window of pieces, above the text's own level, which is ``most`` at most: a median beyond it is evidence itself."""
+        """The evidence of each text: its largest window less what its length alone lets it have."""
+        for largest, length in self.largest(column):
+            yield largest - self.growth * max(0.0, length - self.usual)
+
+    def largest(self, column: Iterable) -> Iterator[tuple[float, float]]:
+        """For each text the largest mean log-likelihood ratio of a window of pieces, above the text's own level, which is ``most`` at most (a median beyond it is evidence itself), and the logarithm of the number of different windows."""
         for texts in blocks(column, self.block_chars):
             yield from self._block(texts)
 
-    def _block(self, texts: list[str]) -> Iterator[float]:
+    def _block(self, texts: list[str]) -> Iterator[tuple[float, float]]:
         runs_ = Runs.of(texts, self.letters)
         if not len(runs_.start) or self.empty:
-            yield from [0.0] * len(texts)
+            yield from [(0.0, 0.0)] * len(texts)
             return
         _, kind, of = np.unique(runs_.hashes, return_index=True, return_inverse=True)
         sums, n_pieces = self._pieces(runs_.codes, runs_.start[kind], runs_.size[kind])
@@ -176,12 +189,14 @@ class Reader:
         values = gathered(sums, begins[of], n_pieces[of])
         ends = np.concatenate([[0], np.cumsum(n_pieces[of])])[runs_.first]
         for a, b in zip(ends, ends[1:], strict=False):
-            yield self._largest(values[a:b]) if b > a else 0.0
+            yield self._largest(values[a:b]) if b > a else (0.0, 0.0)
 
-    def _largest(self, values: np.ndarray) -> float:
+    def _largest(self, values: np.ndarray) -> tuple[float, float]:
         values = values - min(float(np.median(values)), self.most)
-        total = np.cumsum(np.concatenate([[0.0], values, np.resize(values, self.window - 1)]))
-        return float((total[self.window :] - total[: -self.window]).max() / self.window)
+        total, ring = np.zeros(len(values)), np.resize(values, len(values) + self.window - 1)
+        for k in range(self.window):  # window by window, so equal ones have equal sums
+            total += ring[k : k + len(values)]
+        return float(total.max() / self.window), math.log(len(np.unique(total)))
 
     def _pieces(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums of the ratios of each run's pieces, and the number of pieces of each run."""
@@ -204,17 +219,17 @@ class Reader:
         return np.add.reduceat(ratio, begin), n_pieces
 
 
-def kneser_ney(grams_: list[str], counts: np.ndarray, order: int, discount: float, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def kneser_ney(spelled_: str, counts: np.ndarray, order: int, discount: float, own_discount: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of runs of 1 to ``order`` letters and their log ratios, from the counts of those of ``order``
-    letters (one row each: in ordinary, in toxic texts).
+    letters (spelled one after another; one row each: in ordinary, in toxic texts).
 
-    Runs of any length that are found fewer than ``floor`` times are left out."""
+    ``own_discount`` is taken off a class's counts, ``discount`` off those that both share.
+    """
     there = counts.sum(1) > 0
     if not counts[there].any(0).all():
         return np.zeros(0, np.uint64), np.zeros(0)
-    codes = code_points("".join(g for g, t in zip(grams_, there.tolist(), strict=True) if t)).reshape(-1, order)
+    codes = code_points(spelled_).reshape(-1, order)[there]
     own = counts[there].astype(np.float64)
-    times = own.sum(1)
     levels = []  # (hash of the run, of the run without its last letter, without its first; counts), longest runs first
     for size in range(order, 0, -1):
         letters = mixed(codes.astype(np.uint64) + np.uint64(1))
@@ -226,12 +241,10 @@ def kneser_ney(grams_: list[str], counts: np.ndarray, order: int, discount: floa
                 total = total + letters[:, size - 1 - n] * FACTORS[n]
                 begun = begun + (letters[:, size - 2 - n] * FACTORS[n] if n < size - 1 else np.uint64(0))
             name = mixed(total + np.uint64(size - 1))
-        often = times >= floor
-        levels.append((name[often], begun[often], shorter[often], own[often]))
+        levels.append((name, begun, shorter, own))
         # below, a run counts in how many different left neighbours' company it is found
         names, first, of = np.unique(shorter, return_index=True, return_inverse=True)
         own = np.stack([np.bincount(of, c > 0, len(names)) for c in own.T], 1)
-        times = np.bincount(of, times, len(names))
         codes = codes[first][:, 1:]
     found, ratios, below = [], [], None
     for name, begun, shorter, own in reversed(levels):
@@ -239,11 +252,12 @@ def kneser_ney(grams_: list[str], counts: np.ndarray, order: int, discount: floa
         here, p = None, []
         for n in (own.sum(1), *own.T):
             total = np.bincount(of, n, len(contexts))[of]
-            spare = np.where(total > 0, discount * np.bincount(of, n > 0, len(contexts))[of] / np.maximum(total, 1), 1.0)
+            taken = np.minimum(n, discount if here is None or own_discount is None else own_discount)
+            spare = np.where(total > 0, np.bincount(of, taken, len(contexts))[of] / np.maximum(total, 1), 1.0)
             lower = here
             if here is None:  # what both classes share backs off to shorter runs, the classes back off to it
                 lower = 1 / (len(name) + 1) if below is None else below[1][np.searchsorted(below[0], shorter)]
-            value = np.maximum(n - discount, 0) / np.maximum(total, 1) + spare * lower
+            value = (n - taken) / np.maximum(total, 1) + spare * lower
             here = value if here is None else here
             p.append(value)
         found.append(name)
@@ -261,10 +275,9 @@ def train(
     order: int = 8,
     piece: int = 12,
     window: int = 2,
-    least: int = 12,
-    most_grams: int = 400_000,
     discount: float = 0.75,
-    sample_rows: int = 20_000,
+    own_discount: float = 2.0,
+    sample_rows: int = 4_000,
     threshold: float = 0.3,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -286,7 +299,6 @@ def train(
             for texts in blocks(batch.column(0), 300_000):
                 kind = kinds[at : at + len(texts)]
                 at += len(texts)
-                yield rows([""] * 4, np.arange(4), np.bincount(kind, minlength=4))  # the empty run counts texts
                 runs_ = Runs.of(texts, letters)
                 text = np.repeat(np.arange(len(texts)), np.diff(runs_.first))
                 with np.errstate(over="ignore"):
@@ -312,39 +324,46 @@ def train(
 
     counted = picked.mapInArrow(tidy(count), "gram string, kind bigint, n bigint")
     summed = counted.groupBy("gram").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)))
-    frequent = summed.orderBy(F.col("gram") != "", -(F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")), "gram").limit(most_grams + 1)
-    found = frequent.toArrow()
-    names = found.column("gram").to_pylist()
-    counts = np.stack([found.column(f"n{k}").to_numpy() for k in range(4)], 1) if names else np.zeros((0, 4), np.int64)
+    found = summed.toArrow()
+    counts = np.stack([found.column(f"n{k}").to_numpy().astype(np.int32) for k in range(4)], 1) if found.num_rows else np.zeros((0, 4), np.int32)
+    names = "".join(found.column("gram").to_pylist())
     del found
-    some = np.array([n != "" for n in names], bool)
-    texts_, counts, names = counts[~some].sum(0), counts[some], [n for n in names if n]
 
     def fitted(kinds):
         """A model of these halves' ordinary and toxic counts."""
-        floor = min(least, int(texts_[kinds].sum()) // 150)
-        return kneser_ney(names, np.stack([counts[:, k].sum(1) for k in np.array(kinds).T], 1), order, discount, max(floor, 1))
+        return kneser_ney(names, np.stack([counts[:, k].sum(1) for k in np.array(kinds).T], 1), order, discount, own_discount)
 
     whole, halves = fitted([[0, 1], [2, 3]]), [fitted([[0, 1]]), fitted([[2, 3]])]
-    names.clear()
+    del names, counts
     if not len(whole[0]) or not all(len(h[0]) for h in halves):
-        return Model(whole, order, piece, window, 1.0, 4.0)
+        return Model(whole, order, piece, window, 0.0, 0.0, 1.0, 4.0)
     other = docs.sparkSession.sparkContext.broadcast(halves[::-1])  # bounded as the sample is
 
     def unseen(batches):
         readers = [Reader(r, order, piece, window) for r in other.value]
         for batch in batches:
             half = batch.column(2).to_numpy()
-            x = np.zeros(batch.num_rows)
+            x = np.zeros((batch.num_rows, 2))
             for h, reader in enumerate(readers):
                 at = np.flatnonzero(half == h)
-                x[at] = list(reader.all(batch.column(0).take(pa.array(at))))
-            yield pa.RecordBatch.from_arrays([pa.array(x), batch.column(1)], ["x", "label"])
+                x[at] = np.array(list(reader.largest(batch.column(0).take(pa.array(at))))).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["x", "length", "label"])
+
+    # in steps of 1/1000, and by id at most: an id's repeated text is one row
+    steps = picked.mapInArrow(tidy(unseen), "x double, length double, label int").groupBy(F.round(F.least("x", F.lit(100.0)), 3).alias("x"), F.round("length", 3).alias("length")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).toPandas()
+    x, length, hits, n = (steps[c].to_numpy(float) for c in ("x", "length", "hits", "n"))
+    growth, usual = growth_of(x, length, n - hits)
+    place = best_place(x - growth * np.maximum(0, length - usual), hits, n)
+    return Model(whole, order, piece, window, growth, usual, place, 4.0 / max(place, 1e-6))
+
 
-    # in steps of 1/1000, so as many rows as there are steps come back, however often an id's text is repeated
-    steps = picked.mapInArrow(tidy(unseen), "x double, label int").groupBy(F.round(F.least("x", F.lit(100.0)), 3).alias("x")).agg(F.sum("label").alias("hits"), F.count("*").alias("n")).toPandas()
-    place = best_place(*(steps[c].to_numpy(float) for c in ("x", "hits", "n")))
-    return Model(whole, order, piece, window, place, 4.0 / max(place, 1e-6))
+def growth_of(x: np.ndarray, length: np.ndarray, n: np.ndarray, least: int = 30) -> tuple[float, float]:
+    """Of ``n`` ordinary texts each: twice the slope of the largest windows over the logarithm of their number, and that logarithm's lower quartile; no growth if fewer than ``least`` texts tell."""
+    some = (n > 0) & (length >= math.log(8))
+    if n[some].sum() < least or np.ptp(length[some]) == 0:
+        return 0.0, 0.0
+    slope = np.polyfit(length[some], x[some], 1, w=np.sqrt(n[some]))[0]
+    return 2 * max(0.0, float(slope)), float(np.percentile(np.repeat(length[n > 0], n[n > 0].astype(int)), 25))
 
 
 def best_place(x: np.ndarray, hits: np.ndarray, n: np.ndarray) -> float:
@@ -365,7 +384,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     def run(batches):
         m = shipped.value
-        reader = Reader(m["table"], m["order"], m["piece"], m["window"])
+        reader = Reader(m["table"], m["order"], m["piece"], m["window"], m["growth"], m["usual"])
         for batch in batches:
             x = list(reader.all(batch.column(0)))
             scores = [1 / (1 + math.exp(-max(-700.0, min(700.0, m["slope"] * (v - m["place"]) + shift)))) for v in x]

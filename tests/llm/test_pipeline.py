@@ -3,11 +3,14 @@
 import hashlib
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 from test_joins import near_duplicates, removed_by_hand
 from test_text import check_packing
 from tokenizers import Tokenizer
 
+from tallyspark.llm import langid
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -16,6 +19,7 @@ def test_stages(spark, sf_dir, tmp_path):
     labels = dict(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").collect())
     before = {r["doc_id"]: r for r in docs.collect()}
     for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs_before = docs
         stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         if n < 4:
@@ -28,7 +32,7 @@ def test_stages(spark, sf_dir, tmp_path):
             assert sum(labels[i] for i in gone) >= 0.8 * len(gone)
             assert len(after) >= 0.8 * len(before)
         elif name == "language_id":
-            assert set(after) == {i for i, r in before.items() if any(c.isalpha() for c in r["text"] or "")}
+            assert set(after) == in_a_learned_language(docs_before)
         elif name == "ngram_jaccard_join":
             assert set(after) == {c for _, _, c in near_duplicates([(i, r["text"]) for i, r in before.items()])}
         elif name == "suffix_array_dedup":
@@ -48,6 +52,30 @@ def test_stages(spark, sf_dir, tmp_path):
         before = after
 
 
+def in_a_learned_language(docs):
+    """Ids of texts with letters whose best cosine with the prototypes is no lower than that of all but one in a thousand labelled texts."""
+    rows = langid.identify(docs, langid.train(docs), keep=COLUMNS).collect()
+    known = sorted(r["score"] for r in rows if r["lang"] is not None and len(r["text"] or "") >= 200)
+    least = np.floor(1000 * known[int(0.001 * len(known))]) / 1000
+    return {r["doc_id"] for r in rows if any(c.isalpha() for c in r["text"] or "") and (r["score"] >= least or len(r["text"]) < 200)}
+
+
+def test_other_languages_go(spark, sf_dir):
+    """Texts in languages that no label names, among labelled ones: the cosine tells, at every length that can be told."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS)
+    other = [
+        "Chłopiec szedł codziennie rano na stary targ kupić świeży chleb i trochę owoców, a potem wracał do domu. ",
+        "Быстрая коричневая лиса перепрыгивает через ленивую собаку и бежит дальше по дороге к лесу. ",
+        "Poika kulki joka aamu vanhalle torille ostamaan tuoretta leipää ja hedelmiä ja palasi sitten kotiin. ",
+        "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘成歲律呂調陽雲騰致雨露結為霜。",
+    ]
+    more = spark.createDataFrame([(10**6 + n, t * k, None, "s", len(t) * k) for n, (t, k) in enumerate((t, k) for t in other for k in (6, 40))] + [(10**7, "Pies", None, "s", 4)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_languages(spark, docs.union(more), sf_dir).collect()}
+    assert {i for i in kept if i >= 10**6} == {10**7}
+    with_letters = docs.where(docs.text.rlike(r"\p{L}")).count()
+    assert len(kept) - 1 >= 0.99 * with_letters
+
+
 def test_run_is_the_stages_in_order(spark, sf_dir, tmp_path):
     got = corpus_pipeline.run(spark, sf_dir)
     assert "sequence_id" in got.columns and got.count() > 0

@@ -245,16 +245,21 @@ def test_repeating_a_text_leaves_its_evidence():
         for w in words.split():
             for g in toxicity.grams(w, 4):
                 counts[k][g] += 3
-    reader = toxicity.Reader(model_of(counts, 4), 4, 12, 2)
+    for growth in (0.0, 0.4):
+        reader = toxicity.Reader(model_of(counts, 4), 4, 12, 2, growth)
+        check_repeats(reader)
+
+
+def check_repeats(reader):
     for text in ("nice", "a nice walk ", "a bad day for a walk ", "you utter zorgon ", "the park with a dog "):
         assert np.isclose(reader.evidence((text + " ") * 1000), reader.evidence(text))
     assert reader.evidence("a nice walk with you utter zorgon") > reader.evidence("a nice walk with a dog " * 1000)
 
 
-def model_of(counts, order, discount=0.75):
+def model_of(counts, order, discount=0.75, own_discount=None):
     """The operator's model from two counts of expressions."""
     names = sorted({*counts[0], *counts[1]})
-    return toxicity.kneser_ney(names, np.array([[c.get(g, 0) for c in counts] for g in names]), order, discount)
+    return toxicity.kneser_ney("".join(names), np.array([[c.get(g, 0) for c in counts] for g in names]), order, discount, own_discount)
 
 
 def evidence_by_hand(text, ratios, order, piece, window, most=1.0):
@@ -278,22 +283,23 @@ def backoff_by_hand(gram, shared, discount):
     return max(shared[0].get(gram, 0) - discount, 0) / sum(both) + discount * len(both) / sum(both) * lower
 
 
-def probability_by_hand(gram, own, shared, discount):
-    """The same in one class, which backs off to what both share."""
+def probability_by_hand(gram, own, shared, discount, own_discount):
+    """The same in one class, which backs off to what both share, with what its own discount takes off."""
     context, back = [n for g, n in own.items() if g[:-1] == gram[:-1]], backoff_by_hand(gram, shared, discount)
     if not context:
         return back
-    return max(own.get(gram, 0) - discount, 0) / sum(context) + discount * len(context) / sum(context) * back
+    return max(own.get(gram, 0) - own_discount, 0) / sum(context) + sum(min(n, own_discount) for n in context) / sum(context) * back
 
 
-def test_toxicity_model_and_evidence_by_hand():
+@pytest.mark.parametrize("own_discount", [0.75, 2.0])
+def test_toxicity_model_and_evidence_by_hand(own_discount):
     rng = random.Random(12)
     order, counts = 4, [defaultdict(int), defaultdict(int)]
     for k in range(2):
         for _ in range(80):
             for g in toxicity.grams("".join(rng.choice("abcé") for _ in range(rng.randint(1, 30))), order):
                 counts[k][g] += 1
-    model = model_of(counts, order)
+    model = model_of(counts, order, own_discount=own_discount)
     names = {g[k:] for c in counts for g in c for k in range(order)}
     ratios = {g: model[1][np.searchsorted(model[0], np.uint64(toxicity.key(g)))] for g in names}
     assert set(model[0].tolist()) == set(map(toxicity.key, names))
@@ -304,12 +310,43 @@ def test_toxicity_model_and_evidence_by_hand():
     shared = [dict(Counter(a) + Counter(b)) for a, b in zip(*levels, strict=True)]
     for g in rng.sample(sorted(ratios), 200):
         depth = order - len(g)
-        p = [probability_by_hand(g, own[depth], shared[depth:], 0.75) for own in levels]
+        p = [probability_by_hand(g, own[depth], shared[depth:], 0.75, own_discount) for own in levels]
         assert np.isclose(ratios[g], np.log(p[1] / p[0])), g
     texts = ["".join(rng.choice("abcéÉ x9 .") for _ in range(rng.randint(0, 300))) for _ in range(300)] + [None, "", "9.", "a" * 5000]
     for block_chars in (100, 500_000):
         got = list(toxicity.Reader(model, order, 12, 2, block_chars=block_chars).all(texts))
         assert np.allclose(got, [evidence_by_hand(t, ratios, order, 12, 2) for t in texts])
+        long = [w for _, w in toxicity.Reader(model, order, 12, 2, block_chars=block_chars).largest(texts)]
+        less = toxicity.Reader(model, order, 12, 2, 0.3, 1.5, block_chars=block_chars).all(texts)
+        assert np.allclose(list(less), np.array(got) - 0.3 * np.maximum(0, np.array(long) - 1.5)) and max(long) > 3 and long[-4:-1] == [0, 0, 0] and long[-1] < 1.5
+
+
+def test_growth_is_that_of_ordinary_texts():
+    length = np.log(np.arange(8, 400.0))
+    growth, usual = toxicity.growth_of(1 + 0.25 * length, length, np.ones(len(length)))
+    assert np.isclose(growth, 0.5) and np.isclose(usual, np.percentile(length, 25))
+    assert toxicity.growth_of(3 - length, length, np.ones(len(length)))[0] == 0 == toxicity.growth_of(length[:20], length[:20], np.ones(20))[0]
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "fr", "es"])
+def test_long_clean_texts_are_not_marked_for_their_length(toxicity_at_sf01, lang):
+    """Held-out texts with label 0, of one language: 1, 20 or 60 of them joined."""
+    model, held = toxicity_at_sf01
+    reader, rng = toxicity.Reader(*model[:6]), random.Random(5)
+    for k, draws in ((1, 150), (20, 80), (60, 30)):
+        texts = [" ".join(rng.choices(held[lang], k=k)) for _ in range(draws)]
+        marked = sum(x >= model.place for x in reader.all(texts))
+        assert marked <= 0.06 * draws if k == 1 else marked <= 0.03 * draws, (k, marked)
+
+
+@pytest.fixture(scope="session")
+def toxicity_at_sf01(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.where(queries.fold(4) != 2))
+    held = defaultdict(list)
+    for r in docs.join(labels.where((queries.fold(4) == 2) & (F.col("toxic") == 0)), "doc_id").where("text is not null").select("lang", "text").collect():
+        held[r["lang"]].append(r["text"])
+    return model, held
 
 
 def test_toxicity_reads_every_letter(spark):
