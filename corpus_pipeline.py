@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over ``documents``, each an operator of ``tallyspark.llm``.
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept.
-Documents that the toxicity model marks go; then those without a recognised
-language; then all but one document of each near-duplicate group; then strings
+Documents that the toxicity model marks go; then those in no language that was
+learned, as their cosines tell; then all but one document of each near-duplicate group; then strings
 of 50 bytes that an earlier document has are cut out; what is left is packed.
 
 All but the last return the columns of ``documents``.  Rows with a null id are
@@ -29,11 +29,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; those without a letter have none. Without a labelled text all others stay."""
+    """Documents in a learned language: those below the cosine that labelled texts reach go, and those without a letter.
+
+    Texts under 200 characters are too short to tell. Without a labelled text all others stay.
+    """
     prototypes = langid.train(docs)
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
-    return langid.identify(docs, prototypes, keep=COLUMNS).where("lang_pred != 'und'").select(COLUMNS)
+    scored = Workspace(spark).saved(langid.identify(docs, prototypes, keep=COLUMNS))  # read for the bound, and again by it
+    return langid.recognised(scored, langid.least_cosine(scored)).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
