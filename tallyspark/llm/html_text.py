@@ -5,8 +5,10 @@ role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
 comments and the like) are taken out.  A class or id counts by its whole name: a
 listed word, or listed words joined with words of place and shape (site-header,
 sidebar-left).  By such a name nothing is taken out that holds an article or main
-when no other stands elsewhere, nor, unless the name is one of other people's text
-(adverts, comments, consent), what holds most of the page's unlinked text.  Every node gets its composite text
+when no other stands elsewhere, nor what holds most of the page's unlinked text (if the
+name is one of adverts, nearly all of it and several paragraphs; names of comments and consent
+have no such exception), nor any heading; inside an article or main an id, which is often a heading's anchor, names
+only comments and adverts.  A form is held to the same rule, its controls always go.  Every node gets its composite text
 density: characters per tag, weighted down by the share of its characters and
 tags that belong to links, measured against the same share in the whole body.
 A node's density sum adds up its children's densities, a run of text of its own
@@ -15,8 +17,10 @@ threshold, the smallest density on its path to the body.  The walk goes down fro
 the body into every node whose density reaches the threshold and marks its
 subtree's node of the largest sum.  The text is all that is marked and, where
 several of the body's children are marked or the body itself has the largest sum,
-all others of its children but lists of links (several, with most of the child's
-characters; a body with text of its own is whole).  A marked node stands for the whole article or main around it.
+the others of its children but lists of links (several, with most of the child's
+characters) and boxes under half the threshold (or half of the densest child, if less); a box has
+a class or id and is no heading, paragraph, list, table, quotation or figure (a body with text of
+its own is whole).  A marked node stands for the whole article or main around it.
 
 Text is cut into blocks at block elements, white space inside a block becomes
 one space, and blocks are joined by a line feed.
@@ -33,6 +37,7 @@ import math
 import re
 from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,7 +48,8 @@ from .shared import tidy
 def fixed():
     """Element names by their part in a page, and words of a class or id that mark no content.
 
-    ``others``: those of the words that name other people's text; ``joined``: what may stand beside a word in a class or id."""
+    ``others``: those of the words that name other people's text, ``adverts`` among them; ``anchored``: those that count as an id inside an article;
+    ``joined``: what may stand beside a word in a class or id."""
     return {
         "void": frozenset("area base br col embed hr img input link meta param source track wbr".split()),
         "block": frozenset(
@@ -52,23 +58,27 @@ def fixed():
         ),
         "space": frozenset(["br", "wbr", "img", "input"]),
         "dropped": frozenset(
-            "nav header footer aside form script style noscript template head title button select option textarea input iframe object embed svg canvas "
+            "nav header footer aside script style noscript template head title button select option textarea input iframe object embed svg canvas "
             "audio video map dialog menu".split()
         ),
         "roles": frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split()),
         "words": frozenset(
-            "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header "
+            "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header "
             "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing "
             "sidebar skyscraper social sponsor sponsored subscribe toolbar".split()
         ),
         "others": frozenset(
-            "ad ads adv advert adverts advertisement advertising adsense comment comments consent cookie cookies disqus gdpr promo promoted promotion replies respond skyscraper "
+            "ad ads adv advert adverts advertisement advertising adsense comment commentlist comments consent cookie cookies disqus gdpr promo promoted promotion replies respond skyscraper "
             "sponsor sponsored".split()
         ),
         "joined": frozenset(
             "area bar block bottom box button buttons col column container desktop fixed global group holder icon icons inner item items left link links list main mobile outer "
-            "panel posts primary right secondary section site slot sticky top unit widget widgets wrap wrapper zone".split()
+            "panel posts primary reader readers right secondary section site slot sticky thread top unit user users widget widgets wrap wrapper zone".split()
         ),
+        "adverts": frozenset("ad ads adv advert adverts advertisement advertising adsense promo promoted promotion skyscraper sponsor sponsored".split()),
+        "anchored": frozenset("ad ads adv advert adverts advertisement advertising adsense comment commentlist comments disqus replies respond sponsored".split()),
+        "headings": frozenset("h1 h2 h3 h4 h5 h6".split()),
+        "plain": frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl table pre blockquote figure".split()),
         "kept": frozenset("html body article main".split()),
         "closes_p": frozenset(
             "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main "
@@ -89,8 +99,11 @@ class Tree(HTMLParser):
     def clear(self) -> None:
         self.reset()
         self.tag, self.parent, self.drop = [""], [-1], [False]
-        #: by class or id no content: 1, or 2 if other people's text
+        #: by class or id no content: 1, or if other people's text 2 for adverts and 3 for the rest
         self.named: dict[int, int] = {}
+        #: those with a class or id that are no plain block
+        self.boxes: set[int] = set()
+        self.in_article = [False]
         self.open, self.is_open = [0], Counter()
         #: (element, text) in page order; a text of None is a break between blocks
         self.runs: list[tuple[int, str | None]] = []
@@ -110,8 +123,11 @@ class Tree(HTMLParser):
         self.tag.append(tag)
         self.parent.append(above)
         self.drop.append(self.drop[above] or self._no_content(tag, attrs))
-        if not self.drop[-1] and tag not in v["kept"] and (kind := self._named(attrs)):
+        self.in_article.append(self.in_article[above] or tag in ("article", "main"))
+        if not self.drop[-1] and tag not in v["kept"] and tag not in v["headings"] and (kind := max(self._named(attrs, self.in_article[-1]), tag == "form")):
             self.named[len(self.tag) - 1] = kind
+        if tag not in v["plain"] and any(name in ("class", "id") for name, _ in attrs):
+            self.boxes.add(len(self.tag) - 1)
         if tag not in v["void"]:
             self.open.append(len(self.tag) - 1)
             self.is_open[tag] += 1
@@ -133,15 +149,17 @@ class Tree(HTMLParser):
                 return True
         return False
 
-    def _named(self, attrs) -> int:
+    def _named(self, attrs, in_article: bool) -> int:
         v, kind = self.v, 0
         for name, value in attrs:
             if name in ("class", "id"):
                 for whole in (value or "").lower().split():
                     parts = set(re.findall(r"[^\W\d_]+", whole))
                     words = parts & v["words"]
+                    if name == "id" and in_article:
+                        words &= v["anchored"]
                     if words and parts - words <= v["joined"]:
-                        kind = max(kind, 1 if words.isdisjoint(v["others"]) else 2)
+                        kind = max(kind, 1 if words.isdisjoint(v["others"]) else 3 if words & v["others"] - v["adverts"] else 2)
         return kind
 
     def handle_endtag(self, tag):
@@ -165,14 +183,16 @@ class Tree(HTMLParser):
         self.runs.append((self.open[-1], data))
 
 
-def main_text(html: str | None, tree: Tree) -> str:
-    """The text of the page's main content, blocks joined by a line feed."""
-    if not html:
-        return ""
-    tree.clear()
-    tree.feed(html)
-    tree.close()
-    _drop_named(tree)
+class Densities(NamedTuple):
+    own: dict[int, int]  # characters of an element's own
+    chars: list[int]  # of its whole subtree, as the next two
+    link_chars: list[int]
+    link_tags: list[int]
+    density: list[float]
+
+
+def densities(tree: Tree) -> Densities:
+    """The composite text density of every element that is not dropped, and what it is made of."""
     tag, parent, drop = tree.tag, tree.parent, tree.drop
     n = len(tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -204,6 +224,19 @@ def main_text(html: str | None, tree: Tree) -> str:
             # one more inside both logarithms than in the published form, which divides by 0 where there are no links
             base = math.log(1 + math.log(c * lc / max(c - lc, 1) + share * c + math.e))
             density[i] = c / t * math.log(1 + c * t / (max(lc, 1) * max(lt, 1))) / base
+    return Densities(own, chars, link_chars, link_tags, density)
+
+
+def main_text(html: str | None, tree: Tree) -> str:
+    """The text of the page's main content, blocks joined by a line feed."""
+    if not html:
+        return ""
+    tree.clear()
+    tree.feed(html)
+    tree.close()
+    _drop_named(tree)
+    tag, parent, drop, n = tree.tag, tree.parent, tree.drop, len(tree.tag)
+    own, chars, link_chars, link_tags, density = densities(tree)
     total = [float(own.get(i, 0)) for i in range(n)]
     best = list(range(n))
     for i in range(n - 1, 0, -1):  # a node's own sum is complete before its parent's
@@ -229,12 +262,14 @@ def main_text(html: str | None, tree: Tree) -> str:
             reached[i] = inside[best[i]] = True
             if parent[i] == body:
                 marked.append(i)
-    if not marked:
+    if not marked and top != body:
         inside[top] = True
     elif top == body or len(marked) > 1:
         inside[body] = body in own  # then its own text and all else
-        for i in range(body + 1, n):
-            if parent[i] == body and (link_tags[i] < 2 or 2 * link_chars[i] <= chars[i]):
+        children = [i for i in range(body + 1, n) if parent[i] == body and chars[i] and not drop[i]]
+        boxed = min(threshold, max((density[i] for i in children), default=0.0)) / 2
+        for i in children:
+            if (i not in tree.boxes or density[i] >= boxed) and (link_tags[i] < 2 or 2 * link_chars[i] <= chars[i]):
                 inside[i] = True
     around = [-1] * n  # the outermost article or main below the body
     for i in range(body + 1, n):
@@ -266,7 +301,7 @@ def _drop_named(tree: Tree) -> None:
     for i in range(1, n):
         linked[i] = tag[i] == "a" or linked[parent[i]]
         within[i] = i in named or within[parent[i]]
-    held = [0] * n
+    held, paragraphs = [0] * n, [int(t == "p") for t in tag]
     for i, text in tree.runs:
         if text and not drop[i] and not linked[i]:
             held[i] += len("".join(text.split()))
@@ -274,10 +309,12 @@ def _drop_named(tree: Tree) -> None:
     elsewhere = any(article[i] and not within[i] for i in range(n))
     for i in range(n - 1, 0, -1):
         held[parent[i]] += held[i]
+        paragraphs[parent[i]] += paragraphs[i]
         article[parent[i]] = article[parent[i]] or article[i]
     for i in range(1, n):
-        if i in named and not (article[i] and not elsewhere or named[i] == 1 and 2 * held[i] > held[0]):
-            drop[i] = True
+        if i in named and not (article[i] and not elsewhere):
+            most = {1: 2 * held[i] > held[0], 2: held[i] > 0.95 * held[0] and paragraphs[i] > 1}.get(named[i], False)
+            drop[i] = drop[i] or not most
         drop[i] = drop[i] or drop[parent[i]]
 
 

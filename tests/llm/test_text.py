@@ -5,6 +5,7 @@ import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from xml.etree import ElementTree
 
 import numpy as np
 import public_tokenizers
@@ -432,6 +433,75 @@ def test_a_wrapper_with_a_listed_word_keeps_its_text(wrapper):
     assert html_text.main_text(page.format(wrapper, "the text " * 20, name), tree) == ("the text " * 20).strip() + "\nof it"
 
 
+SENTENCE = "Sentence {} of the article is long enough to count as the text of a page, and it goes on for a while."
+COMMENT = "<p>I think that all of this is wrong, and want to say so at some length here.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "titles"),
+    [
+        ("<body><form id='aspnetForm'><div>{0}<input><select><option>x</select><button>Send</button></div></form></body>", []),
+        ("<body><form id='aspnetForm'><article>{0}</article></form><div class=promo>more</div></body>", []),
+        ("<body><div class='ad-container'>{0}</div></body>", []),
+        ("<body><article>{0}<section id='cookies'><h2 id='cookies'>Cookies</h2></section><section id='navigation'><h2>Menus</h2></section></article></body>", ["Cookies", "Menus"]),
+        ("<body><div class='post'>{0}</div><ol class='commentlist'><li>" + COMMENT + "</li></ol></body>", []),
+        ("<body><div class='post'>{0}</div><section class='user-comments'>" + COMMENT * 9 + "</section></body>", []),
+        ("<body><article>{0}<div id='comments'>" + COMMENT + "</div></article></body>", []),
+        ("<body>{0}<div class='legal'>Terms apply to all of this.</div><div class='box'>Subscribe now to our letter</div></body>", []),
+        ("<body><form class='search'><input> Find it</form>{0}<form><p>Your name</p><textarea></textarea></form></body>", []),
+    ],
+)
+def test_wrappers_anchors_comments_and_boxes(page, titles):
+    text = html_text.main_text(page.format("".join(f"<p>{SENTENCE.format(k)}</p>" for k in range(3))), html_text.Tree(html_text.fixed()))
+    assert text.split("\n") == [SENTENCE.format(k) for k in range(3)] + titles
+
+
+def densities_by_hand(page):
+    """(tag, density) of every element of a well-formed page, each from its whole subtree: the published formula with one more inside its logarithms."""
+    root = ElementTree.fromstring(page)
+    size = lambda e: len("".join("".join(e.itertext()).split()))
+    links = lambda e: [a for a in e.iter("a")]
+    outer = lambda e: [a for a in links(e) if not any(a is not b and a in list(b.iter()) for b in links(e))]
+    body = root.find("body")
+    share = sum(map(size, outer(body))) / size(body) if size(body) else 0
+    out = []
+    for e in root.iter():
+        c, lc = size(e), size(e) if e.tag == "a" else sum(map(size, outer(e)))
+        if c:
+            t, lt = max(len(list(e.iter())) - 1, 1), max(len([a for a in links(e) if a is not e]), 1)
+            out.append((e.tag, c / t * np.log(1 + c * t / (max(lc, 1) * lt)) / np.log(1 + np.log(c * lc / max(c - lc, 1) + share * c + np.e))))
+        else:
+            out.append((e.tag, 0.0))
+    return out
+
+
+def test_densities_by_hand():
+    rng = random.Random(6)
+
+    def node(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = " ".join("word" for _ in range(rng.randint(0, 12)))
+            return f"<a>{text}</a>" if rng.random() < 0.3 else f"<span>{text}</span>"
+        return f"<div>{''.join(node(depth - 1) for _ in range(rng.randint(1, 4)))}</div>"
+
+    tree = html_text.Tree(html_text.fixed())
+    for _ in range(60):
+        page = f"<html><body>{node(4)}{node(3)}</body></html>"
+        html_text.main_text(page, tree)
+        want = densities_by_hand(page)
+        assert tree.tag[1:] == [t for t, _ in want] and np.allclose(html_text.densities(tree).density[1:], [d for _, d in want])
+
+
+def test_pages_empty_long_and_clashing(spark):
+    """No rows; a page longer than a block of pages; columns named as the results."""
+    kinds = "page_id bigint, url string, html string, text string, n_chars bigint"
+    assert html_text.extract(spark.createDataFrame([], kinds)).collect() == []
+    long = "<body><article>" + "".join(f"<p>{SENTENCE.format(k)}</p>" for k in range(3000)) + "</article></body>"
+    rows = [(n, "u", long if n == 2 else f"<p>page {n}</p>", "x", 1) for n in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, kinds).coalesce(1), block_chars=1000).collect()}
+    assert got[2].split("\n") == [SENTENCE.format(k) for k in range(3000)] and all(got[n] == f"page {n}" for n in (0, 1, 3, 4))
+
+
 def test_names_with_an_article_inside():
     tree = html_text.Tree(html_text.fixed())
     page = "<body><div class=promo><article><p>one</p></article></div><div class=promo><main><p>two</p></main></div><div class=ad>buy</div>"
