@@ -12,8 +12,9 @@ neither class is read as the longest shorter one that is known.  Rare expression
 get nearly the same probability in both, and frequent ones of one class stand out.
 
 A word counts once a text, so a text that repeats itself teaches no more than others.
-No expression is left out of the counts: what ``own_discount`` takes off a class is all of
-its rarest expressions' mass, which so goes to the shared backoff.
+All expressions count, those of every length from all that are longer; only then those of
+fewer than ``least`` words are taken out of the table, and are read as the longest shorter
+one that is in it.
 
 A run's log-likelihood ratio is summed by pieces of ``piece`` letters (a word is
 mostly one piece).  A text's median piece is its own level (it reflects the language
@@ -219,17 +220,18 @@ class Reader:
         return np.add.reduceat(ratio, begin), n_pieces
 
 
-def kneser_ney(spelled_: str, counts: np.ndarray, order: int, discount: float, own_discount: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+def kneser_ney(spelled_: str, counts: np.ndarray, order: int, discount: float, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of runs of 1 to ``order`` letters and their log ratios, from the counts of those of ``order``
     letters (spelled one after another; one row each: in ordinary, in toxic texts).
 
-    ``own_discount`` is taken off a class's counts, ``discount`` off those that both share.
+    Runs of any length that are found fewer than ``least`` times are left out, once all lengths are counted.
     """
     there = counts.sum(1) > 0
     if not counts[there].any(0).all():
         return np.zeros(0, np.uint64), np.zeros(0)
     codes = code_points(spelled_).reshape(-1, order)[there]
     own = counts[there].astype(np.float64)
+    times = own.sum(1)
     levels = []  # (hash of the run, of the run without its last letter, without its first; counts), longest runs first
     for size in range(order, 0, -1):
         letters = mixed(codes.astype(np.uint64) + np.uint64(1))
@@ -241,10 +243,12 @@ def kneser_ney(spelled_: str, counts: np.ndarray, order: int, discount: float, o
                 total = total + letters[:, size - 1 - n] * FACTORS[n]
                 begun = begun + (letters[:, size - 2 - n] * FACTORS[n] if n < size - 1 else np.uint64(0))
             name = mixed(total + np.uint64(size - 1))
-        levels.append((name, begun, shorter, own))
+        often = times >= least
+        levels.append((name[often], begun[often], shorter[often], own[often]))
         # below, a run counts in how many different left neighbours' company it is found
         names, first, of = np.unique(shorter, return_index=True, return_inverse=True)
         own = np.stack([np.bincount(of, c > 0, len(names)) for c in own.T], 1)
+        times = np.bincount(of, times, len(names))
         codes = codes[first][:, 1:]
     found, ratios, below = [], [], None
     for name, begun, shorter, own in reversed(levels):
@@ -252,7 +256,7 @@ def kneser_ney(spelled_: str, counts: np.ndarray, order: int, discount: float, o
         here, p = None, []
         for n in (own.sum(1), *own.T):
             total = np.bincount(of, n, len(contexts))[of]
-            taken = np.minimum(n, discount if here is None or own_discount is None else own_discount)
+            taken = np.minimum(n, discount)
             spare = np.where(total > 0, np.bincount(of, taken, len(contexts))[of] / np.maximum(total, 1), 1.0)
             lower = here
             if here is None:  # what both classes share backs off to shorter runs, the classes back off to it
@@ -276,7 +280,7 @@ def train(
     piece: int = 12,
     window: int = 2,
     discount: float = 0.75,
-    own_discount: float = 2.0,
+    least: int = 4,
     sample_rows: int = 4_000,
     threshold: float = 0.3,
     id_col: str = "doc_id",
@@ -331,7 +335,7 @@ def train(
 
     def fitted(kinds):
         """A model of these halves' ordinary and toxic counts."""
-        return kneser_ney(names, np.stack([counts[:, k].sum(1) for k in np.array(kinds).T], 1), order, discount, own_discount)
+        return kneser_ney(names, np.stack([counts[:, k].sum(1) for k in np.array(kinds).T], 1), order, discount, least)
 
     whole, halves = fitted([[0, 1], [2, 3]]), [fitted([[0, 1]]), fitted([[2, 3]])]
     del names, counts

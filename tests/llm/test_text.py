@@ -257,10 +257,10 @@ def check_repeats(reader):
     assert reader.evidence("a nice walk with you utter zorgon") > reader.evidence("a nice walk with a dog " * 1000)
 
 
-def model_of(counts, order, discount=0.75, own_discount=None):
+def model_of(counts, order, discount=0.75):
     """The operator's model from two counts of expressions."""
     names = sorted({*counts[0], *counts[1]})
-    return toxicity.kneser_ney("".join(names), np.array([[c.get(g, 0) for c in counts] for g in names]), order, discount, own_discount)
+    return toxicity.kneser_ney("".join(names), np.array([[c.get(g, 0) for c in counts] for g in names]), order, discount)
 
 
 def evidence_by_hand(text, ratios, order, piece, window, most=1.0):
@@ -284,23 +284,36 @@ def backoff_by_hand(gram, shared, discount):
     return max(shared[0].get(gram, 0) - discount, 0) / sum(both) + discount * len(both) / sum(both) * lower
 
 
-def probability_by_hand(gram, own, shared, discount, own_discount):
-    """The same in one class, which backs off to what both share, with what its own discount takes off."""
+def probability_by_hand(gram, own, shared, discount):
+    """The same in one class, which backs off to what both share."""
     context, back = [n for g, n in own.items() if g[:-1] == gram[:-1]], backoff_by_hand(gram, shared, discount)
     if not context:
         return back
-    return max(own.get(gram, 0) - own_discount, 0) / sum(context) + sum(min(n, own_discount) for n in context) / sum(context) * back
+    return max(own.get(gram, 0) - discount, 0) / sum(context) + discount * len(context) / sum(context) * back
 
 
-@pytest.mark.parametrize("own_discount", [0.75, 2.0])
-def test_toxicity_model_and_evidence_by_hand(own_discount):
+def test_rare_expressions_leave_the_table_after_all_are_counted():
+    """The table without them has the very ratios of a model of all, so shorter expressions count what is left out."""
+    rng, counts = random.Random(8), [defaultdict(int), defaultdict(int)]
+    for k in range(2):
+        for _ in range(300):
+            for g in toxicity.grams("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), 4):
+                counts[k][g] += 1
+    names = sorted({*counts[0], *counts[1]})
+    both = np.array([[c.get(g, 0) for c in counts] for g in names])
+    often = toxicity.kneser_ney("".join(names), both, 4, 0.75, 4)
+    found = Counter(g[k:] for g, n in zip(names, both.sum(1).tolist(), strict=True) for k in range(4) for _ in range(n))
+    assert set(often[0].tolist()) == {toxicity.key(g) for g, n in found.items() if n >= 4} and len(often[0]) < len(found)
+
+
+def test_toxicity_model_and_evidence_by_hand():
     rng = random.Random(12)
     order, counts = 4, [defaultdict(int), defaultdict(int)]
     for k in range(2):
         for _ in range(80):
             for g in toxicity.grams("".join(rng.choice("abcé") for _ in range(rng.randint(1, 30))), order):
                 counts[k][g] += 1
-    model = model_of(counts, order, own_discount=own_discount)
+    model = model_of(counts, order)
     names = {g[k:] for c in counts for g in c for k in range(order)}
     ratios = {g: model[1][np.searchsorted(model[0], np.uint64(toxicity.key(g)))] for g in names}
     assert set(model[0].tolist()) == set(map(toxicity.key, names))
@@ -311,7 +324,7 @@ def test_toxicity_model_and_evidence_by_hand(own_discount):
     shared = [dict(Counter(a) + Counter(b)) for a, b in zip(*levels, strict=True)]
     for g in rng.sample(sorted(ratios), 200):
         depth = order - len(g)
-        p = [probability_by_hand(g, own[depth], shared[depth:], 0.75, own_discount) for own in levels]
+        p = [probability_by_hand(g, own[depth], shared[depth:], 0.75) for own in levels]
         assert np.isclose(ratios[g], np.log(p[1] / p[0])), g
     texts = ["".join(rng.choice("abcéÉ x9 .") for _ in range(rng.randint(0, 300))) for _ in range(300)] + [None, "", "9.", "a" * 5000]
     for block_chars in (100, 500_000):
