@@ -98,7 +98,7 @@ def plain(dims: int, subspaces: int) -> Quantiser:
     return Quantiser(np.zeros((1, dims)), np.zeros((subspaces, 1, -(-dims // subspaces))))
 
 
-def probed(x: np.ndarray, q: Quantiser, between: np.ndarray, reach: float, probes: int) -> list[np.ndarray]:
+def probed(x: np.ndarray, q: Quantiser, reach: float, probes: int) -> list[np.ndarray]:
     """The lists of each vector, its own first: up to ``probes`` that can hold a vector within ``reach``, most likely first.
 
     What is in another list is on the far side of the plane halfway between the two centroids, so that plane must be within reach."""
@@ -106,7 +106,9 @@ def probed(x: np.ndarray, q: Quantiser, between: np.ndarray, reach: float, probe
     for s in slices(len(x), len(q.centroids)):
         far = squared(x[s], q.centroids)
         home = far.argmin(1)
-        plane = (far - far[np.arange(len(far)), home][:, None]) / np.maximum(2 * between[home], 1e-300)
+        homes, of = np.unique(home, return_inverse=True)  # no more rows than the slice, so never lists x lists
+        between = np.sqrt(squared(q.centroids[homes], q.centroids))[of]
+        plane = (far - far[np.arange(len(far)), home][:, None]) / np.maximum(2 * between, 1e-300)
         plane[np.arange(len(far)), home] = -1
         order = np.argsort(plane, 1, kind="stable")[:, :probes]
         near = np.take_along_axis(plane, order, 1) <= reach + 1e-9
@@ -140,6 +142,7 @@ def link(
     max_lists: int = 16_384,
     sample_rows: int = 16_384,
     most_sample_rows: int = 131_072,
+    most_sample_values: int = 1 << 23,
     block: int = 4096,
     seed: int = 7,
     id_col: str = "vec_id",
@@ -147,7 +150,8 @@ def link(
 ) -> DataFrame:
     """(id, n_links, component_id) of every vector.
 
-    The sample has ``sample_rows`` vectors, or an eighth of all up to ``most_sample_rows``.
+    The sample has ``sample_rows`` vectors, or an eighth of all up to ``most_sample_rows``, and never more than
+    ``most_sample_values`` components of the longest vectors.
     """
     spark = vectors.sparkSession
     work = Workspace(spark)
@@ -156,7 +160,8 @@ def link(
     usable = F.col("id").isNotNull() & finite(F.col("vector"))
     good = rows.where(usable)
     classes = work.saved(good.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    wanted = max(sample_rows, min(most_sample_rows, classes.count() // 8))
+    have = classes.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("length")).first()
+    wanted = min(max(sample_rows, min(most_sample_rows, have["n"] // 8)), max(1, most_sample_values // (have["length"] or 1)))
     sample = classes.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(wanted).toPandas()["vector"]
     lengths = sample.map(len)
     sizes = classes.where(F.size("vector").isin(lengths.unique().tolist())).groupBy(F.size("vector").alias("length")).count().collect()
@@ -180,17 +185,14 @@ def _found(classes: DataFrame, quantisers: dict[int, tuple], threshold: float, p
         return Quantiser(*shipped.value[dims]) if dims in shipped.value else plain(dims, subspaces)
 
     def assign(batches):
-        between: dict[int, np.ndarray] = {}
         blob = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
         for batch in batches:
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dims in np.unique(lengths).tolist():
                 q, part = quantiser(dims), batch.filter(pa.array(lengths == dims))
-                if dims not in between:
-                    between[dims] = np.sqrt(squared(q.centroids, q.centroids))
                 raw = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
                 x = unit(raw)
-                near = probed(x, q, between[dims], reach, probes)
+                near = probed(x, q, reach, probes)
                 codes, missed = codes_of(residuals(x, np.array([n[0] for n in near]), q), q)
                 columns = [part.column(0), part.column(2), pa.array([dims] * len(x), pa.int32()), pa.array(near, pa.list_(pa.int32())), blob(raw.astype(kind)), blob(codes), pa.array(missed, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["rep", "copies", "length", "near", "x", "codes", "missed"])

@@ -286,3 +286,28 @@ def test_components(spark):
     for task_edges in (1 << 20, 0):  # in one task, and by rounds
         got = components(spark.createDataFrame(edges, "src bigint, dst bigint"), Workspace(spark), task_edges).collect()
         assert dict(map(tuple, got)) == {x: groups.find(x) for x in list(groups)} and len(got) == len(groups)
+
+
+def test_recall_with_many_more_lists_than_probes():
+    """The coarse stage by itself: near pairs of 64 components, over lists in the hundreds and eight probes."""
+    rng = np.random.default_rng(9)
+    x = pq_dedup.unit(rng.normal(size=(6000, 64)))
+    y = pq_dedup.unit(x + rng.normal(size=x.shape) * rng.uniform(0.01, 0.04, (len(x), 1)))
+    close = (x * y).sum(1) >= 0.95
+    quantiser = pq_dedup.fit(np.concatenate([x, y]), 12_000, 16, 64, 24, 500, 3)
+    assert len(quantiser.centroids) >= 400 and close.sum() > 2000
+    homes = np.array([n[0] for n in pq_dedup.probed(y, quantiser, (2 - 2 * 0.95) ** 0.5, 8)])
+    found = np.array([h in n for h, n in zip(homes, pq_dedup.probed(x, quantiser, (2 - 2 * 0.95) ** 0.5, 8), strict=True)])
+    back = np.array([h[0] in n for h, n in zip(pq_dedup.probed(x, quantiser, (2 - 2 * 0.95) ** 0.5, 8), pq_dedup.probed(y, quantiser, (2 - 2 * 0.95) ** 0.5, 8), strict=True)])
+    assert (found | back)[close].mean() >= 0.9
+    # with as many probes as lists the planes' bound loses none
+    assert all(h in n for h, n in zip(homes[close], [p for p, c in zip(pq_dedup.probed(x, quantiser, (2 - 2 * 0.95) ** 0.5, 500), close, strict=True) if c], strict=True))
+
+
+def test_long_vectors_bound_the_sample(spark):
+    """A sample of few components still indexes and links every row."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(40, 8))
+    rows = [(n, (base[n % 40] + rng.normal(size=8) * 0.01).tolist()) for n in range(200)]
+    got = pq_dedup.link(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), most_sample_values=160).collect()
+    assert {r["vec_id"]: r["component_id"] for r in got} == {n: n % 40 for n in range(200)} and all(r["n_links"] == 4 for r in got)
