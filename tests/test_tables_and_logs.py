@@ -267,6 +267,23 @@ def test_streamed_tables_equal_the_batch(spark, sf_dir, tmp_path):
     assert plain(process.table(spark, base, "anomaly_table").drop("seq", "replayed")) == plain(queries.anomaly_table(spark, sf_dir))
 
 
+def test_rows_are_stored_before_anything_is_sent(spark, sf_dir, tmp_path, monkeypatch):
+    """If the table cannot take a batch, no log has it either; the batch's second run writes all, once."""
+    events, base = telemetry(spark, sf_dir).where("seq < 200"), str(tmp_path / "out")
+    judged = queries.judged(spark, sf_dir).where("seq < 200")
+    write, plain = process.write_outputs(base, now()), Table.append
+    monkeypatch.setattr(Table, "append", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        write(judged.drop("reasons", "anomalous", "severity"), 0)
+    assert not (tmp_path / "out" / "processed").exists() and not (tmp_path / "out" / "dlq").exists()
+    monkeypatch.setattr(Table, "append", plain)
+    for _ in range(2):
+        write(judged.drop("reasons", "anomalous", "severity"), 0)
+    assert spark.read.parquet(f"{base}/routes").count() == events.count()
+    normal = queries.rows(spark, sf_dir).where("seq < 200").select("event_id").distinct().count()
+    assert process.table(spark, base).count() == normal
+
+
 def test_heartbeats_of_a_stream(spark, tmp_path):
     """Gaps as in the batch whatever the order of arrival, and the devices that fall silent, once."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
