@@ -103,6 +103,23 @@ def test_outbound_keeps_case_and_blank_text(spark):
     assert tuple(got["payload"]) == ("Dev", "K", "  ", Decimal(1), None, "z")
 
 
+def test_without_a_given_time_the_clock_tells_it(spark):
+    """One time for all rows of a query, and none of it where the event has its own."""
+    seen = normalize.detection_view(spark.createDataFrame([event(1), event(2, "99", device="d2"), event(3, unit=None, device="d3")], SEQ))
+    out = route.routed(detect.detected(seen))
+    before = spark.sql("SELECT current_timestamp()").first()[0]
+    times = [normalize.processed(seen).select("timestamp"), normalize.anomaly(out).select("detectedAt"), route.dead_letters(out).select("failedAt"), out.where("route = 'normal'").select("row.ingested_at")]
+    for found in times:
+        got = {r[0] for r in found.collect()}
+        assert len(got) == 1 and before <= got.pop()
+
+
+def test_null_records_are_counted_and_left(spark):
+    records = spark.createDataFrame([("a", "{}"), ("a", None), ("b", None), ("b", None)], "key string, value string")
+    assert {tuple(r) for r in sources.null_counts(records, "key").collect()} == {("a", 2, 1), ("b", 2, 2)}
+    assert sources.decoded(sources.with_value(records)).count() == 1
+
+
 def test_fold_equals_a_sequential_model(spark, tmp_path):
     import random
 
