@@ -76,6 +76,6 @@ def dead_letters(routed_events: DataFrame, now: Column | None = None, *more: str
     )
 
 
-def rendered(letters: DataFrame) -> DataFrame:
-    """(key, value): dead letters as JSON texts."""
-    return letters.select("key", F.to_json(F.struct("event", "errorMessage", "sourceService", "failedAt"), MICROS).alias("value"))
+def rendered(letters: DataFrame, *more: str) -> DataFrame:
+    """(key, value, ``more``): dead letters as JSON texts."""
+    return letters.select(*more, "key", F.to_json(F.struct("event", "errorMessage", "sourceService", "failedAt"), MICROS).alias("value"))

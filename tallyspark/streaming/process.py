@@ -20,7 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.time import clock
 from ..operators import detect, normalize, route, store
+from ..schema import HEADERS
+from ..sources import events as sources
+from ..sources.log import Log
 from ..sources.shared import folder
 
 FIELDS = ["deviceId", "deviceType", "metric", "value", "unit", "location"]
@@ -49,6 +53,15 @@ class LastValue(StatefulProcessor):
         pass
 
 
+def arrived(records: DataFrame, partitions: int) -> DataFrame:
+    """(seq, replayed, the event's fields) of a raw log's records, in order of offset and then partition.
+
+    Null records and lines that are no events are left out; ``sources.null_counts`` and ``ingest.dead_letters`` tell them.
+    """
+    opened = sources.decoded(sources.with_value(records)).where("not malformed")
+    return opened.select((F.col("offset") * partitions + F.col("partition")).alias("seq"), sources.is_replay(F.col("headers")).alias("replayed"), "event.*")
+
+
 def last_readings(events: DataFrame, order: str = "seq") -> DataFrame:
     """(keys, k_value): the last complete reading of each key of a batch, by a mergeable maximum."""
     seen = normalize.detection_view(events).where(detect.complete())
@@ -69,8 +82,11 @@ def with_previous(events: DataFrame, history: DataFrame | None = None) -> DataFr
     return normalize.detection_view(back)
 
 
-def write_outputs(base: str, now: Column | None = None, compact_every: int = 16):
-    """A foreachBatch function: table rows first, then the anomalies' table and the three logs, then the routes of all events."""
+def write_outputs(base: str, now: Column | None = None, compact_every: int = 16, letters: Log | None = None):
+    """A foreachBatch function: table rows first, then the anomalies' table and the three logs, then the routes of all events.
+
+    With ``letters`` the dead letters go to that log, from which they can be replayed.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         events = route.routed(detect.judged(batch), now).persist()
@@ -85,9 +101,14 @@ def write_outputs(base: str, now: Column | None = None, compact_every: int = 16)
         parts = {
             "processed": normalize.processed(good, now, "seq"),
             "anomalies": odd.drop("replayed"),
-            "dlq": route.dead_letters(events, now, "seq"),
+            "dlq": route.dead_letters(events, now, "seq") if letters is None else None,
             "routes": events.select("seq", F.col("route").alias("stream_route"), F.array_join("reasons", "; ").alias("stream_reasons")),
         }
+        if letters is not None:
+            sent = route.dead_letters(events, now, "seq").select("*", F.lit(0).alias("_from"), F.col("seq").alias("_at"))
+            texts = route.rendered(sent, "_from", "_at").withColumns({"headers": F.lit(None).cast(HEADERS), "ts": clock(now).cast("timestamp")})
+            letters.append(texts, f"batch-{number}", ["_from", "_at"])
+            del parts["dlq"]
         for name, part in parts.items():
             part.write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
         events.unpersist()
@@ -105,10 +126,10 @@ def table(spark, base: str, name: str = "table") -> DataFrame:
     return store.Table(spark, f"{base}/{name}").read()
 
 
-def start(events: DataFrame, base: str, now: Column | None = None, history: DataFrame | None = None, **trigger):
-    """Starts the query; ``history`` as for ``with_previous``, ``trigger`` as for ``DataStreamWriter.trigger``."""
+def start(events: DataFrame, base: str, now: Column | None = None, history: DataFrame | None = None, letters: Log | None = None, **trigger):
+    """Starts the query; ``history`` as for ``with_previous``, ``letters`` as for ``write_outputs``, ``trigger`` as for ``DataStreamWriter.trigger``."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    writer = with_previous(events, history).writeStream.outputMode("append").foreachBatch(write_outputs(base, now)).option("checkpointLocation", f"{base}/checkpoint")
+    writer = with_previous(events, history).writeStream.outputMode("append").foreachBatch(write_outputs(base, now, letters=letters)).option("checkpointLocation", f"{base}/checkpoint")
     return writer.trigger(**trigger or {"availableNow": True}).start()
 
 

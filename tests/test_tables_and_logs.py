@@ -7,10 +7,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import metrics, query
+from tallyspark.operators import ingest, metrics, query, replay
 from tallyspark.operators.store import Table
 from tallyspark.plans import queries
 from tallyspark.plans.fixtures import now, telemetry
+from tallyspark.sources import events as sources
 from tallyspark.sources.commits import Commits, Conflict
 from tallyspark.sources.log import STORED, Log, footer_ranges
 from tallyspark.sources.offsets import OffsetLog
@@ -284,6 +285,36 @@ def test_rows_are_stored_before_anything_is_sent(spark, sf_dir, tmp_path, monkey
     assert process.table(spark, base).count() == normal
 
 
+def test_from_publishing_to_replay_and_back(spark, sf_dir, tmp_path):
+    """Accepted events go to the raw log, by offset through the stream to tables and dead letters, and chosen letters back to the raw log.
+
+    A replay that fails again is dropped, so the dead-letter log does not grow; the payload that comes back is the one that was sent.
+    """
+    spark.dataSource.register(OffsetLog)
+    raw, letters, base = Log(spark, str(tmp_path / "raw"), 2), Log(spark, str(tmp_path / "dlq"), 1), str(tmp_path / "out")
+    events = telemetry(spark, sf_dir).where("seq < 120").withColumns({"_from": F.lit(0), "eventId": F.when(F.col("seq") % 40 == 1, F.concat("eventId", F.lit("x" * 60))).otherwise(F.col("eventId"))})
+    sent = ingest.publish(events, raw, "run-1", ["_from", "seq"], now())
+    assert sent == ingest.publish(events, raw, "run-1", ["_from", "seq"], now()) == raw.read().count()
+
+    def run():
+        records = spark.readStream.format("offset_log").options(path=str(tmp_path / "raw")).load()
+        process.start(process.arrived(records, 2), base, now(), letters=letters).awaitTermination()
+        return {r["seq"]: r["stream_route"] for r in spark.read.parquet(f"{base}/routes").collect()}
+
+    routes = run()
+    assert len(routes) == sent
+    failed = letters.read()
+    ids = [r[0] for r in failed.select(F.get_json_object("value", "$.event.eventId")).collect()]
+    assert ids and len(ids) == sum(r == "dlq" for r in routes.values()) and all(i.endswith("x" * 60) for i in ids)
+    rows = process.table(spark, base).count()
+    assert replay.replay(spark, letters, ids[:1], raw, now(), "again") == 1 == replay.replay(spark, letters, ids[:1], raw, now(), "again")
+    back = sources.decoded(raw.read()).where(F.col("event.eventId") == ids[0]).select("event", sources.is_replay(F.col("headers")).alias("replayed")).collect()
+    assert sorted(r["replayed"] for r in back) == [False, True] and back[0]["event"] == back[1]["event"]
+    routes = run()
+    assert len(routes) == sent + 1 and [r for s, r in routes.items() if r == "dropped_replay"] == ["dropped_replay"]
+    assert letters.read().count() == len(ids) and process.table(spark, base).count() == rows
+
+
 def test_heartbeats_of_a_stream(spark, tmp_path):
     """Gaps as in the batch whatever the order of arrival, and the devices that fall silent, once."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
