@@ -8,7 +8,8 @@ strings can reach: ``length - gram`` bytes before it and ``length`` from it on.
 
 * Parse: documents are dealt into chunks (a table clustered by chunk, which later
   steps read without another shuffle).  A chunk sends, for each distinct phrase,
-  two hashes (of the trigger, of the phrase) and its smallest document.
+  128 bits of hashes (32 of the trigger, 96 of two unlike ones of the phrase)
+  and its smallest document.
 * Dictionary: phrases are grouped by trigger.  A phrase that an earlier document
   has too is wholly covered.  Only where one trigger has different phrases, the
   first document of each sends the phrase itself.
@@ -72,28 +73,28 @@ class Parser:
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, gram
         rng = np.random.Generator(np.random.PCG64(11))
-        self.letter = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.letter, self.letter2 = rng.integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
         n = SEGMENT + 4 * length + 1
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.full(n, BASE, np.uint64))
             self.inverse = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
 
-    def triggers(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places, trigger hashes, phrase hashes), long texts in overlapping segments."""
+    def triggers(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, trigger hashes, two phrase hashes), long texts in overlapping segments."""
         if len(text) <= SEGMENT:
             return self._segment(text, 0, len(text), len(text))
         parts = []
         for lo in range(0, len(text), SEGMENT):
             start = max(0, lo - 2 * self.length)
-            place, key, phrase = self._segment(text[start : lo + SEGMENT + 2 * self.length], lo - start, lo - start + SEGMENT, len(text) - start)
-            parts.append((place + start, key, phrase))
+            place, *hashes = self._segment(text[start : lo + SEGMENT + 2 * self.length], lo - start, lo - start + SEGMENT, len(text) - start)
+            parts.append((place + start, *hashes))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     def _segment(self, text: bytes, lo: int, hi: int, end: int):
         row, gram, length = np.frombuffer(text, np.uint8), self.gram, self.length
         n, width = len(row), length - gram + 1
         if n < length:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), *np.zeros((3, 0), np.uint64)
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letter[row] * self.powers[:n])])
             hashes = mixed((total[gram:] - total[:-gram]) * self.inverse[: n - gram + 1])
@@ -105,7 +106,17 @@ class Parser:
             # equal bytes around another place in them are another phrase
             shape = (last - first + (place - first) * (4 * length)).astype(np.uint64)
             phrase = mixed((total[last] - total[first]) * self.inverse[first] + shape)
-        return place, hashes[place], phrase
+            np.cumsum(self.letter2[row] * self.powers[:n], out=total[1:])
+            phrase2 = mixed((total[last] - total[first]) * self.inverse[first])
+        return place, hashes[place], phrase, phrase2
+
+
+def changed(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
 class Chunk:
@@ -118,12 +129,12 @@ class Chunk:
         self.table = table.take(pa.array(order, pa.int64()))
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         found = [parser.triggers(t) for t, i in zip(self.texts, self.ids, strict=True) if i is not None]
-        self.counts = np.array([len(p) for p, _, _ in found] + [0] * (len(ids) - len(found)), np.int64)
-        self.place, key, phrase = (np.concatenate(c) if found else np.zeros(0, np.uint64) for c in (zip(*found, strict=True) if found else [()] * 3))
+        self.counts = np.array([len(p) for p, *_ in found] + [0] * (len(ids) - len(found)), np.int64)
+        self.place, key, phrase, phrase2 = (np.concatenate(c) if found else np.zeros(0, np.uint64) for c in (zip(*found, strict=True) if found else [()] * 4))
         self.row = np.repeat(np.arange(len(ids)), self.counts)
-        # rows are in order of ids, so the first place of a phrase is in its smallest document
-        order = np.lexsort((np.arange(len(key)), phrase, key))
-        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (phrase[order][1:] != phrase[order][:-1])]) if len(key) else np.zeros(0, bool)
+        # rows are in order of ids and the sort is stable, so the first place of a phrase is in its smallest document
+        order = np.lexsort((phrase2, phrase, key))
+        new = changed(key[order], phrase[order], phrase2[order])
         number = np.cumsum(new) - 1
         first = order[new]
         bucket = (key[first] >> np.uint64(32)) % np.uint64(buckets)
@@ -136,7 +147,7 @@ class Chunk:
         self.phrase_of = np.empty(len(key), np.int64)
         self.phrase_of[order] = back[number] if len(key) else number
         self.key = key[self.first].astype(np.uint64)
-        self.phrase = phrase[self.first].astype(np.uint64)
+        self.phrase, self.phrase2 = phrase[self.first].astype(np.uint64), phrase2[self.first].astype(np.uint64)
         self.found_in = np.array([i if i is not None else 0 for i in self.ids], np.int64)[self.row[self.first]] if len(key) else np.zeros(0, np.int64)
 
     def spans_of_buckets(self) -> Iterator[tuple[int, int, int]]:
@@ -169,22 +180,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
         rows = []
         for bucket, lo, hi in chunk.spans_of_buckets():
             docs_, run = np.unique(chunk.found_in[lo:hi], return_counts=True)
-            rows.append((bucket, me, pa.py_buffer(_parts([chunk.key[lo:hi].astype("u4"), (chunk.phrase[lo:hi] >> np.uint64(24)).astype("u4"), (chunk.phrase[lo:hi] >> np.uint64(56)).astype("u1"), docs_, run.astype("u4")]))))
+            rows.append((bucket, me, pa.py_buffer(_parts([chunk.key[lo:hi].astype("u4"), chunk.phrase[lo:hi], (chunk.phrase2[lo:hi] >> np.uint64(32)).astype("u4"), docs_, run.astype("u4")]))))
         return _rows(rows)
 
     sent = chunked.groupBy("chunk").applyInArrow(tidy_group(parse), "bucket int, chunk int, blob binary")
 
     def group(table: pa.Table) -> pa.Table:
         owners = table["chunk"].to_pylist()
-        key, low, high, docs_, run = zip(*(_unparts(b, ["u4", "u4", "u1", "i8", "u4"]) for b in table["blob"].to_pylist()), strict=True)
+        key, phrase, phrase2, docs_, run = zip(*(_unparts(b, ["u4", "u8", "u4", "i8", "u4"]) for b in table["blob"].to_pylist()), strict=True)
         counts = [len(k) for k in key]
-        key = np.concatenate(key)
-        phrase = np.concatenate(low).astype(np.uint64) | np.concatenate(high).astype(np.uint64) << np.uint64(32)
+        key, phrase, phrase2 = (np.concatenate(c) for c in (key, phrase, phrase2))
         doc = np.concatenate([np.repeat(d, r) for d, r in zip(docs_, run, strict=True)])
-        order = np.lexsort((doc, phrase, key))
-        key, phrase, doc = key[order], phrase[order], doc[order]
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        new = np.concatenate([[True], phrase[1:] != phrase[:-1]]) | new_key
+        order = np.lexsort((doc, phrase2, phrase, key))
+        key, phrase, phrase2, doc = key[order], phrase[order], phrase2[order], doc[order]
+        new_key, new = changed(key), changed(key, phrase, phrase2)
         of, of_key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
         earliest = doc[new][of]
         starts = np.flatnonzero(new_key)
@@ -362,4 +371,6 @@ def _clustered(rows: DataFrame, chunks: int, work: Workspace) -> DataFrame:
     name = f"tallyspark_{uuid.uuid4().hex}"
     table = rows.mapInArrow(tidy(pack), "chunk int, blob binary").repartition(chunks, "chunk")
     table.write.bucketBy(chunks, "chunk").option("path", f"{work.root}/{name}").option("compression", "none").saveAsTable(name)
-    return rows.sparkSession.table(name)
+    clustered = rows.sparkSession.table(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")  # the name only: files stay, and the frame knows them and their buckets
+    return clustered

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import assert_same, oracle
 from pyspark.sql import functions as F
@@ -157,6 +158,34 @@ def test_suffix_dedup_null_and_equal_ids(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def test_suffix_dedup_either_phrase_hash_tells_phrases_apart():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(400)).encode() for _ in range(20)]
+    blob = suffix_dedup.packed(pa.table({"id": pa.array(range(40), pa.int64()), "text": pa.array(texts * 2, pa.binary())}))
+
+    class Weak(suffix_dedup.Parser):
+        def __init__(self, which):
+            super().__init__(50, 16)
+            self.which = which
+
+        def triggers(self, text):
+            place, *hashes = super().triggers(text)
+            hashes[self.which] = np.zeros(len(place), np.uint64)
+            return place, *hashes
+
+    whole = suffix_dedup.Chunk([blob], suffix_dedup.Parser(50, 16), 1)
+    phrases = {(p, whole.texts[r][max(0, p - 34) : p + 50], min(p, 34)) for r, p in zip(whole.row[whole.first].tolist(), whole.place[whole.first].tolist(), strict=True)}
+    assert len({x[1:] for x in phrases}) == len(whole.first) < len(whole.place)
+    for which in (1, 2):
+        assert len(suffix_dedup.Chunk([blob], Weak(which), 1).first) == len(whole.first)
+
+
+def test_suffix_dedup_leaves_no_names_in_the_catalog(spark):
+    frame = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "x" * 60), (2, "x" * 60)], "doc_id bigint, text string"))
+    assert len(frame.collect()) == 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tallyspark_")]
+
+
 def linked_by_hand(rows, threshold=0.95):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     return [r for n in {len(v) for _, v in good} for r in linked_of_length([g for g in good if len(g[1]) == n], threshold)]
