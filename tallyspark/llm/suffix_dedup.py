@@ -160,7 +160,7 @@ def _blob(columns: dict) -> bytes:
     return packed(pa.table(columns))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_bytes: int = 8_000_000, group_phrases: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_bytes: int = 8_000_000, group_phrases: int = 500_000, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """(id, ``keep`` columns, n_bytes, spans array<struct<start, end>> that were removed, kept binary that is left) of every row.
 
     ``as_text``: kept is a string, without what is left of letters that were cut in two.
