@@ -10,12 +10,19 @@ from ..schema import EVENT, RECORD
 
 
 def decoded(records: DataFrame, schema: T.StructType = EVENT, value: str = "value") -> DataFrame:
-    """Adds ``event`` (null where malformed) and ``malformed``; unknown fields are dropped."""
+    """Adds ``event`` (null where malformed) and ``malformed``; unknown fields are dropped.
+
+    Both come out of a generator of one row, so that a line is parsed once however often later steps and filters name them.
+    """
     corrupt = "_corrupt"
     parsed = F.from_json(F.col(value), T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
-    out = records.withColumn("_parsed", parsed).withColumn("malformed", F.col("_parsed").isNull() | F.col(f"_parsed.{corrupt}").isNotNull())
-    fields = F.struct(*(F.col(f"_parsed.{f.name}").alias(f.name) for f in schema.fields))
-    return out.withColumn("event", F.when(~F.col("malformed"), fields)).drop("_parsed")
+
+    def told(p: Column) -> Column:
+        malformed = p.isNull() | p[corrupt].isNotNull()
+        return F.struct(malformed.alias("malformed"), F.when(~malformed, F.struct(*(p[f.name].alias(f.name) for f in schema.fields))).alias("event"))
+
+    others = [F.col(f"`{c}`") for c in records.columns if c not in ("malformed", "event")]
+    return records.select(*others, F.inline(F.transform(F.array(parsed), told)))
 
 
 def null_counts(records: DataFrame, *by: str, value: str = "value") -> DataFrame:

@@ -217,6 +217,13 @@ def test_decoding_tells_malformed_from_odd(spark):
     assert [tuple(r) for r in got] == [(False, "a"), (True, None), (True, None), (True, None)]
 
 
+def test_a_line_is_parsed_once(spark):
+    """However many rules and filters name the event, the plan has one parser."""
+    lines = spark.createDataFrame([(1, "{}")], "offset int, value string")
+    plan = ingest.dead_letters(sources.decoded(lines), now(), "offset")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_violations(spark):
     rows = [(1, False, None, "t", "e", None, "s", "v", ("", "k", "m", None, "u", "l")), (2, False, "e", "t", "e", None, "s", "v", None)]
     got = {r["seq"]: [v["field"] for v in r["violations"]] for r in ingest.validated(spark.createDataFrame(rows, SEQ)).collect()}
