@@ -1,13 +1,13 @@
 """Continuous processing: the batch operators in micro-batches, the previous reading in keyed state.
 
 Only the spike rule needs history.  Complete readings pass a stateful operator
-keyed by tenant, device and metric, whose state is the last value; all else is
-the batch code.  A stream that goes on where a batch ended starts with the batch's last
+whose state is the last value of each tenant, device and metric, the keys dealt
+over buckets; all else is the batch code.  A stream that goes on where a batch ended starts with the batch's last
 readings as its state.  A micro-batch's logs go to folders named by its number and
 are overwritten when it runs again, and the two tables take a number once, so a restart
 repeats nothing.
 
-A key's readings of one micro-batch are sorted in one task; the source's bound a
+A bucket's readings of one micro-batch are sorted in one task; the source's bound a
 trigger (``maxOffsetsPerTrigger`` of ``sources.offsets``) bounds them.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,24 +31,39 @@ from ..sources.shared import folder
 FIELDS = ["deviceId", "deviceType", "metric", "value", "unit", "location"]
 # no leading underscores: the stateful operator would rename such columns
 KEYS = ["k_tenant", "k_device", "k_metric"]
+BUCKET = "k_bucket"
 
 
 class LastValue(StatefulProcessor):
-    """Adds the previous value of the key to each reading, in order of arrival."""
+    """Adds the previous value of the key to each reading, in order of arrival.
+
+    A call has the readings of all keys of a bucket, since frames cost more than rows; each key's value is an entry of its own.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value decimal(22,8)")
+        self.last = handle.getMapState("last", ", ".join(f"{k} string" for k in KEYS), "value decimal(22,8)")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        readings = pd.concat(list(rows)).sort_values("seq")
-        last = self.last.get()[0] if self.last.exists() else None
-        values = readings["k_value"].tolist()
-        self.last.update((values[-1],))
-        readings["k_previous"] = pd.Series([last, *values[:-1]], index=readings.index, dtype=object)
+        readings = pd.concat(list(rows), ignore_index=True)
+        number = readings.groupby(KEYS, sort=False).ngroup().to_numpy()
+        order = np.lexsort((readings["seq"].to_numpy(), number))
+        readings, number = readings.iloc[order], number[order]
+        turn = np.flatnonzero(np.diff(number, prepend=-1, append=-1))  # where keys begin, and the end
+        values = readings["k_value"].to_numpy()
+        previous = np.empty(len(values), object)
+        previous[1:] = values[:-1]
+        names = readings[KEYS].iloc[turn[:-1]].itertuples(index=False, name=None)
+        for name, lo, hi in zip(names, turn[:-1].tolist(), turn[1:].tolist(), strict=True):
+            before = self.last.getValue(name)
+            previous[lo] = before[0] if before else None
+            self.last.updateValue(name, (values[hi - 1],))
+        readings = readings.drop(columns=[BUCKET, *KEYS, "k_value"])
+        readings["k_previous"] = previous
         yield readings
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.last.update((initialState["k_value"].iloc[-1],))
+        for *name, value in initialState[[*KEYS, "k_value"]].itertuples(index=False, name=None):
+            self.last.updateValue(tuple(name), (value,))
 
     def close(self) -> None:
         pass
@@ -69,14 +85,21 @@ def last_readings(events: DataFrame, order: str = "seq") -> DataFrame:
     return flat.groupBy(*KEYS).agg(F.max_by("k_value", order).alias("k_value"))
 
 
-def with_previous(events: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """The stream's counterpart of the batch window: same columns, the history in state; ``history``: ``last_readings`` of what came before it."""
+def with_previous(events: DataFrame, history: DataFrame | None = None, buckets: int = 512) -> DataFrame:
+    """The stream's counterpart of the batch window: same columns, the history in state; ``history``: ``last_readings`` of what came before it.
+
+    ``buckets`` deal out the keys and stay the same for the life of a checkpoint.
+    """
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")
     seen = normalize.detection_view(events).withColumn("complete", detect.complete())
     plain = [c for c in events.columns if c != "payload"]
     flat = seen.select(*plain, "complete", F.col("payload").isNotNull().alias("k_payload"), *(F.col(f"payload.{f}").alias(f"p_{f}") for f in FIELDS), F.col("seen.tenantId").alias("k_tenant"), F.col("seen.deviceId").alias("k_device"), F.col("seen.metric").alias("k_metric"), F.col("seen.value").cast("decimal(22,8)").alias("k_value"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields) + ", k_previous decimal(22,8)"
-    whole = flat.where("complete").groupBy(*KEYS).transformWithStateInPandas(LastValue(), schema, "append", "none", history.groupBy(*KEYS) if history is not None else None)
-    out = whole.union(flat.where("not complete").withColumn("k_previous", F.lit(None).cast("decimal(22,8)")))
+    flat_names = [c for c in flat.columns if c not in (*KEYS, "k_value")]
+    schema = ", ".join(f"`{c}` {flat.schema[c].dataType.simpleString()}" for c in flat_names) + ", k_previous decimal(22,8)"
+    dealt = flat.where("complete").withColumn(BUCKET, bucket).groupBy(BUCKET)
+    known = history.withColumn(BUCKET, bucket).groupBy(BUCKET) if history is not None else None
+    whole = dealt.transformWithStateInPandas(LastValue(), schema, "append", "none", known)
+    out = whole.union(flat.where("not complete").select(*flat_names, F.lit(None).cast("decimal(22,8)").alias("k_previous")))
     payload = F.when(F.col("k_payload"), F.struct(*(F.col(f"p_{f}").alias(f) for f in FIELDS)))
     back = out.select(*plain, payload.alias("payload"), "complete", F.col("k_previous").alias("previous"))
     return normalize.detection_view(back)

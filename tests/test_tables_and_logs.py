@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,32 @@ def test_stream_goes_on_where_a_batch_ended(spark, sf_dir, tmp_path):
     assert got == sorted(tuple(r) for r in whole.collect())
 
 
+def test_one_call_has_all_keys_of_a_bucket():
+    """Previous values by key and order over several frames; one read and one write of state a key."""
+    state, asked = {("t", "d", "heat"): (5,)}, []
+
+    class Values:
+        def getValue(self, key):
+            asked.append(key)
+            return state.get(key)
+
+        def updateValue(self, key, value):
+            state[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Values()
+
+    processor = process.LastValue()
+    processor.init(Handle())
+    rows = [(4, "d", "heat", 8), (1, "e", "heat", 1), (3, "d", "heat", 7), (2, "d", "wet", 9), (5, "e", "heat", 2)]
+    frame = pd.DataFrame([(0, seq, "t", device, metric, value) for seq, device, metric, value in rows], columns=["k_bucket", "seq", *process.KEYS, "k_value"])
+    (got,) = processor.handleInputRows((0,), iter([frame[:2], frame[2:]]), None)
+    assert dict(zip(got["seq"].tolist(), got["k_previous"].tolist(), strict=True)) == {1: None, 2: None, 3: 5, 4: 7, 5: 1}
+    assert list(got.columns) == ["seq", "k_previous"]
+    assert state == {("t", "d", "heat"): (8,), ("t", "e", "heat"): (2,), ("t", "d", "wet"): (9,)} and len(asked) == 3
+
+
 def test_streamed_tables_equal_the_batch(spark, sf_dir, tmp_path):
     """The processed and the anomaly table after several runs of the stream, replays of both kinds included."""
     events, base = telemetry(spark, sf_dir), str(tmp_path / "out")
