@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from .shared import by_bytes, tidy
+from .shared import by_bytes, release, tidy
 from .shingles import hashed, same
 
 #: About how much memory a remembered fragment takes beside its bytes.
@@ -87,7 +87,7 @@ class FragmentEncoder:
 
     A block's equal fragments are found by hash and then compared by their bytes."""
 
-    def __init__(self, tokenizer_json: str, keep_bytes: int = 80 << 20, short: int = 48, block_bytes: int = 2 << 20):
+    def __init__(self, tokenizer_json: str, keep_bytes: int = 80 << 20, short: int = 48, block_bytes: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this core to the task
         from tokenizers import Tokenizer
 
@@ -177,6 +177,7 @@ def encoder_of(file: Broadcast) -> FragmentEncoder:
     """A worker's encoder, kept with the broadcast file from task to task."""
     if not hasattr(file, "encoder"):
         file.encoder = FragmentEncoder(file.value)
+        release()  # what reading the vocabulary took
     return file.encoder
 
 

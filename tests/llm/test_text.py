@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from xml.etree import ElementTree
@@ -532,3 +533,16 @@ def test_page_query_equals_the_articles(spark, sf_dir):
         article = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1].replace("<br>", " ")
         blocks = (" ".join(html.unescape(re.sub("<[a-z/][^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+
+
+def test_a_block_of_new_words_takes_little_memory():
+    """What a worker holds while it encodes words that it has never seen: its table and one block's arrays."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = bpe.FragmentEncoder(f.read())
+    text = b" ".join(b"w%d" % n for n in range(600_000))[: 3 << 20]
+    tracemalloc.start()
+    for _ in encoder.encode(text[k : k + 1000] for k in range(0, len(text), 1000)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
