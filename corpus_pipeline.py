@@ -23,8 +23,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def documents_in_batches(spark: SparkSession) -> None:
-    """Whole texts go to the workers 8 MB at a time: a task holds a batch on either side, and its buffers are twice as large."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Whole texts go to the workers 2 MB at a time: a task holds a batch on either side, and its buffers are twice as large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,12 +91,14 @@ def pack(
     quadratic: float = 1.0 / 1024,
     batch_docs: int = 4096,
     with_ids: bool = True,
+    rows_at_once: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, token_ids.
 
     ``start`` is the piece's place in its document, ``offset`` its place in its sequence.
+    A task gives out its rows ``rows_at_once`` at a time, and a few more for the sequence that is then at hand.
     ``batch_docs`` bounds the remainders (under ``capacity`` ids each) held at once by a task; it is at least twice ``capacity``.
     """
     batch_docs = max(batch_docs, 2 * capacity)
@@ -136,20 +138,24 @@ def pack(
                 for start in range(0, n - n % capacity, capacity):
                     put(sequence, [Piece(capacity, order, doc, start, n, ids[4 * start : 4 * (start + capacity)])])
                     sequence += 1
+                    if len(rows) >= rows_at_once:
+                        yield out()
                 if n % capacity:
                     pending.append(Piece(n % capacity, order, doc, n - n % capacity, n, ids[4 * (n - n % capacity) :]))
                 order += 1
-                if len(rows) >= 4096:
-                    yield out()
                 if len(pending) >= batch_docs:
                     packed, pending = balanced(pending, sum(p.length for p in pending) // capacity, capacity, linear, quadratic)
                     for pieces in packed:
                         put(sequence, pieces)
                         sequence += 1
-                    yield out()
+                        if len(rows) >= rows_at_once:
+                            yield out()
+                    packed = None
         for pieces in balanced(pending, -(-sum(p.length for p in pending) // capacity), capacity, linear, quadratic)[0]:
             put(sequence, pieces)
             sequence += 1
+            if len(rows) >= rows_at_once:
+                yield out()
         if rows:
             yield out()
 

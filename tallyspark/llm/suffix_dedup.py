@@ -74,10 +74,15 @@ class Parser:
         self.length, self.gram = length, gram
         rng = np.random.Generator(np.random.PCG64(11))
         self.letter, self.letter2 = rng.integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
-        n = SEGMENT + 4 * length + 1
-        with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.full(n, BASE, np.uint64))
-            self.inverse = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        """Has powers for ``n`` bytes: most texts are much shorter than a segment."""
+        if n > len(self.powers):
+            n = max(n, 2 * len(self.powers))
+            with np.errstate(over="ignore"):
+                self.powers = np.cumprod(np.full(n, BASE, np.uint64))
+                self.inverse = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), np.uint64))
 
     def triggers(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(places, trigger hashes, two phrase hashes), long texts in overlapping segments."""
@@ -95,6 +100,7 @@ class Parser:
         n, width = len(row), length - gram + 1
         if n < length:
             return np.zeros(0, np.int64), *np.zeros((3, 0), np.uint64)
+        self._reach(n)
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.letter[row] * self.powers[:n])])
             hashes = mixed((total[gram:] - total[:-gram]) * self.inverse[: n - gram + 1])
@@ -131,7 +137,8 @@ class Chunk:
         found = [parser.triggers(t) for t, i in zip(self.texts, self.ids, strict=True) if i is not None]
         self.counts = np.array([len(p) for p, *_ in found] + [0] * (len(ids) - len(found)), np.int64)
         self.place, key, phrase, phrase2 = (np.concatenate(c) if found else np.zeros(0, np.uint64) for c in (zip(*found, strict=True) if found else [()] * 4))
-        self.row = np.repeat(np.arange(len(ids)), self.counts)
+        del table, found, texts
+        self.row = np.repeat(np.arange(len(ids), dtype=np.int32), self.counts)
         # rows are in order of ids and the sort is stable, so the first place of a phrase is in its smallest document
         order = np.lexsort((phrase2, phrase, key))
         new = changed(key[order], phrase[order], phrase2[order])
@@ -160,7 +167,7 @@ def _blob(columns: dict) -> bytes:
     return packed(pa.table(columns))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_bytes: int = 8_000_000, group_phrases: int = 500_000, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_bytes: int = 4_000_000, group_phrases: int = 500_000, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """(id, ``keep`` columns, n_bytes, spans array<struct<start, end>> that were removed, kept binary that is left) of every row.
 
     ``as_text``: kept is a string, without what is left of letters that were cut in two.
@@ -180,7 +187,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
         rows = []
         for bucket, lo, hi in chunk.spans_of_buckets():
             docs_, run = np.unique(chunk.found_in[lo:hi], return_counts=True)
-            rows.append((bucket, me, pa.py_buffer(_parts([chunk.key[lo:hi].astype("u4"), chunk.phrase[lo:hi], (chunk.phrase2[lo:hi] >> np.uint64(32)).astype("u4"), docs_, run.astype("u4")]))))
+            rows.append((bucket, me, _parts([chunk.key[lo:hi].astype("u4"), chunk.phrase[lo:hi], (chunk.phrase2[lo:hi] >> np.uint64(32)).astype("u4"), docs_, run.astype("u4")])))
         return _rows(rows)
 
     sent = chunked.groupBy("chunk").applyInArrow(tidy_group(parse), "bucket int, chunk int, blob binary")
@@ -202,7 +209,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
         status[order] = np.where(doc > earliest, 1, np.where(several[of_key], 2, 0))
         ends = np.cumsum([0, *counts])
         bucket = table["bucket"][0].as_py()
-        return _rows([(bucket, c, pa.py_buffer(_parts([status[a:b]]))) for c, a, b in zip(owners, ends, ends[1:], strict=False)])
+        return _rows([(bucket, c, _parts([status[a:b]])) for c, a, b in zip(owners, ends, ends[1:], strict=False)])
 
     status = work.saved(sent.groupBy("bucket").applyInArrow(tidy_group(group), "bucket int, chunk int, blob binary"))
 
@@ -222,7 +229,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
                 rest.append(min(len(text) - p, length))
                 before.append(text[p - lead[-1] : p][::-1])
                 after.append(text[p : p + length])
-            rows.append((bucket, me, pa.py_buffer(_blob({"number": at, "doc": chunk.found_in[at], "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())}))))
+            rows.append((bucket, me, _blob({"number": at, "doc": chunk.found_in[at], "before": pa.array(before, pa.binary()), "after": pa.array(after, pa.binary())})))
         return _rows(rows)
 
     asked = chunked.groupBy("chunk").cogroup(status.groupBy("chunk")).applyInArrow(tidy_group(ask), "bucket int, chunk int, blob binary")
@@ -236,7 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
         rows = []
         for c, p, a, b in zip(owners, parts, ends, ends[1:], strict=False):
             hit = np.flatnonzero(mask[a:b])
-            rows.append((-1, c, pa.py_buffer(_parts([p["number"].to_numpy()[hit], mask[a:b][hit]]))))
+            rows.append((-1, c, _parts([p["number"].to_numpy()[hit], mask[a:b][hit]])))
         return _rows(rows)
 
     masks = asked.groupBy("bucket").applyInArrow(tidy_group(compare), "bucket int, chunk int, blob binary")
@@ -272,9 +279,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
             covered = np.cumsum(step[:-1]) > 0
             edge = np.flatnonzero(np.diff(covered, prepend=False, append=False)).reshape(-1, 2).tolist()
             spans.append([{"start": a, "end": b} for a, b in edge])
-            kept.append(np.frombuffer(text, np.uint8)[~covered].tobytes() if edge else text)
+            left_over = np.frombuffer(text, np.uint8)[~covered].tobytes() if edge else text
+            kept.append(left_over.decode("utf-8", "ignore") if as_text else left_over)
         columns = [chunk.table["id"], *(chunk.table[f.name] for f in fields), pa.array([len(t) for t in chunk.texts], pa.int64())]
-        columns += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
+        columns += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())]
         return pa.table(columns, names=["id", *(f.name for f in fields), "n_bytes", "spans", "kept"])
 
     schema = "id bigint, " + "".join(f"{f.name} {f.dataType.simpleString()}, " for f in fields) + "n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept " + ("string" if as_text else "binary")
@@ -328,7 +336,7 @@ def _unparts(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 def _rows(rows: list[tuple]) -> pa.Table:
     b, c, x = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table([pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array([bytes(v) for v in x], pa.binary())], ["bucket", "chunk", "blob"])
+    return pa.table([pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(x, pa.binary())], ["bucket", "chunk", "blob"])
 
 
 def _split(names: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

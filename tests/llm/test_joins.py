@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -180,6 +181,17 @@ def test_suffix_dedup_either_phrase_hash_tells_phrases_apart():
         assert len(suffix_dedup.Chunk([blob], Weak(which), 1).first) == len(whole.first)
 
 
+def test_suffix_dedup_holds_memory_for_the_texts_at_hand_only():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(1000)).encode() for _ in range(200)]
+    blob = suffix_dedup.packed(pa.table({"id": pa.array(range(200), pa.int64()), "text": pa.array(texts, pa.binary())}))
+    tracemalloc.start()
+    suffix_dedup.Chunk([blob], suffix_dedup.Parser(50, 16), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000  # 200 KB of texts
+
+
 def test_suffix_dedup_leaves_no_names_in_the_catalog(spark):
     frame = suffix_dedup.remove_repeats(spark.createDataFrame([(1, "x" * 60), (2, "x" * 60)], "doc_id bigint, text string"))
     assert len(frame.collect()) == 2

@@ -6,10 +6,12 @@ import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 from xml.etree import ElementTree
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -136,6 +138,19 @@ def test_packing_many_short_documents(spark):
     assert sum(1024 - r["n"] for r in rows) < 4 * 1024 and max(r["n"] for r in rows) == 1024
 
 
+def test_packing_gives_out_few_rows_at_once(spark, monkeypatch):
+    frame = spark.createDataFrame([], "doc_id bigint, text string")
+    tasks = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    packing.pack(frame, PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000), pa.int64()), pa.array(["one two"] * 5999 + ["a b " * 800_000])], ["doc_id", "text"])
+    out = list(tasks[0](iter([batch])))
+    assert sum(b.num_rows for b in out) >= 6000 + 1500
+    # a sequence of many short documents is given out whole
+    assert sum(b.num_rows > 1024 + 512 for b in out) == 0
+
+
 def test_packing_odd_rows(spark, library):
     rows = [(1, None), (2, ""), (3, "word " * 5000), (3, "word " * 5000), (None, "x"), (4, "y")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as start", "2 as sequence_id", "3 as token_ids")
