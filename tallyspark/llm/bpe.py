@@ -34,8 +34,10 @@ from pyspark.sql import DataFrame
 from .shared import by_bytes, release, tidy
 from .shingles import hashed, same
 
-#: About how much memory a remembered fragment takes beside its bytes.
-ENTRY_BYTES = 200
+#: Bytes and ids of a remembered fragment for which there is room on average, and about how much memory it takes with them.
+LETTERS, IDS, ENTRY_BYTES = 16, 6, 78
+#: Masks of the first bytes of eight.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bytes that end no white-space character are those outside this set.
 #: ASCII white space and separators, and the last bytes of U+0085, U+00A0, U+1680,
 #: U+2000-U+200A, U+2028, U+2029, U+202F, U+205F and U+3000.
@@ -82,22 +84,83 @@ def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class Remembered:
+    """Ids of up to ``most`` short fragments, in arrays of fixed size: found by hash, then compared by their bytes."""
+
+    def __init__(self, most: int, short: int):
+        self.most, self.n, self.n_letters, self.n_ids = most, 0, 0, 0
+        bits = max(8, (2 * most - 1).bit_length())
+        self.shift, self.slots = np.uint64(64 - bits), np.full((1 << bits) + most, -1, np.int32)
+        self.hashes, self.start, self.id_start = np.empty(most, np.uint64), np.empty(most, np.uint32), np.empty(most, np.uint32)
+        self.size, self.id_size = np.empty(most, np.uint8), np.empty(most, np.uint8)
+        # a place that is not written takes no memory; eight bytes are read from any place
+        self.letters, self.ids = np.empty(LETTERS * most + short + 8, np.uint8), np.empty(IDS * most + short, "<u4")
+        self.eight = np.ndarray(len(self.letters) - 7, "<u8", self.letters, strides=(1,))
+
+    def found(self, hashes: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Each fragment's entry; -1 if there is none of its hash, -2 if that is another fragment's."""
+        out, at, slot = np.full(len(hashes), -1), np.arange(len(hashes)), (hashes >> self.shift).astype(np.int64)
+        while len(at):
+            entry = self.slots[slot]
+            used = entry >= 0
+            at, slot, entry = at[used], slot[used], entry[used]
+            hit = self.hashes[entry] == hashes[at]
+            out[at[hit]] = entry[hit]
+            at, slot = at[~hit], slot[~hit] + 1
+        at = np.flatnonzero(out >= 0)
+        entry = out[at]
+        unlike = self.size[entry] != size[at]
+        a, b, left, which = self.start[entry].astype(np.int64)[~unlike], start[at][~unlike], size[at][~unlike], np.flatnonzero(~unlike)
+        while len(a):
+            unlike[which[((self.eight[a] ^ eight[b]) & FIRST[np.minimum(left, 8)]) != 0]] = True
+            on = left > 8
+            a, b, left, which = a[on] + 8, b[on] + 8, left[on] - 8, which[on]
+        out[at[unlike]] = -2
+        return out
+
+    def of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these entries one after another, and their numbers."""
+        sizes = self.id_size[entry].astype(np.int64)
+        return gathered(self.ids, self.id_start[entry].astype(np.int64), sizes), sizes
+
+    def room(self, size: np.ndarray, id_size: np.ndarray) -> int:
+        """How many of these fragments, from the first, can be added."""
+        fit = (self.n_letters + np.cumsum(size) <= LETTERS * self.most) & (self.n_ids + np.cumsum(id_size) <= IDS * self.most)
+        return int(fit[: self.most - self.n].sum())
+
+    def add(self, hashes: np.ndarray, letters: np.ndarray, size: np.ndarray, ids: np.ndarray, id_size: np.ndarray) -> None:
+        """Fragments whose hashes are not there yet, for which there is room."""
+        entry = np.arange(self.n, self.n + len(hashes))
+        self.hashes[entry], self.size[entry], self.id_size[entry] = hashes, size, id_size
+        self.start[entry] = self.n_letters + np.cumsum(size) - size
+        self.id_start[entry] = self.n_ids + np.cumsum(id_size) - id_size
+        self.letters[self.n_letters : self.n_letters + len(letters)] = letters
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n, self.n_letters, self.n_ids = self.n + len(hashes), self.n_letters + len(letters), self.n_ids + len(ids)
+        slot = (hashes >> self.shift).astype(np.int64)
+        while len(entry):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            on = self.slots[slot] != entry
+            entry, slot = entry[on], slot[on] + 1
+
+
 class FragmentEncoder:
     """Encodes blocks of texts; remembers the ids of short fragments, ``keep_bytes`` of memory at most.
 
-    A block's equal fragments are found by hash and then compared by their bytes."""
+    A block's equal fragments are found by hash and then compared by their bytes, and so are the remembered ones,
+    all of a block at once."""
 
-    def __init__(self, tokenizer_json: str, keep_bytes: int = 80 << 20, short: int = 48, block_bytes: int = 1 << 19):
+    def __init__(self, tokenizer_json: str, keep_bytes: int = 64 << 20, short: int = 48, block_bytes: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this core to the task
         from tokenizers import Tokenizer
 
-        self.vocabulary, self.keep_bytes, self.short, self.block_bytes = Vocabulary(tokenizer_json), keep_bytes, short, block_bytes
+        self.vocabulary, self.short, self.block_bytes = Vocabulary(tokenizer_json), short, block_bytes
         self.merger = Tokenizer.from_str(tokenizer_json)
         self.merger.no_padding()
         self.merger.no_truncation()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.held = 0
+        self.most = max(1, keep_bytes // 2 // ENTRY_BYTES)
+        self.known, self.older = Remembered(self.most, short), Remembered(1, short)
 
     def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -127,8 +190,8 @@ class FragmentEncoder:
         ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         first = 0
         while first < len(cuts) - 1:
-            # a part ends at a cut, and is longer than a block only if it is one fragment
-            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + self.block_bytes, "right")) - 1)
+            # a part ends at a cut, and is longer than a block and a quarter only if it is one fragment
+            last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + self.block_bytes * 5 // 4, "right")) - 1)
             part = self._part(data, cuts[first:last], np.diff(cuts[first : last + 1]))
             ids.append(part[0])
             sizes.append(part[1])
@@ -140,37 +203,44 @@ class FragmentEncoder:
 
     def _part(self, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and their number for each fragment."""
-        _, kind, place = np.unique(hashed(data, start, size), return_index=True, return_inverse=True)
+        hashes, kind, place = np.unique(hashed(data, start, size), return_index=True, return_inverse=True)
         if not same(data, start, start[kind][place], size, size[kind][place]):  # equal hashes of unlike fragments
-            kind = place = np.arange(len(start))
-        fragments = [data[a : a + n] for a, n in zip(start[kind].tolist(), size[kind].tolist(), strict=True)]
-        ids = self._looked_up(fragments)
-        sizes = np.array([len(x) >> 2 for x in ids])
-        starts = np.cumsum(sizes) - sizes
-        return gathered(np.frombuffer(b"".join(ids), "<u4"), starts[place], sizes[place]), sizes[place]
-
-    def _looked_up(self, fragments: list[bytes]) -> list[bytes]:
-        if self.held > self.keep_bytes // 2:  # the younger half stays
-            self.older, self.known, self.held = self.known, {}, 0
-        known, older = self.known, self.older
-        extra, unseen = {}, []
-        for f in fragments:
-            if f not in known:
-                if f in older:
-                    self._keep(f, older[f])
-                else:
-                    unseen.append(f)
-        for f, found in zip(unseen, self.merger.encode_batch_fast([f.decode() for f in unseen], add_special_tokens=False), strict=True):
-            ids = array("I", found.ids).tobytes()
-            if len(f) <= self.short:
-                self._keep(f, ids)
-            else:
-                extra[f] = ids
-        return [known[f] if f in known else extra[f] for f in fragments] if extra else list(map(known.__getitem__, fragments))
-
-    def _keep(self, fragment: bytes, ids: bytes) -> None:
-        self.known[fragment] = ids
-        self.held += ENTRY_BYTES + len(fragment) + len(ids)
+            return self._merged(data, start, size)
+        ids, starts, sizes = self._looked_up(data, hashes, start[kind], size[kind])
+        return gathered(ids, starts[place], sizes[place]), sizes[place]
+
+    def _looked_up(self, data: bytes, hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different fragments, where each fragment's begin, and their number."""
+        eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+        entry = self.known.found(hashes, eight, start, size)
+        held, unheld = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
+        earlier = self.older.found(hashes[unheld], eight, start[unheld], size[unheld])
+        again, unseen = unheld[earlier >= 0], unheld[earlier < 0]
+        parts = [self.known.of(entry[held]), self.older.of(earlier[earlier >= 0]), self._merged(data, start[unseen], size[unseen])]
+        order = np.concatenate([held, again, unseen])
+        ids, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], sizes[order] = np.cumsum(found) - found, found
+        kept = np.concatenate([again, unseen])
+        self._keep(data, hashes, start, size, ids, starts, sizes, kept[(entry[kept] == -1) & (size[kept] <= self.short)])
+        return ids, starts, sizes
+
+    def _merged(self, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of fragments by the merging encoder, and their numbers."""
+        fragments = [data[a : a + n].decode() for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+        ids, sizes = array("I"), []
+        for found in self.merger.encode_batch_fast(fragments, add_special_tokens=False):
+            own = found.ids
+            ids.extend(own)
+            sizes.append(len(own))
+        return np.array(ids, "<u4"), np.array(sizes, np.int64)
+
+    def _keep(self, data: bytes, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kept: np.ndarray) -> None:
+        if self.known.room(size[kept], sizes[kept]) < len(kept):  # the younger half stays
+            self.older, self.known = self.known, Remembered(self.most, self.short)
+            kept = kept[: self.known.room(size[kept], sizes[kept])]
+        letters = gathered(np.frombuffer(data, np.uint8), start[kept], size[kept])
+        self.known.add(hashes[kept], letters, size[kept], gathered(ids, starts[kept], sizes[kept]), sizes[kept])
 
 
 def encoder_of(file: Broadcast) -> FragmentEncoder:

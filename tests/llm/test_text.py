@@ -99,6 +99,27 @@ def test_fragments_are_told_apart_by_their_bytes(library):
     assert [list(x) for x in encoder.encode([w.encode() for w in words])] == [library.encode(w).ids for w in words]
 
 
+def test_remembered_fragments_are_told_apart_by_their_bytes(library, monkeypatch):
+    """Blocks of one text, and hashes that only know a fragment's size."""
+    monkeypatch.setattr(bpe, "hashed", lambda data, start, size: size.astype(np.uint64) << np.uint64(40))
+    encoder = bpe.FragmentEncoder(open(PATH, encoding="utf-8").read(), block_bytes=1)
+    words = ["hound", "horse", "hound", "a longer one, of two parts", "another on, of the size 26", "x" * 60, "y" * 60, "horse"]
+    for _ in range(2):
+        assert [list(x) for x in encoder.encode([w.encode() for w in words])] == [library.encode(w).ids for w in words]
+
+
+def test_a_worker_remembers_many_fragments(library):
+    """400,000 words, once known, do not reach the merging encoder again."""
+    encoder = bpe.FragmentEncoder(open(PATH, encoding="utf-8").read())
+    texts = [" ".join(f"q{n:x}z" for n in range(k, k + 1000)).encode() for k in range(0, 400_000, 1000)]
+    first = [x.tolist() for x in encoder.encode(texts)]
+    merged, library_ = [], encoder.merger
+    encoder.merger = SimpleNamespace(encode_batch_fast=lambda some, **kw: merged.extend(some) or library_.encode_batch_fast(some, **kw))
+    assert [x.tolist() for x in encoder.encode(texts)] == first
+    assert len(merged) < 1000
+    assert first[7] == library.encode(texts[7].decode()).ids
+
+
 def test_words_with_equal_polynomials_do_not_link(spark):
     one, two = thue_morse("a", "b", 12)
     rows = [(1, one), (2, two), (3, f"{one} " * 7), (4, f"{two} " * 7), (5, one)]
