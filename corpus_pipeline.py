@@ -17,19 +17,22 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import langid, ngram_join, packing, suffix_dedup, toxicity
 from tallyspark.llm.queries import TOKENIZER, table
-from tallyspark.llm.shared import Workspace
+from tallyspark.llm.shared import Workspace, release_executors
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def documents_in_batches(spark: SparkSession) -> None:
-    """Whole texts go to the workers 2 MB at a time: a task holds a batch on either side, and its buffers are twice as large."""
+def begin(spark: SparkSession) -> None:
+    """Executors begin a stage without the heap that the one before has stretched.
+
+    Whole texts go to the workers 2 MB at a time: a task holds a batch on either side, and its buffers are twice as large."""
+    release_executors(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not mark."""
-    documents_in_batches(spark)
+    begin(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, keep=COLUMNS).where("predicted = 0").select(COLUMNS)
 
@@ -39,7 +42,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Texts under 200 characters are too short to tell. Without a labelled text all others stay.
     """
-    documents_in_batches(spark)
+    begin(spark)
     prototypes = langid.train(docs)
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
@@ -49,7 +52,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that whose id names the component. Of rows with its id all unlike ones stay."""
-    documents_in_batches(spark)
+    begin(spark)
     kept = ngram_join.join(docs).where("component_id = doc_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     found = docs.join(kept, "doc_id")
     # rows with one id are one document; only where an id has several are repeated rows looked for
@@ -60,14 +63,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that an earlier document has; a letter cut in two goes with them."""
-    documents_in_batches(spark)
+    begin(spark)
     left = suffix_dedup.remove_repeats(docs, keep=COLUMNS[2:], as_text=True)
     return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long")).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens in sequences of balanced cost."""
-    documents_in_batches(spark)
+    begin(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -35,6 +35,14 @@ def release() -> None:
         pass
 
 
+def release_executors(spark: SparkSession) -> None:
+    """Has the JVMs of the executors give back memory that they have freed: a heap that one job has stretched stays so for all that follow.
+
+    One short task a core, so that on idle executors each has one."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(run: Callable) -> Callable:
     """A task function over batches that keeps no freed memory: workers live on for tasks of other kinds."""
 

@@ -92,3 +92,12 @@ def test_languages_without_a_label_keep_all_texts_with_letters(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = corpus_pipeline.keep_languages(spark, docs, sf_dir).collect()
     assert {tuple(r) for r in got} == {tuple(rows[k]) for k in (0, 3, 4)}
+
+
+def test_a_stage_begins_with_memory_given_back(spark, sf_dir):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = whole()
+    corpus_pipeline.pack(spark, docs, sf_dir)
+    assert whole() > before
