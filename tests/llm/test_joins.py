@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 from collections import defaultdict
 
@@ -352,3 +353,43 @@ def test_long_vectors_bound_the_sample(spark):
     rows = [(n, (base[n % 40] + rng.normal(size=8) * 0.01).tolist()) for n in range(200)]
     got = pq_dedup.link(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), most_sample_values=160).collect()
     assert {r["vec_id"]: r["component_id"] for r in got} == {n: n % 40 for n in range(200)} and all(r["n_links"] == 4 for r in got)
+
+
+def test_suffix_dedup_deals_rows_to_many_chunks_without_copying_all_for_each():
+    class Caught(Exception):
+        pass
+
+    class Rows:
+        columns = ["id", "text", "chunk"]
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            raise Caught(run)
+
+    def seconds(chunks, n=12_000):
+        rng = np.random.default_rng(3)
+        texts = [rng.bytes(1000).hex() for _ in range(n)]
+        chunk = rng.integers(0, chunks, n).astype(np.int32)
+        table = pa.table({"id": pa.array(range(n), pa.int64()), "text": texts, "chunk": chunk})
+        with pytest.raises(Caught) as caught:
+            suffix_dedup._clustered(Rows(), chunks, None)
+        began = time.process_time()
+        out = pa.Table.from_batches(caught.value.args[0](iter(table.to_batches(500))))
+        took = time.process_time() - began
+        found = {(i, t, c) for c, blob in zip(out["chunk"].to_pylist(), out["blob"].to_pylist(), strict=True) for i, t in zip(*(suffix_dedup.unpacked(blob)[k].to_pylist() for k in ("id", "text")), strict=True)}
+        assert found == set(zip(range(n), texts, chunk.tolist(), strict=True))
+        return took
+
+    assert seconds(6000) < 3 + 5 * seconds(10)
+
+
+def test_suffix_dedup_asks_only_for_phrases_that_can_share_a_string(spark, monkeypatch):
+    """Texts with one line of 30 bytes: its triggers have a phrase of each text, none of them with 50 bytes in common."""
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    spaces = []
+    monkeypatch.setattr(suffix_dedup, "Workspace", lambda s: spaces.append(Workspace(s)) or spaces[-1])
+    for shared, asked in ((noise(30), False), (noise(60), True)):
+        rows = [(i, noise(200) + shared + noise(200)) for i in range(60)]
+        assert digests(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))) == removed_by_hand(rows)
+        status = [b for r in spark.read.parquet(f"{spaces[-1].root}/1").collect() for b in r["blob"]]
+        assert (2 in status) == asked
