@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -43,6 +44,12 @@ def release_executors(spark: SparkSession) -> None:
     spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Deletes the shuffle files of jobs that have ended: Spark does so once the driver's JVM has collected their plans, which it may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tidy(run: Callable) -> Callable:
     """A task function over batches that keeps no freed memory: workers live on for tasks of other kinds."""
 

@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, tidy, tidy_group
+from .shared import Workspace, release_shuffles, tidy, tidy_group
 from .shingles import mixed
 
 #: Bytes that are parsed at a time: their hashes stay in a core's cache.
@@ -280,6 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, chunk_byte
         return _rows(table["bucket"].to_numpy(), table["chunk"].to_numpy(), _slices(status, ends[:-1]))
 
     status = work.saved(sent.groupBy("bucket").applyInArrow(tidy_group(group), "bucket int, chunk int, blob binary"))
+    release_shuffles(spark)
 
     def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -446,6 +447,7 @@ def _clustered(rows: DataFrame, chunks: int, work: Workspace) -> DataFrame:
     name = f"tallyspark_{uuid.uuid4().hex}"
     table = rows.mapInArrow(tidy(pack), "chunk int, blob binary").repartition(chunks, "chunk")
     table.write.bucketBy(chunks, "chunk").option("path", f"{work.root}/{name}").option("compression", "none").saveAsTable(name)
+    release_shuffles(rows.sparkSession)
     clustered = rows.sparkSession.table(name)
     rows.sparkSession.sql(f"DROP TABLE {name}")  # the name only: files stay, and the frame knows them and their buckets
     return clustered

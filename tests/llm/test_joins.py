@@ -6,6 +6,7 @@ import re
 import time
 import tracemalloc
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -393,3 +394,17 @@ def test_suffix_dedup_asks_only_for_phrases_that_can_share_a_string(spark, monke
         assert digests(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))) == removed_by_hand(rows)
         status = [b for r in spark.read.parquet(f"{spaces[-1].root}/1").collect() for b in r["blob"]]
         assert (2 in status) == asked
+
+
+def test_suffix_dedup_leaves_no_shuffle_files_of_the_steps_that_have_ended(spark):
+    folders = [Path(d.getPath()) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in folders for p in d.glob("*/shuffle_*.data")}
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(n, rng.bytes(2000).hex()) for n in range(300)], "doc_id bigint, text string")
+    before = files()
+    result = suffix_dedup.remove_repeats(frame)  # rows are dealt out, and phrases sent and answered
+    until = time.time() + 10
+    while (left := [p for p in files() - before if p.exists()]) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert result.count() == 300
